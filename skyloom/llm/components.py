@@ -1,0 +1,28 @@
+"""Connected components of a large edge table: smallest labels, passed along edges and jumped."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import stored
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """edges(a, b), long, any direction, repeats allowed -> (node, label), label the smallest node reachable.
+
+    Each round every node takes the smallest label among its neighbours', then the label of that label;
+    paths halve, so the rounds grow with the logarithm of the longest one. Each round ends in a shared
+    file. Joins are plain equi-joins, which adaptive execution splits at a hot label; minima are
+    combined before the shuffle.
+    """
+    both = stored(edges.filter("a <> b").select("a", "b").union(edges.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("label")), "labels")
+    while True:
+        seen = both.join(labels.select(F.col("node").alias("b"), "label"), "b").select(F.col("a").alias("node"), "label")
+        least = labels.union(seen).groupBy("node").agg(F.min("label").alias("label"))
+        jumped = least.join(labels.select(F.col("node").alias("label"), F.col("label").alias("to")), "label")
+        new = stored(jumped.select("node", F.least("label", "to").alias("label")), "labels")
+        if new.join(labels.select("node", F.col("label").alias("was")), "node").filter("label <> was").isEmpty():
+            return new
+        labels = new
