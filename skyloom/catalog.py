@@ -1,11 +1,17 @@
-"""All queries of the engine's own operators."""
+"""All queries of the engine's own operators, and their SQL where SQL can express them."""
 
-FLAGSHIP = ""
+from .plans import model_queries, sky_queries, stat_queries
+
+FLAGSHIP = "P2_catalogue_fusion"
+
+
+def _all():
+    return {**sky_queries.QUERIES, **stat_queries.QUERIES, **model_queries.QUERIES}
 
 
 def queries():
-    return {}
+    return {name: f for name, (f, _) in _all().items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: sql for name, (_, sql) in _all().items() if sql}
