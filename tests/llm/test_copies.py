@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from skyloom.llm.components import components
+from skyloom.operators.components import connected_components as components
 from skyloom.llm.decontam import Items, decontaminate, search_shard, suffix_array
 from skyloom.llm.exact_dedup import build_directory, exact_dedup
 from skyloom.llm.repeats import anchors, remove_repeats
