@@ -71,7 +71,7 @@ def sweep(df: DataFrame, metric: str, score: str, cuts: list[float], by: list[st
     part = df.withColumn("_k", F.coalesce(first, F.lit(len(cuts)))).groupBy(*by, "_k").agg(F.count(F.lit(1)).alias("_n"), F.sum(score).alias("_s"))
     grid = df.sparkSession.createDataFrame([(i, float(c)) for i, c in enumerate(cuts)], "_k int, cut double")
     if by:
-        grid = part.select(*by).distinct().crossJoin(F.broadcast(grid))  # groups times cuts, no rows
+        grid = part.select(*by).distinct().select(*by, F.inline(F.array(*(F.struct(F.lit(i).alias("_k"), F.lit(float(c)).alias("cut")) for i, c in enumerate(cuts)))))
         totals = part.groupBy(*by).agg(F.sum("_n").alias("_all_n"), F.sum("_s").alias("_all_s"))
         cells = grid.join(part, [*by, "_k"], "left").join(totals, list(by))
     else:
@@ -105,3 +105,39 @@ def cumulative(df: DataFrame, order: str, value: str, by: list[str] = ()) -> Dat
 def smallest_groups_out(df: DataFrame, keys: list[str], least: int) -> DataFrame:
     """Rows of groups with at least `least` rows."""
     return df.join(df.groupBy(*keys).count().filter(F.col("count") >= least).select(*keys), keys, "left_semi")
+
+
+def clipped_binned_median(df: DataFrame, x: str, y: str, edges: list[float], least: int = 5, top: float = 0.98) -> DataFrame:
+    """Median of y per bin [edge, edge) of x, values above the bin's `top` percentile left out first; bins of fewer
+    than `least` rows go: bin, n, median."""
+    k = F.lit(None).cast("int")
+    for i in range(len(edges) - 2, -1, -1):
+        k = F.when((F.col(x) >= edges[i]) & (F.col(x) < edges[i + 1]), i).otherwise(k)
+    rows = df.withColumn("bin", k).filter(F.col("bin").isNotNull() & F.col(y).isNotNull())
+    span = rows.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.percentile(y, F.lit(top)).alias("_top")).filter(F.col("n") >= least)
+    kept = rows.join(span, "bin").filter(F.col(y) <= F.col("_top"))
+    return kept.groupBy("bin").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("_k"), F.median(y).alias("median")).filter("_k >= 2").drop("_k")
+
+
+def density_curve(df: DataFrame, value: str, low: float, high: float, points: int, bandwidth: float, n_bins: int = 512) -> DataFrame:
+    """Gaussian kernel density at `points` places of low..high: x, density. Rows are counted in n_bins bins far
+    narrower than the bandwidth, so what meets the grid is bounded."""
+    width = (high - low) / n_bins
+    bins = df.filter(F.col(value).between(low, high)).groupBy(F.least(F.floor((F.col(value) - low) / width), F.lit(n_bins - 1)).alias("b")).agg(F.avg(value).alias("v"), F.count(F.lit(1)).alias("n"))
+    grid = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: low + i * ((high - low) / (points - 1)))
+    one = bins.withColumn("x", F.explode(grid)).withColumn("u", (F.col("x") - F.col("v")) / bandwidth)
+    sums = one.groupBy("x").agg(F.sum(F.col("n") * F.exp(-0.5 * F.col("u") * F.col("u"))).alias("s"), F.sum("n").alias("t"))
+    return sums.select("x", (F.col("s") / (F.col("t") * (bandwidth * 2.5066282746310002))).alias("density"))
+
+
+def axis_range(df: DataFrame, values: list[str], reference: float | None = None, positive: bool = False) -> DataFrame:
+    """One row, lo and hi: p1 and p99 over several columns, widened to hold a reference."""
+    rows = df.select(F.explode(F.array(*values)).alias("v")).filter("v IS NOT NULL" + (" AND v > 0" if positive else ""))
+    out = rows.agg(F.percentile("v", F.lit(0.01)).alias("lo"), F.percentile("v", F.lit(0.99)).alias("hi"))
+    return out if reference is None else out.select(F.least("lo", F.lit(float(reference))).alias("lo"), F.greatest("hi", F.lit(float(reference))).alias("hi"))
+
+
+def recovery_map(df: DataFrame, x: str, y: str, recovered: str, x_bins: tuple, y_bins: tuple) -> DataFrame:
+    """Injected and recovered rows and their ratio per cell: completeness where the truth is known."""
+    cells = histogram_2d(df, x, y, x_bins, y_bins, {"n_recovered": F.count(F.when(F.col(recovered), 1))})
+    return cells.select("bx", "by", F.col("count").alias("n_injected"), "n_recovered", (F.col("n_recovered") / F.col("count")).alias("completeness"))

@@ -110,3 +110,18 @@ def weighted_covariance(df: DataFrame, keys: list[str], x: str, y: str, w: str)
     dx, dy = F.col(x) - F.col("mx"), F.col(y) - F.col("my")
     c = known.join(m, keys).groupBy(*keys).agg(*((F.sum(F.col(w) * a * b) / s).alias(n) for n, a, b in (("xx", dx, dx), ("xy", dx, dy), ("yy", dy, dy))))
     return m.join(c, keys)
+
+
+def mean_position(df: DataFrame, keys: list[str], ra: str = "ra", dec: str = "dec") -> DataFrame:
+    """Mean direction of a group by the sum of unit vectors, right across the 0/360 seam: keys, ra, dec."""
+    from ..functions.sky import unit_vector
+
+    x, y, z = unit_vector(F.col(ra), F.col(dec))
+    s = df.groupBy(*keys).agg(F.sum(x).alias("_x"), F.sum(y).alias("_y"), F.sum(z).alias("_z"))
+    return s.select(*keys, F.pmod(F.degrees(F.atan2("_y", "_x")), F.lit(360.0)).alias("ra"), F.degrees(F.atan2(F.col("_z"), F.sqrt(F.col("_x") * F.col("_x") + F.col("_y") * F.col("_y")))).alias("dec"))
+
+
+def first_array(df: DataFrame, keys: list[str], array: str, order: str) -> DataFrame:
+    """The first array that is not null and not all null."""
+    given = F.col(array).isNotNull() & F.exists(array, lambda v: v.isNotNull())
+    return df.filter(given).groupBy(*keys).agg(F.min_by(array, order).alias(array))

@@ -123,3 +123,29 @@ def normal_equations(df: DataFrame, features: list[str], target: str, error: str
     m[np.triu_indices(k)] = got[: k * (k + 1) // 2]
     m = m + np.triu(m, 1).T
     return np.linalg.lstsq(m, got[k * (k + 1) // 2 :], rcond=None)[0], m
+
+
+def calibrated(df: DataFrame, fits: dict, key: str, x: str, rv: str = "rv", err: str = "err") -> DataFrame:
+    """rv less the group's polynomial in x, the fit's error added to err; groups without a fit, and rows whose fit
+    is too uncertain, keep theirs and are marked."""
+    shift, extra = F.lit(None).cast("double"), F.lit(None).cast("double")
+    from ..functions.stats import polynomial, polynomial_error
+
+    for k, (coefficients, cov, _) in fits.items():
+        own = F.col(key) == F.lit(k[0])
+        shift = F.when(own, polynomial(F.col(x), coefficients)).otherwise(shift)
+        extra = F.when(own, polynomial_error(F.col(x), cov)).otherwise(extra)
+    out = df.withColumns({"_shift": shift, "_extra": extra})
+    ok = F.col("_shift").isNotNull() & F.col("_extra").isNotNull()
+    return out.withColumns(
+        {"rv_cal": F.when(ok, F.col(rv) - F.col("_shift")).otherwise(F.col(rv)), "err_cal": F.when(ok, F.sqrt(F.col(err) * F.col(err) + F.col("_extra") * F.col("_extra"))).otherwise(F.col(err)), "is_calibrated": ok}
+    ).drop("_shift", "_extra")
+
+
+def normalised_errors(df: DataFrame, factors: DataFrame) -> DataFrame:
+    """err times the survey's factor, 1 where it has none."""
+    return df.join(factors.select("survey", F.col("factor").alias("_f")), "survey", "left").withColumn("err_norm", F.col("err") * F.coalesce("_f", F.lit(1.0))).drop("_f")
+
+
+def without_surveys(df: DataFrame, excluded: list[str]) -> DataFrame:
+    return df.filter(~F.col("survey").isin(*excluded))

@@ -12,7 +12,7 @@ STAR = """c_custkey AS id, (c_custkey * 137.50776405e0) % 360e0 AS ra, degrees(a
 SEEN = """o_orderkey AS id, o_custkey AS star, s.ra + ((o_orderkey % 13) - 6) * 0.02e0 AS ra, s.dec + ((o_orderkey % 11) - 5) * 0.02e0 AS dec,
   s.pmra + ((o_orderkey % 7) - 3) / 50e0 AS pmra, s.pmdec + ((o_orderkey % 5) - 2) / 50e0 AS pmdec,
   CASE WHEN o_orderkey % 10 <> 3 THEN s.plx + ((o_orderkey % 9) - 4) / 20e0 END AS plx, CASE WHEN o_orderkey % 10 <> 4 THEN 0.05e0 + (o_orderkey % 5) / 20e0 END AS e_plx,
-  o_orderpriority AS survey, (o_totalprice % 400e0) - 200e0 AS rv, 0.5e0 + (o_orderkey % 17) / 4e0 AS err, o_orderdate AS at"""
+  o_orderpriority AS survey, (o_totalprice % 400e0) - 200e0 AS rv, 0.5e0 + (o_orderkey % 17) / 4e0 AS err, o_orderdate AS seen_at"""
 MEASURE = """l_partkey AS star, l_orderkey * 10 + l_linenumber AS row_id, concat(l_returnflag, l_linestatus) AS survey,
   CASE WHEN l_discount <> 0.05 THEN l_extendedprice / 100e0 END AS rv, CASE WHEN l_tax <> 0.02 THEN l_quantity END AS err, l_quantity AS snr, l_discount AS disc, l_tax AS tax, l_suppkey AS field"""
 
