@@ -100,7 +100,7 @@ def m1(spark, sf):
 g AS (SELECT node AS id, min(other) AS group_id FROM reach GROUP BY node), v AS (SELECT group_id, rv, err, ra, dec, survey FROM seen JOIN g USING (id)),
 one AS (SELECT group_id, count(*) AS n, sum(rv / (err * err)) / sum(1 / (err * err)) AS wm, avg(rv) AS av, stddev_pop(rv) AS sd, avg(ra) AS ra, avg(dec) AS dec, string_agg(DISTINCT survey, ',' ORDER BY survey) AS surveys FROM v GROUP BY group_id),
 two AS (SELECT group_id, count(*) FILTER (abs(rv - wm) <= 3 * err) AS inside, sum(rv / (err * err)) FILTER (abs(rv - wm) <= 3 * err) / sum(1 / (err * err)) FILTER (abs(rv - wm) <= 3 * err) AS m, 1 / sqrt(sum(1 / (err * err)) FILTER (abs(rv - wm) <= 3 * err)) AS e FROM v JOIN one USING (group_id) GROUP BY group_id)
-SELECT group_id, n, round(ra, 6) AS ra, round(dec, 6) AS dec, round(CASE WHEN inside > 0 THEN m ELSE av END, 4) AS rv, round(CASE WHEN inside > 0 THEN e ELSE sd END, 4) AS rv_err, CASE WHEN inside > 0 THEN n - inside ELSE 0 END AS n_outliers, surveys FROM one JOIN two USING (group_id)""",
+SELECT group_id, n, round(ra, 4) AS ra, round(dec, 4) AS dec, round(CASE WHEN inside > 0 THEN m ELSE av END, 4) AS rv, round(CASE WHEN inside > 0 THEN e ELSE sd END, 4) AS rv_err, CASE WHEN inside > 0 THEN n - inside ELSE 0 END AS n_outliers, surveys FROM one JOIN two USING (group_id)""",
 )
 def p2(spark, sf):
     """Pairs within a radius that agree in parallax, their components, and one merged row for each."""
@@ -108,7 +108,7 @@ def p2(spark, sf):
     pairs = sky_join.self_pairs(d.select("id", "ra", "dec", "plx", "e_plx"), 0.025).filter(sky.parallax_within(F.col("plx"), F.col("e_plx"), F.col("r_plx"), F.col("r_e_plx")))
     g = components.groups(d, pairs.select(F.col("id").alias("a"), F.col("r_id").alias("b")))
     merged = robust.clipped_weighted_mean(g, ["group_id"], "rv", "err")
-    place = g.groupBy("group_id").agg(F.round(F.avg("ra"), 6).alias("ra"), F.round(F.avg("dec"), 6).alias("dec"), robust.joined_text(F.col("survey")).alias("surveys"))
+    place = g.groupBy("group_id").agg(F.round(F.avg("ra"), 4).alias("ra"), F.round(F.avg("dec"), 4).alias("dec"), robust.joined_text(F.col("survey")).alias("surveys"))
     return place.join(merged, "group_id").select("group_id", "n", "ra", "dec", F.round("mean", 4).alias("rv"), F.round("err", 4).alias("rv_err"), "n_outliers", "surveys")
 
 
