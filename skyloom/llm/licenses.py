@@ -92,10 +92,13 @@ def longest_valid(text: str) -> list[str] | None:
     tokens = re.findall(r"[()]|[a-z0-9][a-z0-9.+\-]*", text)
     tokens = [t if t in "()" else t.rstrip(".-") for t in tokens]
     # an expression goes on only over an operator: operand after operand is prose
-    n, operand = 0, True
+    n, operand, before = 0, True, ""
     for t in tokens:
         if operand and t in _RANK or not operand and not (t in _RANK or t == ")"):
             break
+        if operand and t != "(" and not (before == "with" or family(t) in FREEDOM or re.search(r"\d|^licenseref-", t)):
+            break  # a word that names no licence
+        before = t
         operand = t in _RANK or t == "("
         n += 1
     for m in range(n, 0, -1):

@@ -45,7 +45,7 @@ def test_license_expressions():
     assert licenses.evaluate(["mit", "gpl-3.0-only", "and"])[1] == 0.35
     assert licenses.evaluate(["gpl-2.0", "classpath", "with"])[1] == pytest.approx(0.675)
     row = licenses.scan("SPDX-License-Identifier: LGPL-2.1 OR MIT and this is prose", *licenses._automata())
-    assert row[5] == "lgpl,mit,this" or row[5] == "lgpl,mit"
+    assert row[5] == "lgpl,mit"
 
 
 def big(spark):
@@ -161,7 +161,7 @@ def test_word_tokens_equal_the_tokenizer(docs, odd):
     texts += ["".join(chr(c) for c in range(a, a + 40)) for a in range(0, 0x500, 40)] + ["It's we'll 'S'VE a'b ''re x́ Å"]
     for i in range(0, len(texts), 50):
         for t, got in zip(texts[i : i + 50], encoder.encode(texts[i : i + 50])):
-            assert np.frombuffer(got, "<u4").tolist() == tokens_of(t)[:-1]
+            assert np.frombuffer(got, encoder.kind).tolist() == tokens_of(t)[:-1]
 
 
 @pytest.mark.parametrize("shares", [(7, 90, 4000), (1000, 1, 1000), (3,)])
