@@ -68,8 +68,9 @@ def test_toxicity_held_out(spark, odd, empty):
 def test_toxic_sentence_is_found():
     rows = [(f"plain words number {i}. nothing here {i}", 0) for i in range(40)] + [(f"plain words number {i}. you foul thing {i}. end", 1) for i in range(40)]
     weights, bias = toxicity.fit(rows)
-    score, each = toxicity.score("plain words. a foul thing. end", weights, bias)
-    assert score > 0.3 and int(np.argmax(each)) == 1 and toxicity.score("plain words. end", weights, bias)[0] < 0.3
+    scorer = toxicity.Scorer(weights, bias, 2)
+    score, each = scorer.score("plain words. a foul thing. end")
+    assert score > 0.3 and int(np.argmax(each)) == 1 and scorer.score("plain words. end")[0] < 0.3
 
 
 def test_quality_held_out(spark, odd, empty):
