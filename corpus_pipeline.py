@@ -30,8 +30,8 @@ def language(spark, docs, sf_dir):
 
 
 def exact(spark, docs, sf_dir):
-    """One document of each group of equal texts."""
-    return _only(docs, exact_dedup(docs).filter("kept")).dropDuplicates(["doc_id"])
+    """One document of each group of equal texts; of repeated rows, one."""
+    return _only(docs, exact_dedup(docs).filter("kept")).dropDuplicates(["doc_id", "text"])
 
 
 def near(spark, docs, sf_dir):
