@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .binning import binned_median
+from .keyed_join import top_per_group
 from .robust import SCALE, inverse_variance
 
 # Which error factors a survey's own one is taken from, in order.
@@ -23,9 +24,10 @@ def without_copies(df: DataFrame) -> DataFrame:
 
 def repeat_pairs(df: DataFrame, most_rows: int = 30, most_pairs: int = 200, worst_ratio: float = 5.0) -> DataFrame:
     """Pairs of a star's repeats in a survey: its most_rows smallest errors, error ratio within worst_ratio and
-    differing velocities; at most most_pairs a star, in order. t = difference over combined error. Keeping the
-    best few is the operator's meaning; it is done by a bounded array per star, merged before the shuffle."""
-    best = df.groupBy("survey", "star").agg(F.slice(F.array_sort(F.collect_list(F.struct("err", "row_id", "rv"))), 1, most_rows).alias("m"))
+    differing velocities; at most most_pairs a star, in order. t = difference over combined error. The best rows are
+    ranked first, which Spark limits before the shuffle, so a star's array has most_rows entries at most."""
+    ranked = top_per_group(df.select("survey", "star", "err", "row_id", "rv"), ["survey", "star"], ["err", "row_id"], most_rows)
+    best = ranked.groupBy("survey", "star").agg(F.array_sort(F.collect_list(F.struct("err", "row_id", "rv"))).alias("m"))
     pairs = (
         best.select("survey", "star", F.posexplode("m").alias("i", "a"), "m")
         .select("survey", "star", "i", "a", F.posexplode("m").alias("j", "b"))

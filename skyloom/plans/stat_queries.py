@@ -296,10 +296,12 @@ def w6(spark, sf):
 @query("O2_topped_up_selection", f"WITH {SQL_STAR}, r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY mag < 9000, mag DESC, id) AS k, count(*) FILTER (mag >= 9000) OVER (PARTITION BY kind) AS n FROM star WHERE mag >= 5000) SELECT id, kind FROM r WHERE k <= greatest(n, 5)")
 def o2(spark, sf):
     """All stars over a strict bound, topped up to five a kind from those over a relaxed one."""
-    s = stars(spark, sf).filter("mag >= 5000")
-    n = s.groupBy("kind").agg(F.count(F.when(F.col("mag") >= 9000, 1)).alias("n"))
-    k = F.row_number().over(Window.partitionBy("kind").orderBy(F.col("mag") < 9000, F.desc("mag"), "id"))
-    return s.join(n, "kind").withColumn("k", k).filter("k <= greatest(n, 5)").select("id", "kind")
+    s = stars(spark, sf)
+    strict = s.filter("mag >= 9000")
+    n = strict.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    relaxed = keyed_join.top_per_group(s.filter("mag >= 5000 AND mag < 9000"), ["kind"], [F.desc("mag"), "id"], 5)
+    more = relaxed.join(n, "kind", "left").filter("rank <= 5 - coalesce(n, 0)")
+    return strict.select("id", "kind").union(more.select("id", "kind"))
 
 
 @query("O5_seeded_sample")

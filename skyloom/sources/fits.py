@@ -1,8 +1,8 @@
 """FITS binary tables as a Spark data source, read in row ranges.
 
-spark.dataSource.register(FitsSource); spark.read.format("fits").option("ext", 1).load(path). The path is
-read by each task through Spark's own filesystem view where it is local or shared; only the rows and
-columns of a partition are decoded.
+spark.dataSource.register(FitsSource); spark.read.format("fits").option("ext", 1).load(path). The path
+must be a file system that every executor mounts (FITS needs seeking, which Spark's own readers of other
+stores do not offer to Python); a task decodes only its rows and the columns asked for.
 """
 
 from __future__ import annotations
