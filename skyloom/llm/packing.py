@@ -9,6 +9,8 @@ place in the queue, and the deficits carry over from partition to partition with
 
 from __future__ import annotations
 
+import functools
+import os
 import re
 import zlib
 
@@ -25,55 +27,94 @@ _PLAIN = re.compile(r"[\t-\r\x20-\x7e\xa1-\xff]*")
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\sa-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
 
 
+def _byte_letters() -> dict[int, int]:
+    """The letters that byte-level vocabularies write bytes with: printable Latin-1 ones stay, the others follow
+    from U+0100 on; the blank, which parts pieces, stays too."""
+    stay = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
+    return {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in stay) if b != 32}
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
+def _pieces(word: str) -> list[str]:
+    """The tokenizer's pieces of a lower-case word; plain ones need no pattern."""
+    if word.isalpha():
+        return [word]
+    if word[:-1].isalpha() and word[-1] in ".,;:!?":
+        return [word[:-1], word[-1]]
+    return _PIECES.findall(word)
+
+
 class WordTokens:
     """Ids of the tokenizer at path for whole texts. Its pieces never cross white space, so a word's ids
     are kept and reused; words not seen yet go to the tokenizer together."""
 
-    def __init__(self, path: str, most: int = 250_000):
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+    def __init__(self, path: str, most: int = 400_000):
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
         self.words = Tokenizer.from_file(path)
-        self.words.normalizer = normalizers.Lowercase()
-        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        # it gets pieces in lower case, their bytes already as letters
+        self.words.normalizer = None
+        self.words.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        self.kind = "<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4"
         self.ends = np.zeros(self.whole.get_vocab_size(), bool)
         self.ends[[i for t, i in self.whole.get_vocab().items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # words not met again since `known` was last full are forgotten
         self.most = most
 
     def _learn(self, new: list[str]) -> None:
-        pieces = [_PIECES.findall(w) for w in new]
-        flat = [p for ps in pieces for p in ps]
-        lines = [" ".join(flat[i : i + 2000]) for i in range(0, len(flat), 2000)]
+        """new: words not known; their pieces are words too, and learnt first."""
+        pieces = [_pieces(w) for w in new]
+        flat = list({p for ps in pieces for p in ps}.difference(self.known))
+        lines = [" ".join(flat[i : i + 2000]).encode().decode("latin-1").translate(_BYTE_LETTERS) for i in range(0, len(flat), 2000)]
         ids = np.array([i for e in self.words.encode_batch_fast(lines, add_special_tokens=False) for i in e.ids], np.int64)
-        cuts = np.r_[0, np.flatnonzero(self.ends[ids]) + 1][np.cumsum([0] + [len(p) for p in pieces])]
-        raw = ids.astype("<u4").tobytes()
-        for w, a, b in zip(new, cuts[:-1].tolist(), cuts[1:].tolist()):
-            self.known[w] = raw[4 * a : 4 * b]
+        cuts = np.dtype(self.kind).itemsize * np.r_[0, np.flatnonzero(self.ends[ids]) + 1]
+        raw, known = ids.astype(self.kind).tobytes(), self.known
+        known.update(zip(flat, (raw[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()))))
+        known.update((w, b"".join([known[p] for p in ps])) for w, ps in zip(new, pieces) if len(ps) > 1)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        plain = [("<|" not in t) and _PLAIN.fullmatch(t) is not None for t in texts]
-        split = [t.lower().split() if p else [] for t, p in zip(texts, plain)]
+        """Ids of each text, little-endian and unsigned, of type `kind`."""
         if len(self.known) > self.most:
-            self.known.clear()
-        new = {w for ws in split for w in ws if w not in self.known}
+            self.known, self.older = {}, self.known
+        out, gaps, new = [], [], set()
+        for n, t in enumerate(texts):
+            if "<|" in t or not _PLAIN.fullmatch(t):
+                out.append([np.array(self.whole.encode(t, add_special_tokens=False).ids, self.kind).tobytes()])
+                continue
+            ws = t.lower().split()
+            ids = list(map(self.known.get, ws))
+            if None in ids:
+                missing = [(i, ws[i]) for i, x in enumerate(ids) if x is None]
+                gaps.append((n, missing))
+                new.update(w for _, w in missing)
+            out.append(ids)
+        if self.older and new:
+            again = new.intersection(self.older)
+            self.known.update((w, self.older[w]) for w in again)
+            new -= again
         if new:
             self._learn(list(new))
-        get = self.known.__getitem__
-        out = []
-        for t, ws, p in zip(texts, split, plain):
-            out.append(b"".join(map(get, ws)) if p else np.array(self.whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes())
-        return out
+        for n, missing in gaps:
+            for i, w in missing:
+                out[n][i] = self.known[w]
+        return list(map(b"".join, out))
+
+
+@functools.lru_cache(maxsize=1)
+def word_tokens(path: str) -> WordTokens:
+    """One for all tasks of a worker process: its words stay known."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return WordTokens(path)
 
 
 def _tokenized(path, end_id, group_chars):
     def run(batches):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, before, part = WordTokens(path), {}, TaskContext.get().partitionId()
-        end = np.array([end_id], "<u4").tobytes()
+        encoder, before, part = word_tokens(path), {}, TaskContext.get().partitionId()
+        end, size = np.array([end_id], encoder.kind).tobytes(), np.dtype(encoder.kind).itemsize
         for pdf in batches:
             at = 0
             sizes = pdf.text.str.len().cumsum().to_numpy()
@@ -84,8 +125,8 @@ def _tokenized(path, end_id, group_chars):
                 starts = []
                 for q, x in zip(piece.queue, ids):
                     starts.append(before.get(q, 0))
-                    before[q] = starts[-1] + len(x) // 4
-                yield pd.DataFrame({"part": part, "queue": piece.queue, "doc_id": piece.doc_id, "n": [len(x) // 4 for x in ids], "before": starts, "ids": ids})
+                    before[q] = starts[-1] + len(x) // size
+                yield pd.DataFrame({"part": part, "queue": piece.queue, "doc_id": piece.doc_id, "n": [len(x) // size for x in ids], "before": starts, "ids": ids})
                 at = to
 
     return run
@@ -101,26 +142,34 @@ def quota_sum(w: int, lo: int, hi: int, total: int, window: int) -> tuple[int, i
 def pieces(start: int, n: int, lo: int, hi: int, total: int, window: int):
     """(place in the document, length, window number, offset) of n tokens from place start of a queue."""
     at, w = start, start * total // ((hi - lo) * window)
-    while quota_sum(w, lo, hi, total, window)[1] > at:
+    below, own = quota_sum(w, lo, hi, total, window)
+    while own > at:
         w -= 1
-    while at < start + n:
         below, own = quota_sum(w, lo, hi, total, window)
+    while at < start + n:
         below_next, own_next = quota_sum(w + 1, lo, hi, total, window)
         if own_next > at:
             take = min(own_next, start + n) - at
             yield at - start, take, w, (below_next - below) + at - own
             at += take
-        w += 1
+        w, below, own = w + 1, below_next, own_next
 
 
 def _packed(total, window):
     def run(batches):
         for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                for at, n, w, offset in pieces(int(r.queue_start) + int(r.before), int(r.n), int(r.lo), int(r.hi), total, window):
-                    out.append((r.doc_id, at, n, zlib.crc32(r.ids[4 * at : 4 * (at + n)]), r.n, w, offset))
-            yield pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+            of, start, length, crc, sequence, offset = [], [], [], [], [], []
+            columns = zip(pdf.queue_start.tolist(), pdf.before.tolist(), pdf.n.tolist(), pdf.lo.tolist(), pdf.hi.tolist(), pdf.ids)
+            for k, (ahead, before, n, lo, hi, ids) in enumerate(columns):
+                raw = np.frombuffer(ids, f"<u{len(ids) // n}").astype("<u4").tobytes()
+                for at, m, w, o in pieces(ahead + before, n, lo, hi, total, window):
+                    of.append(k)
+                    start.append(at)
+                    length.append(m)
+                    crc.append(zlib.crc32(raw[4 * at : 4 * (at + m)]))
+                    sequence.append(w)
+                    offset.append(o)
+            yield pd.DataFrame({"doc_id": pdf.doc_id.take(of).array, "start": start, "length": length, "ids_crc32": crc, "doc_tokens": pdf.n.take(of).array, "sequence_id": sequence, "offset": offset})
 
     return run
 
@@ -135,7 +184,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     partitions read. An empty table gives an empty result.
     """
     rows = chosen(docs, id_col, text_col, source=source_col).withColumn("source", F.col("source").cast("string"))
-    sizes = rows.groupBy("source").agg(F.sum(F.length("text") + 1).alias("chars"))
+    sizes = stored(rows.groupBy("source").agg(F.sum(F.length("text") + 1).alias("chars")), "source-sizes")
     whole = sizes.agg(F.sum("chars")).first()[0] or 0
     own = {r.source: i + 1 for i, r in enumerate(sizes.filter(F.col("source").isNotNull() & (F.col("chars") * window >= 4 * whole)).orderBy("source").collect())}
     queue = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in own.items() for x in kv)), F.col("source")), F.lit(0)) if own else F.lit(0)
