@@ -1,8 +1,8 @@
 """Benchmark decontamination: suffix arrays over shards of the training texts, searched for test suffixes.
 
 A shard is a batch of documents. Its suffix array holds the runs of words that the tests know at all;
-every suffix of every test item is looked up by binary search, which gives its longest verbatim match
-and all places of its window. The tests are taken in blocks of bounded size, so what is sent to the
+every suffix of every test item is looked up by binary search, equal ones once, which gives all places of its
+window; from there the items' own suffix array tells the longest verbatim match. The tests are taken in blocks of bounded size, so what is sent to the
 tasks has a bound however many tests there are.
 """
 
@@ -18,22 +18,43 @@ from pyspark.sql import functions as F
 
 from .common import chosen, documents, stored
 from .licenses import words
+from .repeats import _common
 
 
 class Items:
-    """A block of items as word numbers; suffixes are big-endian bytes, so bytes order as words do."""
+    """A block of items as word numbers, in big-endian bytes, so that bytes order as words do: the distinct windows
+    with their items, and a suffix array of the items that have more than a window."""
 
     def __init__(self, items: list[tuple[str, str]], window: int):
+        self.window = window
         self.numbers: dict[bytes, int] = {}
-        self.suffixes = []  # item, its place, suffix, window length
-        self.least = None
+        self.windows: dict[bytes, set[str]] = {}
+        self.names = sorted({item for item, _ in items})
+        rank = {name: i for i, name in enumerate(self.names)}
+        row, of, self.longest = [], [], 0
         for item, text in items:
             ids = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in words(text)]
             if not ids:
                 continue
             n, raw = min(window, len(ids)), np.array(ids, ">u4").tobytes()
-            self.least = n if self.least is None else min(self.least, n)
-            self.suffixes += [(item, p, raw[4 * p :], n) for p in range(len(ids) - n + 1)]
+            for p in range(len(ids) - n + 1):
+                self.windows.setdefault(raw[4 * p : 4 * (p + n)], set()).add(item)
+            if len(ids) >= window:
+                row += [*ids, 0]
+                of += [rank[item]] * (len(ids) + 1)
+                self.longest = max(self.longest, len(ids))
+        self.least = min((len(w) // 4 for w in self.windows), default=None)
+        self.raw, self.of = np.array(row, ">u4").tobytes(), np.array(of, np.int32)
+        self.order = suffix_array(np.array(row, np.int64), self.longest + 1) if row else np.zeros(0, np.int64)
+
+    def longest_match(self, text: bytes) -> tuple[int, str]:
+        """Words of the longest match of an item's part with the beginning of text, and the first such item."""
+        key = lambda i: self.raw[4 * i : 4 * i + len(text)]
+        at = bisect_left(self.order, text, key=key)
+        n = max(_common(text, key(i)) for i in self.order[max(0, at - 1) : at + 1].tolist()) // 4
+        text = text[: 4 * n]
+        lo = bisect_left(self.order, text, key=key)
+        return n, self.names[self.of[self.order[lo : bisect_right(self.order, text, lo=lo, key=key)]].min()]
 
 
 def suffix_array(ids: np.ndarray, depth: int) -> np.ndarray:
@@ -68,45 +89,45 @@ def search_shard(texts: list[str], tests: Items) -> list[tuple]:
     doc_of = np.repeat([d for d, _, _ in runs], [n + 1 for _, _, n in runs])
     place_of = np.concatenate([np.arange(a, a + n + 1) for _, a, n in runs])
     assert first[-1] == len(shard) == len(place_of)
-    order = suffix_array(shard, max(len(s) // 4 for _, _, s, _ in tests.suffixes)).tolist()
+    order = suffix_array(shard, tests.window).tolist()
     raw = shard.astype(">u4").tobytes()
-    hit, found = np.zeros(len(shard) + 1, np.int64), []
-    for k, (item, p, suffix, n) in enumerate(tests.suffixes):
-        head = suffix[: 4 * n]
+    hit, whole = np.zeros(len(shard) + 1, np.int64), np.zeros(len(shard), bool)
+    found_items: dict[int, set[str]] = {}
+    best: dict[int, tuple] = {}
+    for head, items in tests.windows.items():
         key = lambda i, m=len(head): raw[4 * i : 4 * i + m]
         lo = bisect_left(order, head, key=key)
-        if lo < len(order) and key(order[lo]) == head:
-            at = np.array(order[lo : bisect_right(order, head, lo=lo, key=key)])
-            np.add.at(hit, at, 1)
-            np.add.at(hit, at + n, -1)
-            found.append(np.c_[np.full(len(at), k), at - p, at])
-    if not found:
+        if lo == len(order) or key(order[lo]) != head:
+            continue
+        n, at = len(head) // 4, np.sort(order[lo : bisect_right(order, head, lo=lo, key=key)])
+        hit[at] += 1
+        hit[at + n] -= 1
+        docs, where = np.unique(doc_of[at], return_index=True)
+        for d, i in zip(docs.tolist(), at[where].tolist()):
+            found_items.setdefault(d, set()).update(items)
+            if n < tests.window:
+                new = (n, int(place_of[i]), min(items))
+                if d not in best or (-new[0], *new[1:]) < (-best[d][0], *best[d][1:]):
+                    best[d] = new
+        if n == tests.window:
+            whole[at] = True
+    if not found_items:
         return out
+    # a match is no longer than the windows that follow one another from its start on, and than an item
+    starts = np.flatnonzero(whole)
+    cut = np.flatnonzero(np.diff(starts) != 1)
+    last = np.repeat(starts[np.r_[cut, len(starts) - 1]], np.diff(np.r_[-1, cut, len(starts) - 1])) if len(starts) else starts
+    for i, most in zip(starts.tolist(), np.minimum(last - starts + tests.window, tests.longest).tolist()):
+        d = int(doc_of[i])
+        if d not in best or most > best[d][0]:
+            n, item = tests.longest_match(raw[4 * i : 4 * (i + most)])
+            if d not in best or n > best[d][0]:
+                best[d] = (n, int(place_of[i]), item)
     hit = np.cumsum(hit)[:-1] > 0
-    found = np.concatenate(found)
-    docs = doc_of[found[:, 2]]
-    items = [x[0] for x in tests.suffixes]
-    lengths = np.array([x[3] for x in tests.suffixes])
-    number = np.unique(np.array(items, object).astype(str), return_inverse=True)[1]
-    # windows that follow one another on a diagonal of text and item are one longer match
-    o = np.lexsort((found[:, 2], found[:, 1], number[found[:, 0]]))
-    f, k = found[o], number[found[o][:, 0]]
-    start = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (f[1:, 1] != f[:-1, 1]) | (f[1:, 2] != f[:-1, 2] + 1)])
-    size = np.diff(np.r_[start, len(f)]) + lengths[f[start, 0]] - 1
-    best: dict[int, tuple] = {}
-    for s, n in zip(start.tolist(), size.tolist()):
-        at = int(f[s, 2])
-        new = (n, int(place_of[at]), items[f[s, 0]])
-        d = int(doc_of[at])
-        if d not in best or (-new[0], new[1], new[2]) < (-best[d][0], best[d][1], best[d][2]):
-            best[d] = new
     hit_docs, hit_places = doc_of[hit], place_of[hit]
-    pairs = sorted({(d, items[x]) for d, x in zip(docs.tolist(), found[:, 0].tolist())})
-    found_items: dict[int, list] = {}
-    for d, x in pairs:
-        found_items.setdefault(d, []).append(x)
-    for d in found_items:
-        out[d] = (n_words[d], hit_places[hit_docs == d], found_items[d], best[d])
+    for d in found_items:  # hit_docs is in order
+        a, b = np.searchsorted(hit_docs, [d, d + 1])
+        out[d] = (n_words[d], hit_places[a:b], sorted(found_items[d]), best[d])
     return out
 
 
@@ -152,10 +173,11 @@ def decontaminate(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", tex
         found = rows.mapInPandas(_search(block), f"doc_id {kind}, d1 long, {_RAW}")
         found = found if n_blocks == 1 else stored(found, "hits")
         raw = found if raw is None else raw.unionByName(found)
+    first = F.struct(-F.col("best.m"), F.col("best.at"), F.col("best.item"))
     if n_blocks > 1:  # a document's hits from all blocks; repeated rows are counted and dealt out again
         raw = (
             raw.groupBy("doc_id", "d1", "n_words")
-            .agg(F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.max("best").alias("best"), (F.count(F.lit(1)) / n_blocks).cast("int").alias("copies"))
+            .agg(F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.min_by("best", first).alias("best"), (F.count(F.lit(1)) / n_blocks).cast("int").alias("copies"))
             .withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
         )
     n_hit = F.size("hits").cast("long")

@@ -211,6 +211,21 @@ def test_longest_match_and_suffix_array():
     assert out[0][3] == (5, 2, "i") and out[1][3] == (3, 0, "i") and out[0][2] == ["i", "j"]
 
 
+def test_long_item_is_kept_in_linear_space():
+    tests = Items([("i", "a b c " * 40_000)], 13)
+    assert {len(w) for w in tests.windows} == {4 * 13} and len(tests.windows) == 3
+    out = search_shard(["z " + "b c a " * 20_000 + "z", "a b c"], tests)
+    assert len(out[0][1]) == 60_000 and out[0][3][:2] == (60_000, 1) and not len(out[1][1])
+
+
+def test_longest_match_is_the_same_in_blocks(spark):
+    docs = spark.createDataFrame([(1, "x a b c d y e f g h"), (2, "e f g h a b c d"), (3, "q"), (4, None)], "doc_id long, text string")
+    tests = spark.createDataFrame([("i", "a b c d"), ("j", "e f g h"), ("k", "e f g h"), ("l", "c d")], "item_id string, text string")
+    for block in (4 << 20, 5):
+        got = decontaminate(docs, tests, window=3, block_chars=block)
+        assert sorted(map(tuple, got.select("doc_id", "longest_match", "longest_at", "longest_item").collect())) == [(1, 4, 1, "i"), (2, 4, 0, "j"), (3, 0, None, None), (4, 0, None, None)]
+
+
 def test_empty_tables(spark, empty):
     tests = spark.createDataFrame([], "item_id long, text string")
     for df in (exact_dedup(empty), simhash_dedup(empty), remove_repeats(empty), decontaminate(empty, tests)):
