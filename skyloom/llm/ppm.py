@@ -1,9 +1,10 @@
 """Language-model scores by prediction by partial matching over bytes, beside a word baseline.
 
-The byte-context trie has contexts of up to two bytes. Counts of all training texts are summed by
-Spark; the trie is then frozen, with escapes (method C: as often as there are distinct symbols) and
-symbol exclusion worked out for each context, so that scoring a byte is one look-up. A trie of two
-byte contexts has at most 2**16 * 256 leaves, the bound of what is sent to the tasks.
+The byte-context trie has contexts of up to `order` bytes. It is a Spark table of (context, symbol)
+counts over all training texts that grows with them and is never gathered: each batch of texts gives
+its distinct (context, symbol) pairs, escapes (method C: as often as there are distinct symbols) and
+symbol exclusion are worked out by joins between the levels of the trie, and the frozen probabilities
+are joined to the pairs of each batch. `Trie` is the same model of order 2 in one process.
 """
 
 from __future__ import annotations
@@ -132,9 +133,98 @@ def adaptive_score(text: bytes, order: int = 2) -> float:
     return float(total)
 
 
-# kind 0: a batch (digests of its texts, their token counts, token numbers); 1: a token of a batch, its
-# number there and count in training texts; 2: a trigram and its count in training texts
-_GATHERED = "kind int, batch long, token binary, number int, n long, d1 array<long>, d2 array<long>, sizes array<int>, stream binary"
+def _buffer(texts: list[bytes], order: int):
+    """Texts one after the other, `order` zero bytes before each; which bytes are a text's own; first byte and end of each."""
+    pad = b"\0" * order
+    b = np.frombuffer(b"".join(x for t in texts for x in (pad, t)), np.uint8)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    ends = np.cumsum(sizes + order)
+    starts = ends - sizes
+    own = np.ones(len(b), bool)
+    for j in range(1, order + 1):
+        own[starts - j] = False
+    return b, own, starts, ends
+
+
+def _codes(b: np.ndarray, order: int, a: int, z: int) -> np.ndarray:
+    """(context, symbol) of the bytes a..z, a not below order."""
+    v = b[a - order : z].astype(np.int64)
+    code = np.zeros(z - a, np.int64)
+    for j in range(order + 1):
+        code = code << 8 | v[j : j + z - a]
+    return code
+
+
+def _slices(b: np.ndarray, order: int):
+    return ((a, min(a + _CHUNK, len(b))) for a in range(order, len(b), _CHUNK))
+
+
+def context_counts(texts: list[bytes], train: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (context, symbol) codes of all texts, ascending, and how often each is in the training ones."""
+    b, own, _, ends = _buffer(texts, order)
+    taught = np.repeat(train, np.diff(ends, prepend=0)) if len(texts) else own
+    codes, counts = [np.zeros(0, np.int64)], [np.zeros(0)]
+    for a, z in _slices(b, order):
+        at, code = pd.factorize(_codes(b, order, a, z)[own[a:z]])
+        codes.append(code)
+        counts.append(np.bincount(at, taught[a:z][own[a:z]], len(code)))
+    code, inverse = np.unique(np.concatenate(codes), return_inverse=True)
+    return code, np.bincount(inverse, np.concatenate(counts), len(code)).astype(np.int64)
+
+
+def _sums(texts: list[bytes], order: int, code: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Sum of p over the (context, symbol) codes of each text."""
+    b, own, starts, ends = _buffer(texts, order)
+    index, out = pd.Index(code), np.zeros(len(texts))
+    for a, z in _slices(b, order):
+        keep = own[a:z]
+        value = np.zeros(z - a)
+        value[keep] = p[index.get_indexer(_codes(b, order, a, z)[keep])]
+        value = np.r_[0.0, np.cumsum(value)]
+        out += value[np.clip(ends, a, z) - a] - value[np.clip(starts, a, z) - a]
+    return out
+
+
+def frozen(grams: DataFrame, order: int) -> DataFrame:
+    """grams: code (context and symbol), n (0 if no training text has it) -> code, p: log10 probability of the
+    symbol in its context. A level of the trie is the sum of the level above it over the first context byte, so
+    what a context has seen is seen in all its shorter ones: exclusion takes the context's own symbols off the
+    totals of the next. UTF-8 never has all 256 bytes, so some are always left below order 0."""
+    low = lambda k: F.col("code").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1))
+    pairs = {order: grams.filter("n > 0")}
+    for k in range(order - 1, -1, -1):
+        pairs[k] = stored(pairs[k + 1].groupBy(low(k).alias("code")).agg(F.sum("n").alias("n")), f"pairs-{k}")
+    contexts = {}
+    for k in range(1, order + 1):
+        shorter = pairs[k - 1].select(F.col("code").alias("short"), F.col("n").alias("below"))
+        found = pairs[k].withColumn("short", low(k - 1)).join(shorter, "short")
+        contexts[k] = stored(found.groupBy(F.shiftright("code", 8).alias("context")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"), F.sum("below").alias("below")), f"contexts-{k}")
+    seen = pairs[order].withColumn("context", F.shiftright("code", 8)).join(contexts[order], "context")
+    seen = seen.select("code", F.log10(F.col("n") / (F.col("total") + F.col("kinds"))).alias("p"))
+
+    root = pairs[0].agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("kinds")).first()
+    rest = grams.filter("n = 0").select("code", F.lit(0.0).alias("escaped"), F.lit(0).cast("long").alias("gone"), F.lit(0).cast("long").alias("gone_kinds"), F.lit(None).cast("double").alias("p"))
+    for k in range(order, -1, -1):
+        rest = rest.withColumn("short", low(k)).withColumn("context", F.shiftright("short", 8))
+        if k:
+            rest = rest.join(contexts[k], "context", "left").na.fill(0, ["total", "kinds", "below"])
+        else:
+            rest = rest.withColumns({"total": F.lit(root.total), "kinds": F.lit(root.kinds), "below": F.lit(0)})
+        rest = rest.join(pairs[k].select(F.col("code").alias("short"), "n"), "short", "left")
+        live, all_of = F.col("total") - F.col("gone"), F.col("total") - F.col("gone") + F.col("kinds") - F.col("gone_kinds")
+        rest = rest.select(
+            "code",
+            F.when(live > 0, F.col("escaped") + F.log10((all_of - live) / all_of)).otherwise(F.col("escaped")).alias("escaped"),
+            F.col("below").cast("long").alias("gone"),
+            F.col("kinds").cast("long").alias("gone_kinds"),
+            F.coalesce("p", F.when(F.col("n").isNotNull(), F.col("escaped") + F.log10(F.col("n") / all_of))).alias("p"),
+        )
+    return seen.union(rest.select("code", F.coalesce("p", F.col("escaped") - F.lit(float(np.log10(256 - root.kinds)))).alias("p")))
+
+
+# kind 0: a batch (digests of its texts, their sizes in bytes, the texts); 1: a token of a batch, its number
+# there and count in training texts; 2: a (context, symbol) code of a batch and its count in training texts
+_GATHERED = "kind int, batch long, token binary, number long, n long, d1 array<long>, d2 array<long>, sizes array<int>, stream binary"
 
 
 def _pieces(batches, chars):
@@ -146,84 +236,93 @@ def _pieces(batches, chars):
             yield pdf.iloc[a:b]
 
 
-def _gather(batches, chars=8 << 20):
-    part, k = TaskContext.get().partitionId(), 0
-    for pdf in _pieces(batches, chars):
-        numbers: dict[bytes, int] = {}
-        sizes, stream, counts, trained = [], [], Counter(), []
-        for text, train in zip(pdf.text, pdf.train):
-            raw = text.encode("utf-8", "surrogatepass")
-            tokens = raw.lower().split()
-            for t in tokens:
-                numbers.setdefault(t, len(numbers))
-            at = np.fromiter(map(numbers.__getitem__, tokens), np.uint32, len(tokens))
-            sizes.append(len(tokens))
-            stream.append(at)
-            if train:
-                trained.append(raw)
-        flat = np.concatenate(stream) if stream else np.zeros(0, np.uint32)
-        keep = np.repeat(pdf.train.to_numpy(bool), sizes)
-        count = np.bincount(flat[keep], minlength=len(numbers)) if len(numbers) else np.zeros(0, np.int64)
-        batch = part << 32 | k
-        k += 1
-        packed = zstandard.ZstdCompressor(level=1).compress(flat.tobytes())
-        yield pd.DataFrame({"kind": 0, "batch": [batch], "token": None, "number": 0, "n": 0, "d1": [pdf.d1.tolist()], "d2": [pdf.d2.tolist()], "sizes": [sizes], "stream": [packed]})
-        names = list(numbers)
-        for i in range(0, len(names), 50_000):
-            m = len(names[i : i + 50_000])
-            yield pd.DataFrame({"kind": 1, "batch": batch, "token": names[i : i + m], "number": np.arange(i, i + m, dtype=np.int32), "n": count[i : i + m], "d1": None, "d2": None, "sizes": None, "stream": None})
-        code, n = trigrams(trained)
-        yield pd.DataFrame({"kind": 2, "batch": batch, "token": None, "number": code.astype(np.int32), "n": n, "d1": None, "d2": None, "sizes": None, "stream": None})
-
-
-def _answer(smoothing):
+def _numbered(raw: list[bytes]):
+    """Number of each distinct token in order of first sight, the numbers of all tokens, tokens a text."""
+    numbers: dict[bytes, int] = {}
+    sizes, stream = [], [np.zeros(0, np.uint32)]
+    for r in raw:
+        tokens = r.lower().split()
+        for t in tokens:
+            numbers.setdefault(t, len(numbers))
+        stream.append(np.fromiter(map(numbers.__getitem__, tokens), np.uint32, len(tokens)))
+        sizes.append(len(tokens))
+    return numbers, np.concatenate(stream), sizes
+
+
+def _gather(order, chars=8 << 20):
+    def run(batches):
+        part, k = TaskContext.get().partitionId(), 0
+        for pdf in _pieces(batches, chars):
+            raw = [t.encode("utf-8", "surrogatepass") for t in pdf.text]
+            train = pdf.train.to_numpy(bool)
+            numbers, flat, sizes = _numbered(raw)
+            count = np.bincount(flat[np.repeat(train, sizes)], minlength=len(numbers)) if len(numbers) else np.zeros(0, np.int64)
+            batch = part << 32 | k
+            k += 1
+            packed = zstandard.ZstdCompressor(level=3).compress(b"".join(raw))
+            yield pd.DataFrame({"kind": 0, "batch": [batch], "token": None, "number": 0, "n": 0, "d1": [pdf.d1.tolist()], "d2": [pdf.d2.tolist()], "sizes": [list(map(len, raw))], "stream": [packed]})
+            names = list(numbers)
+            for i in range(0, len(names), 50_000):
+                m = len(names[i : i + 50_000])
+                yield pd.DataFrame({"kind": 1, "batch": batch, "token": names[i : i + m], "number": np.arange(i, i + m), "n": count[i : i + m], "d1": None, "d2": None, "sizes": None, "stream": None})
+            del numbers, names, flat
+            code, n = context_counts(raw, train, order)
+            for i in range(0, len(code), 200_000):
+                yield pd.DataFrame({"kind": 2, "batch": batch, "token": None, "number": code[i : i + 200_000], "n": n[i : i + 200_000], "d1": None, "d2": None, "sizes": None, "stream": None})
+
+    return run
+
+
+def _answer(smoothing, order):
+    """found: of, at, v: the count of token -1 - at, or the log10 probability of code at."""
+
     def run(batch, found):
         out = []
+        at, v = found["at"].to_numpy(), found.v.to_numpy()
         for r in batch.itertuples(index=False):
-            flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(r.stream), np.uint32)
-            c = np.zeros(len(found), np.int64)
-            c[found.number.to_numpy()] = found.c.to_numpy()
+            whole, cut = zstandard.ZstdDecompressor().decompress(r.stream), np.r_[0, np.cumsum(r.sizes)].astype(int).tolist()
+            raw = [whole[a:b] for a, b in zip(cut[:-1], cut[1:])]
+            numbers, flat, sizes = _numbered(raw)
+            c = np.zeros(len(numbers))
+            c[-1 - at[at < 0]] = v[at < 0]
             value = np.r_[0.0, np.cumsum(np.log10(c + smoothing)[flat])] if len(flat) else np.zeros(1)
             known = np.r_[0, np.cumsum((c > 0)[flat])] if len(flat) else np.zeros(1, np.int64)
-            ends = np.cumsum(r.sizes)
+            ends = np.cumsum(sizes)
             starts = np.r_[0, ends[:-1]].astype(int)
-            out.append(pd.DataFrame({"d1": r.d1, "d2": r.d2, "words": r.sizes, "known": known[ends] - known[starts], "log_sum": value[ends] - value[starts]}))
-        return pd.concat(out) if out else pd.DataFrame({"d1": [], "d2": [], "words": [], "known": [], "log_sum": []})
+            score = _sums(raw, order, at[at >= 0], v[at >= 0])
+            out.append(pd.DataFrame({"d1": r.d1, "d2": r.d2, "words": sizes, "known": known[ends] - known[starts], "log_sum": value[ends] - value[starts], "score": score}))
+        return pd.concat(out) if out else pd.DataFrame({"d1": [], "d2": [], "words": [], "known": [], "log_sum": [], "score": []})
 
     return run
 
 
-def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, held_fold: int = 0, smoothing: float = 0.1) -> DataFrame:
+def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, held_fold: int = 0, smoothing: float = 0.1, order: int = 4) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
     base_score: tokens between [\\x20\\x09-\\x0D], and one end a text, under smoothed counts of the training
-    texts. score: log10 probability of the text's bytes under the pretrained trie; an empty text scores 0.
-    Null text counts as empty, a null doc_id falls into fold crc32('') mod folds. Repeated rows score alike,
-    each taught once. Without training texts all counts are 0 and bytes are equally likely.
+    texts. score: log10 probability of the text's bytes under the pretrained trie of `order` context bytes (1 to
+    6); an empty text scores 0. Null text counts as empty, a null doc_id falls into fold crc32('') mod folds.
+    Repeated rows score alike, each taught once. Without training texts all counts are 0 and bytes are equally likely.
     """
-    kind = dict(docs.dtypes)[id_col]
+    if not 1 <= order <= 6:
+        raise ValueError("order must be 1 to 6: a context and its symbol are one long")
     rows = chosen(docs, id_col, text_col).select("doc_id", "text", (id_bucket("doc_id", folds) != held_fold).alias("train"), F.xxhash64("text").alias("d1"), F.xxhash64(F.lit(1), "text").alias("d2"))
-    gathered = stored(rows.select("text", "train", "d1", "d2").mapInPandas(_gather, _GATHERED), "gathered")
+    gathered = stored(rows.select("text", "train", "d1", "d2").mapInPandas(_gather(order), _GATHERED), "gathered")
     tokens = gathered.filter("kind = 1").select("batch", "token", "number", "n")
     counts = stored(tokens.groupBy("token").agg(F.sum("n").alias("c")).filter("c > 0"), "counts")
     ends = rows.filter("train").count()
     seen = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n_train, distinct = (seen.n or 0) + ends, seen.v + (ends > 0)
-    model = gathered.filter("kind = 2").groupBy(F.col("number").alias("code")).agg(F.sum("n").alias("n")).toPandas()
-    trie = docs.sparkSession.sparkContext.broadcast(Trie(model.code.to_numpy(np.int64), model.n.to_numpy(np.int64)))
+    codes = gathered.filter("kind = 2").select("batch", F.col("number").alias("code"), "n")
+    model = stored(frozen(stored(codes.groupBy("code").agg(F.sum("n").alias("n")), "grams"), order), "model")
 
-    known = tokens.join(counts, "token", "left").select(F.col("batch").alias("of"), "number", F.coalesce("c", F.lit(0)).alias("c"))
+    known = tokens.join(counts, "token", "left").select(F.col("batch").alias("of"), (-1 - F.col("number")).alias("at"), F.coalesce("c", F.lit(0)).cast("double").alias("v"))
+    known = known.union(codes.select("batch", "code").join(model, "code").select("batch", "code", "p"))
     texts = gathered.filter("kind = 0").select("batch", "d1", "d2", "sizes", "stream")
-    base = texts.groupBy("batch").cogroup(known.groupBy("of")).applyInPandas(_answer(smoothing), "d1 long, d2 long, words long, known long, log_sum double")
-    base = stored(base.groupBy("d1", "d2").agg(F.max("words").alias("words"), F.max("known").alias("known"), F.max("log_sum").alias("log_sum")), "base")
-
-    def run(batches):
-        for pdf in batches:
-            raw = [t.encode("utf-8", "surrogatepass") for t in pdf.text]
-            size = np.array([len(t) for t in raw], np.int64)
-            yield pd.DataFrame({"doc_id": pdf.doc_id, "held_out": ~pdf.train.to_numpy(bool), "d1": pdf.d1, "d2": pdf.d2, "n_bytes": size, "score": trie.value.score(raw)})
+    base = texts.groupBy("batch").cogroup(known.groupBy("of")).applyInPandas(_answer(smoothing, order), "d1 long, d2 long, words long, known long, log_sum double, score double")
+    base = stored(base.groupBy("d1", "d2").agg(*(F.max(c).alias(c) for c in ("words", "known", "log_sum", "score"))), "base")
 
-    scored = rows.mapInPandas(run, f"doc_id {kind}, held_out boolean, d1 long, d2 long, n_bytes long, score double")
+    scored = rows.select("doc_id", (~F.col("train")).alias("held_out"), "d1", "d2", F.octet_length("text").alias("n_bytes"))
     log_all = float(np.log10(n_train + smoothing * (distinct + 1)))
     log_end = float(np.log10(ends + smoothing))
     return scored.join(base, ["d1", "d2"]).select(
