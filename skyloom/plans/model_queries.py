@@ -107,7 +107,7 @@ def m6(spark, sf):
 
 def _candidates(spark, sf):
     d = detections(spark, sf).select("id", "ra", "dec", "pmra", "pmdec", F.lit(0.1).alias("e_pmra"), F.lit(0.1).alias("e_pmdec"), F.lit(0.0).alias("rho"), "rv", F.col("err").alias("e_rv"))
-    o = stars(spark, sf).filter("id % 20 = 0").select(F.col("name").alias("object"), F.col("ra").alias("o_ra"), F.col("dec").alias("o_dec"), F.lit(60.0).alias("rhalf_arcmin"), F.lit(0.2).alias("ellipticity"), F.lit(15.0).alias("pa"))
+    o = stars(spark, sf).select(F.col("name").alias("object"), F.col("ra").alias("o_ra"), F.col("dec").alias("o_dec"), F.lit(60.0).alias("rhalf_arcmin"), F.lit(0.2).alias("ellipticity"), F.lit(15.0).alias("pa"))
     return membership.candidates(d, o, 3.0)
 
 
