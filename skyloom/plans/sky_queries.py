@@ -199,3 +199,10 @@ def a33(spark, sf):
     centres = stars(spark, sf).filter("id % 50 = 0").select("id", "ra", "dec")
     ring = sky_join.within(centres, prefixed(detections(spark, sf).select("id", "ra", "dec")), 1.5).filter("sep > 0.5")
     return ring.groupBy(F.col("id").alias("centre")).agg(F.round(F.count(F.lit(1)) / (F.pi() * 2.0), 8).alias("density"))
+
+
+@query("A33_annulus_density_all")
+def a33_all(spark, sf):
+    """A33 about every star; A33_annulus_density takes the centres that its SQL names."""
+    ring = sky_join.within(stars(spark, sf).select("id", "ra", "dec"), prefixed(detections(spark, sf).select("id", "ra", "dec")), 1.5).filter("sep > 0.5")
+    return ring.groupBy(F.col("id").alias("centre")).agg(F.round(F.count(F.lit(1)) / (F.pi() * 2.0), 8).alias("density"))
