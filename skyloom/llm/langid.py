@@ -12,11 +12,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chosen, documents, id_bucket
-from .linear import bounded_sample
+from .common import chosen, documents, id_bucket, stored
 
 GRAM = 4
 _LETTER = re.compile(r"[^\W\d_]")
@@ -37,7 +36,7 @@ def grams(text: str) -> np.ndarray:
 @dataclass
 class Filters:
     languages: list[str]
-    slots: np.ndarray  # uint64, a bit for each language
+    slots: np.ndarray  # uint64, a row a slot, a bit for each language in as many words as they need
     share: np.ndarray  # of n-grams that a language's slice holds falsely
 
     def _slots(self, gram: np.ndarray):
@@ -46,12 +45,17 @@ class Filters:
 
     @classmethod
     def build(cls, languages: list[str], gram: np.ndarray, mask: np.ndarray) -> Filters:
-        # 16 slots for each distinct n-gram keep three hash functions under one false positive in a hundred
-        size = 1 << max(10, int(16 * max(1, len(gram)) - 1).bit_length())
-        out = cls(languages, np.zeros(size, np.uint64), np.zeros(len(languages)))
+        """mask: a row for each n-gram, words of 64 languages; one word may be given flat."""
+        mask = mask[:, None] if mask.ndim == 1 else mask
+        bit = lambda table, i: (table[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)
+        # a language's slice is a filter of its own: 16 slots for each n-gram of the language that has most keep
+        # three hash functions under one false positive in a hundred
+        most = max((int(bit(mask, i).sum()) for i in range(len(languages))), default=0)
+        size = 1 << max(10, int(16 * max(1, most) - 1).bit_length())
+        out = cls(languages, np.zeros((size, mask.shape[1]), np.uint64), np.zeros(len(languages)))
         for at in out._slots(gram):
             np.bitwise_or.at(out.slots, at.astype(np.int64), mask)
-        fill = [np.mean((out.slots >> np.uint64(i)) & np.uint64(1)) for i in range(len(languages))]
+        fill = [np.mean(bit(out.slots, i)) for i in range(len(languages))]
         out.share = np.array(fill) ** len(_MIX)
         return out
 
@@ -59,7 +63,7 @@ class Filters:
         """n-grams that each language contains, corrected for false positives: seen = true + share * (n - true)."""
         a, b, c = (self.slots[x.astype(np.int64)] for x in self._slots(gram))
         both = a & b & c
-        seen = np.array([np.count_nonzero(both & np.uint64(1 << i)) for i in range(len(self.languages))], float)
+        seen = np.array([np.count_nonzero(both[:, i // 64] & np.uint64(1 << i % 64)) for i in range(len(self.languages))], float)
         return np.maximum(0, (seen - self.share * len(gram)) / np.maximum(1e-9, 1 - self.share))
 
     def decide(self, text: str, slice_size: int = 1 << 20) -> tuple[str, float]:
@@ -73,27 +77,26 @@ class Filters:
         return self.languages[int(n.argmax())], float(n.max() / n.sum())
 
 
-def _count(batches):
+def _grams_of(batches):
     for pdf in batches:
         for lang, part in pdf.groupby("lang", sort=False):
-            g, n = np.unique(np.concatenate([grams(t) for t in part.text]), return_counts=True)
-            yield pd.DataFrame({"lang": lang, "gram": g.astype(np.int64), "n": n})
-
-
-def fit(taught: DataFrame, per_language: int = 1500, max_fit_chars: int = 100_000, max_grams: int = 6000) -> Filters:
-    """Filters of each language's max_grams most frequent n-grams. taught: doc_id, text, lang; at most about
-    per_language documents of each are read, none over max_fit_chars. At most 64 languages (a slot's bits),
-    the most frequent; so the model has at most 64 * max_grams n-grams."""
-    most = [r.lang for r in taught.filter("lang IS NOT NULL").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect()]
-    sample = bounded_sample(taught.filter(F.col("lang").isin(most)), "lang", per_language, max_fit_chars)
-    sums = sample.select("lang", "text").mapInPandas(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    best = sums.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("k") <= max_grams)
-    table = best.select("lang", "gram").toPandas()
+            g = np.unique(np.concatenate([grams(t) for t in part.text]))
+            yield pd.DataFrame({"lang": lang, "gram": g.astype(np.int64)})
+
+
+def fit(taught: DataFrame, per_language: int = 1500, max_fit_chars: int = 100_000) -> Filters:
+    """Filters of all n-grams of a sample, for any number of languages. taught: doc_id, text, lang; about
+    per_language documents of each language are read, chosen by a hash, none over max_fit_chars."""
+    short = taught.filter(F.col("lang").isNotNull() & (F.length("text") <= max_fit_chars))
+    # stored, so that Spark sees how small it is and never shuffles the texts for it
+    sizes = stored(short.groupBy("lang").agg((F.least(F.lit(1.0), per_language / F.count(F.lit(1))) * (1 << 30)).cast("long").alias("take")), "languages")
+    sample = short.join(sizes, "lang").filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.col("take"))
+    table = sample.select("lang", "text").mapInPandas(_grams_of, "lang string, gram long").distinct().toPandas()
     languages = sorted(set(table.lang))
-    bits = table.lang.map({x: 1 << i for i, x in enumerate(languages)}).to_numpy(np.uint64) if len(table) else np.zeros(0, np.uint64)
+    number = table.lang.map({x: i for i, x in enumerate(languages)}).to_numpy(np.int64) if len(table) else np.zeros(0, np.int64)
     gram, at = np.unique(table.gram.to_numpy(np.int64), return_inverse=True)
-    mask = np.zeros(len(gram), np.uint64)
-    np.bitwise_or.at(mask, at, bits)
+    mask = np.zeros((len(gram), max(1, -(-len(languages) // 64))), np.uint64)
+    np.bitwise_or.at(mask, (at, number // 64), np.uint64(1) << (number % 64).astype(np.uint64))
     return Filters.build(languages, gram, mask)
 
 

@@ -6,7 +6,7 @@ from zlib import crc32
 
 import pytest
 
-from skyloom.llm import ppm
+from skyloom.llm import langid, ppm
 
 
 def brute_order(texts, raw, order):
@@ -51,3 +51,22 @@ def test_score_learns_more_than_three_bytes(spark):
     df = spark.createDataFrame([(i, text) for i in range(20)], "doc_id long, text string")
     bits = lambda order: ppm.lm_score(df, order=order).first().bits_per_byte
     assert bits(5) < 0.5 * bits(2)
+
+
+def test_more_than_64_languages(spark):
+    # 100 languages, the later ones rarer: each has words of its own
+    words = lambda k: [f"{a}{chr(97 + k % 26)}{b}{chr(97 + k // 26)}{a}" for a in "bcdfg" for b in "aeiou"]
+    rows = [(1000 * k + i, " ".join(words(k)[i % 5 :] * 3), f"l{k:03}") for k in range(100) for i in range(40 if k < 70 else 12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = langid.language_id(df).toPandas().merge(df.toPandas(), on="doc_id")
+    assert out.lang_pred.nunique() == 100 and (out.lang == out.lang_pred).mean() > 0.99
+
+
+def test_all_grams_of_the_sample_are_kept(spark):
+    # 12,000 words, each once: more n-grams than the former 6,000 of a language
+    word = lambda i, a: a + "".join(chr(97 + i // 26**j % 26) for j in range(3)) + a
+    rows = [(k, " ".join(word(i, a) for i in range(12_000)), lang) for k, (lang, a) in enumerate([("a", "q"), ("b", "x")])]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_fit_chars=1 << 20)
+    for _, text, lang in rows:
+        got = model.counts(langid.grams(text))[model.languages.index(lang)]
+        assert got == pytest.approx(len(langid.grams(text)), rel=0.01)
