@@ -18,30 +18,48 @@ from skyloom.llm.simhash import simhash_dedup
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _only(docs, keep):
-    """Documents whose id is in keep; a null id matches a null id."""
-    ids = keep.select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").select(*COLUMNS)
+def _keyed(docs):
+    """docs with a key of each row, 128 bits of hash of its id and text: ids may be null or repeated."""
+    of = [F.col("doc_id").isNull(), F.col("text").isNull(), F.col("doc_id"), F.col("text")]
+    return docs.select(*COLUMNS, F.concat(F.hex(F.xxhash64(*of)), F.lit("."), F.hex(F.xxhash64(F.lit(1), *of))).alias("_row"))
+
+
+def _only(rows, keep):
+    """Documents whose row key is in keep."""
+    return rows.join(keep.select("_row").distinct(), "_row", "left_semi").select(*COLUMNS)
+
+
+def _one_of_each(rows, groups, *first):
+    """Of each group of row keys, the row that is least by `first`, then has the smallest id; a null id is the last."""
+    order = F.struct(*first, F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")
+    short = rows.select("_row", "doc_id", F.length(F.coalesce("text", F.lit(""))).alias("n"))
+    return _only(rows, short.join(groups.distinct(), "_row").groupBy("group").agg(F.min(order).alias("m")).select("m._row"))
 
 
 def language(spark, docs, sf_dir):
     """Documents in a language that could be told: those without text or letters go."""
-    return _only(docs, language_id(docs).filter("lang_pred <> 'und'"))
+    rows = _keyed(docs)
+    return _only(rows, language_id(rows, id_col="_row").filter("lang_pred <> 'und'").select(F.col("doc_id").alias("_row")))
 
 
 def exact(spark, docs, sf_dir):
-    """One document of each group of equal texts; of repeated rows, one."""
-    return _only(docs, exact_dedup(docs).filter("kept")).dropDuplicates(["doc_id", "text"])
+    """One document of each group of equal texts, the longest; of repeated rows, one."""
+    rows = _keyed(docs)
+    groups = exact_dedup(rows, id_col="_row").select(F.col("doc_id").alias("_row"), F.col("text_sha256").alias("group"))
+    return _one_of_each(rows, groups, (-F.col("n")).alias("size")).dropDuplicates(["doc_id", "text"])
 
 
 def near(spark, docs, sf_dir):
     """One document of each component of near copies, that with the smallest doc_id."""
-    return _only(docs, simhash_dedup(docs).filter("doc_id <=> component_id"))
+    rows = _keyed(docs)
+    return _one_of_each(rows, simhash_dedup(rows, id_col="_row").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("group")))
 
 
 def decontaminated(spark, docs, sf_dir):
     """Documents of which under a twentieth of the words is in benchmark windows."""
-    return _only(docs, decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("NOT contaminated"))
+    rows = _keyed(docs)
+    found = decontaminate(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_row")
+    return _only(rows, found.filter("NOT contaminated").select(F.col("doc_id").alias("_row")))
 
 
 def packed(spark, docs, sf_dir):
