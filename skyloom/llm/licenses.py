@@ -29,7 +29,8 @@ UNKNOWN = 0.3
 
 _NOT_WORD = bytes(c for c in range(128) if not (48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122))
 _TABLE = bytes.maketrans(_NOT_WORD + bytes(range(65, 91)), b" " * len(_NOT_WORD) + bytes(range(97, 123)))
-_EXPRESSION = re.compile(r"[ \t]*((?:\(|\)|[a-z0-9][a-z0-9.+\-]*|[ \t])+)")
+_TOKEN = re.compile(r"[ \t]*([()]|[a-z0-9][a-z0-9.+\-]*)")
+_LEAD = re.compile(r"[ \t\"']*")
 _RANK = {"or": 1, "and": 2, "with": 3}
 
 
@@ -87,24 +88,23 @@ def evaluate(postfix: list[str]) -> tuple[set[str], float]:
     return stack[0]
 
 
-def longest_valid(text: str) -> list[str] | None:
-    """Postfix of the longest leading run of tokens that is an expression."""
-    tokens = re.findall(r"[()]|[a-z0-9][a-z0-9.+\-]*", text)
-    tokens = [t if t in "()" else t.rstrip(".-") for t in tokens]
-    # an expression goes on only over an operator: operand after operand is prose
-    n, operand, before = 0, True, ""
-    for t in tokens:
-        if operand and t in _RANK or not operand and not (t in _RANK or t == ")"):
+def longest_valid(text: str, at: int = 0) -> list[str] | None:
+    """Postfix of the longest run of tokens from place `at` of a line that is an expression; read once, left to right."""
+    tokens, operand, before, depth, end = [], True, "", 0, 0
+    while m := _TOKEN.match(text, at):
+        at, t = m.end(), m[1] if m[1] in "()" else m[1].rstrip(".-")
+        # an expression goes on only over an operator: operand after operand is prose
+        if operand and (t in _RANK or t == ")") or not operand and not (t in _RANK or t == ")") or t == ")" and not depth:
             break
         if operand and t != "(" and not (before == "with" or family(t) in FREEDOM or re.search(r"\d|^licenseref-", t)):
             break  # a word that names no licence
-        before = t
+        depth += (t == "(") - (t == ")")
         operand = t in _RANK or t == "("
-        n += 1
-    for m in range(n, 0, -1):
-        if (p := parse(tokens[:m])) is not None:
-            return p
-    return None
+        before = t
+        tokens.append(t)
+        if not operand and not depth:
+            end = len(tokens)  # what stands so far is whole
+    return parse(tokens[:end]) if end else None
 
 
 def _automata():
@@ -133,8 +133,7 @@ def scan(text: str, phrases, tags) -> tuple:
             starts.append(gaps - 2 - phrase.count(" "))
     low = text.lower()
     for end, n in tags.iter(low):
-        m = _EXPRESSION.match(low[end + 1 : end + 1001].split("\n", 1)[0].lstrip(" \t\"'"))
-        if m and (postfix := longest_valid(m[1])):
+        if postfix := longest_valid(low, _LEAD.match(low, end + 1).end()):
             found, free = evaluate(postfix)
             labels |= found
             freedom.append(free)
@@ -145,8 +144,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per input row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     Base: places of the base phrases, word by word. labels adds further notice phrases and the families
-    in expressions after an identifier tag (at most 1000 characters of its line, a limit of the tag's
-    syntax). score: freedom left by the strictest licence found, 1 where none is found. Null text counts
+    in expressions after an identifier tag, to the end of its line. score: freedom left by the strictest licence found, 1 where none is found. Null text counts
     as empty: no words, null first and last word, empty labels, score 1. Rows map one to one, so repeated
     rows, null ids and empty tables need no rule.
     """
