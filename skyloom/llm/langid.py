@@ -15,7 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chosen, documents, id_bucket, stored
+from .common import chosen, documents, id_bucket
+from .linear import bounded_sample
 
 GRAM = 4
 _LETTER = re.compile(r"[^\W\d_]")
@@ -80,17 +81,15 @@ class Filters:
 def _grams_of(batches):
     for pdf in batches:
         for lang, part in pdf.groupby("lang", sort=False):
-            g = np.unique(np.concatenate([grams(t) for t in part.text]))
-            yield pd.DataFrame({"lang": lang, "gram": g.astype(np.int64)})
+            for at in range(0, len(part), 64):  # few texts at once
+                g = np.unique(np.concatenate([grams(t) for t in part.text.iloc[at : at + 64]]))
+                yield pd.DataFrame({"lang": lang, "gram": g.astype(np.int64)})
 
 
 def fit(taught: DataFrame, per_language: int = 1500, max_fit_chars: int = 100_000) -> Filters:
     """Filters of all n-grams of a sample, for any number of languages. taught: doc_id, text, lang; about
     per_language documents of each language are read, chosen by a hash, none over max_fit_chars."""
-    short = taught.filter(F.col("lang").isNotNull() & (F.length("text") <= max_fit_chars))
-    # stored, so that Spark sees how small it is and never shuffles the texts for it
-    sizes = stored(short.groupBy("lang").agg((F.least(F.lit(1.0), per_language / F.count(F.lit(1))) * (1 << 30)).cast("long").alias("take")), "languages")
-    sample = short.join(sizes, "lang").filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.col("take"))
+    sample = bounded_sample(taught, "lang", per_language, max_fit_chars)
     table = sample.select("lang", "text").mapInPandas(_grams_of, "lang string, gram long").distinct().toPandas()
     languages = sorted(set(table.lang))
     number = table.lang.map({x: i for i, x in enumerate(languages)}).to_numpy(np.int64) if len(table) else np.zeros(0, np.int64)
@@ -104,8 +103,9 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per input row: doc_id, held_out, lang_pred, score (the winner's share of all corrected counts).
 
     Learns from rows outside the held fold whose language is not null. Null, empty and letterless texts
-    are und with score 0; so is every text if nothing could be learnt. Ties go to the first language in
-    alphabetical order. Rows map one to one, so repeated rows and null ids need no rule.
+    are und with score 0; so is every text if nothing could be learnt. A text with letters but no n-gram that
+    was learnt gets the first language in alphabetical order with score 0, as ties do with theirs. Rows map one to
+    one, so repeated rows and null ids need no rule; an empty table gives an empty result.
     """
     rows = chosen(docs, id_col, text_col, lang=lang_col).withColumn("fold", id_bucket("doc_id", folds))
     model = fit(rows.filter((F.col("fold") != held_fold) & F.col("lang").isNotNull()).select("doc_id", "text", F.col("lang").cast("string").alias("lang")), **bounds)

@@ -6,17 +6,18 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 
 def bounded_sample(rows: DataFrame, strata: str, per_stratum: int, max_chars: int) -> DataFrame:
-    """About per_stratum rows of each value of strata, chosen by a hash of id and text; whole texts, of which
-    those over max_chars are left out. A fixed fraction by hash, so no task gathers a stratum."""
-    fit = rows.filter(F.length("text") <= max_chars)
-    sizes = [r for r in fit.groupBy(strata).count().orderBy(F.desc("count"), strata).limit(4096).collect() if r[0] is not None]
-    keep = F.lit(False)
-    for value, n in sizes:
-        take = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, per_stratum / n))
-        keep = keep | ((F.col(strata) == F.lit(value)) & take)
-    return fit.filter(keep)
+    """About per_stratum rows of each value of strata, however many values, chosen by a hash of id and text; whole
+    texts, of which those over max_chars are left out, as are null values. A share by hash, so no task gathers a
+    stratum."""
+    fit = rows.filter(F.col(strata).isNotNull() & (F.length("text") <= max_chars))
+    share = F.least(F.lit(1.0), per_stratum / F.count(F.lit(1)))
+    # stored, so that Spark sees how small it is and never shuffles the texts for it
+    takes = stored(fit.groupBy(strata).agg((share * (1 << 30)).cast("long").alias("_take")), "strata")
+    return fit.join(takes, strata).filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.col("_take")).select(*rows.columns)
 
 
 def adam(params: list[np.ndarray], gradient, steps: int, rate: float) -> list[np.ndarray]:

@@ -38,6 +38,25 @@ def features(text: str, dims: int, cache: dict, most: int = 200_000) -> np.ndarr
     return np.array(out, np.int64)
 
 
+def link_gradient(w: np.ndarray, first: float, gaps: np.ndarray, row: np.ndarray, col: np.ndarray, value: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
+    """Gradient of the mean negative log likelihood of the grades y by the weights, the first threshold and the
+    logarithms of the gaps between thresholds. row, col, value: the features of the texts."""
+    n, grades = len(y), len(gaps) + 2
+    logistic = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    t = first + np.r_[0.0, np.cumsum(np.exp(gaps))]
+    eta = grouped_sum(w[col] * value, row, n)
+    upper = np.c_[np.ones(n), logistic(eta[:, None] - t), np.zeros(n)]  # P(grade >= k), k = 0..K
+    at = np.arange(n)
+    hi, lo = upper[at, y], upper[at, y + 1]
+    p = np.maximum(hi - lo, 1e-9)
+    d_hi, d_lo = hi * (1 - hi) / p, lo * (1 - lo) / p
+    g_eta = -(d_hi - d_lo) / n
+    g_t = np.zeros(grades - 1)
+    np.add.at(g_t, np.maximum(y - 1, 0), np.where(y > 0, d_hi, 0) / n)
+    np.add.at(g_t, np.minimum(y, grades - 2), np.where(y < grades - 1, -d_lo, 0) / n)
+    return grouped_sum(g_eta[row] * value, col, len(w)), float(g_t.sum()), np.array([g_t[i + 1 :].sum() for i in range(grades - 2)]) * np.exp(gaps)
+
+
 def fit(rows: list[tuple[str, int]], grades: int, dims: int, steps: int = 300, shrink: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds t_1 < ... < t_(K-1) of P(grade >= k) = logistic(mean weight - t_k)."""
     cache: dict = {}
@@ -48,22 +67,10 @@ def fit(rows: list[tuple[str, int]], grades: int, dims: int, steps: int = 300, s
     col = np.concatenate([b for b, _ in bags])
     row = np.repeat(np.arange(n), [len(b) for b, _ in bags])
     value = np.concatenate([c / max(1, c.sum()) for _, c in bags])
-    logistic = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
     def gradient(w, first, gaps):
-        t = first[0] + np.r_[0.0, np.cumsum(np.exp(gaps))]
-        eta = grouped_sum(w[col] * value, row, n)
-        upper = np.c_[np.ones(n), logistic(eta[:, None] - t), np.zeros(n)]  # P(grade >= k), k = 0..K
-        at = np.arange(n)
-        hi, lo = upper[at, y], upper[at, y + 1]
-        p = np.maximum(hi - lo, 1e-9)
-        d_hi, d_lo = hi * (1 - hi) / p, lo * (1 - lo) / p
-        g_eta = -(d_hi - d_lo) / n
-        g_t = np.zeros(grades - 1)
-        np.add.at(g_t, np.maximum(y - 1, 0), np.where(y > 0, d_hi, 0) / n)
-        np.add.at(g_t, np.minimum(y, grades - 2), np.where(y < grades - 1, -d_lo, 0) / n)
-        g_gaps = np.array([g_t[i + 1 :].sum() for i in range(grades - 2)]) * np.exp(gaps)
-        return grouped_sum(g_eta[row] * value, col, dims) + shrink * w, np.array([g_t.sum()]), g_gaps
+        g_w, g_first, g_gaps = link_gradient(w, first[0], gaps, row, col, value, y)
+        return g_w + shrink * w, np.array([g_first]), g_gaps
 
     w, first, gaps = adam([np.zeros(dims), np.array([-1.0]), np.zeros(grades - 2)], gradient, steps, 0.1)
     return w, first[0] + np.r_[0.0, np.cumsum(np.exp(gaps))]
@@ -74,7 +81,8 @@ def quality(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_co
 
     Grades are 0 .. grades - 1; other or null ones teach nothing. The fit takes at most about max_per_grade
     rated documents of each grade, none over max_fit_chars, outside the held fold. Scoring reads every whole
-    text; null or empty text has no features and is judged by the thresholds alone. Rows map one to one.
+    text; null or empty text has no features and is judged by the thresholds alone. Rows map one to one; an
+    empty table gives an empty result. A tail probability of just select_at is selected.
     """
     rows = chosen(docs, id_col, text_col).withColumn("fold", id_bucket("doc_id", folds))
     known = ratings.select(F.col(id_col).alias("doc_id"), F.col(grade_col).cast("int").alias("grade")).filter(F.col("grade").between(0, grades - 1))

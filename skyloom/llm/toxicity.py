@@ -28,6 +28,17 @@ def features(word: str) -> tuple[int, ...]:
     return tuple(zlib.crc32(f.encode("utf-8", "surrogatepass")) for f in (word, *("^" + word[:k] for k in range(5, 9) if len(word) > k)))
 
 
+def noisy_or_gradient(w: np.ndarray, b: float, column: np.ndarray, sentence_of: np.ndarray, doc_of: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Gradient of the documents' mean log loss by the weights and the bias. column and sentence_of: features and the
+    sentences they are in; doc_of: the document of each sentence; y: the documents' labels."""
+    n, n_s = len(y), len(doc_of)
+    p = 1 / (1 + np.exp(-np.clip(grouped_sum(w[column], sentence_of, n_s) + b, -30, 30)))
+    clean = np.exp(grouped_sum(np.log1p(-np.minimum(p, 1 - 1e-9)), doc_of, n))
+    pull = np.where(y > 0.5, -clean / np.maximum(1 - clean, 1e-9), 1.0)
+    g = p * pull[doc_of] / n
+    return grouped_sum(g[sentence_of], column, len(w)), float(g.sum())
+
+
 def fit(rows: Iterable[tuple[str, int]], min_docs: int = 4, steps: int = 250, shrink: float = 1e-4) -> tuple[dict[int, float], float]:
     """Weights of features and a bias from (text, label) rows: a sentence's score is the logistic of its distinct
     features' weights, a document's 1 - prod(1 - score). The loss is the documents' log loss plus an L1 penalty."""
@@ -55,11 +66,8 @@ def fit(rows: Iterable[tuple[str, int]], min_docs: int = 4, steps: int = 250, sh
     del flat, at, known
 
     def gradient(w, b):
-        p = 1 / (1 + np.exp(-np.clip(grouped_sum(w[column], sentence_of, n_s) + b[0], -30, 30)))
-        clean = np.exp(grouped_sum(np.log1p(-np.minimum(p, 1 - 1e-9)), doc_of, n))
-        pull = np.where(y > 0.5, -clean / np.maximum(1 - clean, 1e-9), 1.0)
-        g = p * pull[doc_of] / n
-        return grouped_sum(g[sentence_of], column, n_w) + shrink * np.sign(w), np.array([g.sum()])
+        g_w, g_b = noisy_or_gradient(w, b[0], column, sentence_of, doc_of, y)
+        return g_w + shrink * np.sign(w), np.array([g_b])
 
     w, b = adam([np.zeros(n_w), np.array([-5.0])], gradient, steps, 0.08)
     return {int(vocabulary[i]): float(w[i]) for i in np.flatnonzero(np.abs(w) > 0.1) if i < len(vocabulary)}, float(b[0])
@@ -96,7 +104,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     fold, none over max_fit_chars; these two bound what reaches the driver. Scoring reads every whole text.
     Null text counts as empty and has the score of one empty sentence; a null doc_id is in fold
     crc32('') mod folds. Labels that are null, or rows of labels for no document, teach nothing; repeated
-    labels count once each. Without labels every score is the bias alone.
+    labels count once each. Without labels every score is the bias alone. An empty table gives an empty result.
     """
     rows = chosen(docs, id_col, text_col).withColumn("fold", id_bucket("doc_id", folds))
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter("label IN (0, 1)")
