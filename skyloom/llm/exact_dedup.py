@@ -1,13 +1,18 @@
 """Exact deduplication over an extendible-hash index kept on shared files (DataFrame operations only).
 
 1. Every document gets a 64-bit hash key of its normalised text; the keys go to a shared file.
-2. The directory starts as one bucket and doubles: each bucket with more distinct keys than
-   ``bucket_capacity`` splits on the next bit of the hash, until none is overfull or ``max_depth``
-   is reached. It has at most 2**max_depth rows, so it may be broadcast.
-3. The texts are chained under (bucket, key) and grouped on the text itself, i.e. compared byte by
-   byte; copies meet already before the shuffle, so a group of copies never gathers in one task.
-   Tasks own ranges of (bucket, key) and number the texts of a chain; the entries go to a shared file.
-4. Each document probes the index for its entry.
+2. The directory starts with one entry for one bucket. While a bucket holds more distinct keys than
+   ``bucket_capacity`` the directory doubles: each entry becomes two, one bit of the hash longer, and the two
+   entries of an overfull bucket part, while those of any other go on sharing it. Nothing bounds its depth.
+3. Texts are grouped on (key, text), so they are compared byte by byte; copies meet already before the shuffle,
+   so a group of copies never gathers in one task. What is left of a group is short: its key, its digest
+   and its size. It goes through the directory to its bucket; tasks own ranges of buckets and number the
+   texts of a key, its chain. The entries go to a shared file.
+4. Each document probes the index: key to directory entry, entry to bucket, bucket and key to the chain, along
+   which the digest tells its own text.
+
+The directory carries no broadcast hint: Spark broadcasts it while its file is small, and joins it with the short
+rows, never with texts, beyond that.
 """
 
 from __future__ import annotations
@@ -20,57 +25,78 @@ from .common import chosen, stored
 BLANKS = " \t\n\x0b\x0c\r"
 
 
-def build_directory(keys: DataFrame, bucket_capacity: int, max_depth: int) -> DataFrame:
-    """cell (the first max_depth bits of a hash), local_depth and bucket (its first local_depth bits)."""
-    cells = stored(
-        keys.select("h").distinct().groupBy(F.shiftrightunsigned("h", 64 - max_depth).alias("cell")).agg(F.count(F.lit(1)).alias("n")),
-        "cells",
-    ).withColumn("local_depth", F.lit(0))
-    for _ in range(max_depth):
-        bucket = F.expr(f"shiftrightunsigned(cell, {max_depth} - local_depth)").alias("bucket")
-        loads = cells.groupBy("local_depth", bucket).agg(F.sum("n").alias("load"))
-        overfull = loads.filter((F.col("load") > bucket_capacity) & (F.col("local_depth") < max_depth))
-        if overfull.isEmpty():
-            break
-        split = cells.select("cell", "n", "local_depth", bucket).join(overfull.select("local_depth", "bucket", F.lit(1).alias("more")), ["local_depth", "bucket"], "left")
-        cells = stored(split.select("cell", "n", (F.col("local_depth") + F.coalesce("more", F.lit(0))).alias("local_depth")), "directory")
-    return cells.select("cell", "local_depth", F.expr(f"shiftrightunsigned(cell, {max_depth} - local_depth)").alias("bucket"))
-
-
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_capacity: int = 1 << 16, max_depth: int = 16, key_bits: int = 64) -> DataFrame:
+def _first_bits(column: str, width: int, n: int):
+    """The first n of the width bits of a column."""
+    return F.shiftrightunsigned(column, width - n) if n else F.lit(0).cast("long")
+
+
+def build_directory(keys: DataFrame, bucket_capacity: int) -> tuple[DataFrame, int]:
+    """The directory of keys(h) and its depth: entry (that many first bits of a hash), bucket (its first
+    local_depth bits) and local_depth."""
+    distinct = keys.select("h").distinct()
+    counted = lambda bits: stored(distinct.groupBy(_first_bits("h", 64, bits).alias("cell")).agg(F.count(F.lit(1)).alias("n")), "cells")
+    bits, cells = 16, counted(16)
+    directory, depth = keys.sparkSession.createDataFrame([(0, 0, 0)], "entry long, bucket long, local_depth int"), 0
+    while depth < 64:
+        if depth > bits:
+            bits = min(64, bits + 8)
+            cells = counted(bits)
+        loads = cells.select(_first_bits("cell", bits, depth).alias("entry"), "n").join(directory, "entry").groupBy("bucket", "local_depth").agg(F.sum("n").alias("load"))
+        overfull = loads.filter(F.col("load") > bucket_capacity).select("bucket", "local_depth", F.lit(1).alias("more"))
+        two = directory.join(overfull, ["bucket", "local_depth"], "left").select(
+            F.explode(F.array(2 * F.col("entry"), 2 * F.col("entry") + 1)).alias("entry"), (F.col("local_depth") + F.coalesce("more", F.lit(0))).alias("local_depth")
+        )
+        doubled = stored(two.select("entry", F.expr(f"shiftrightunsigned(entry, {depth + 1} - local_depth)").alias("bucket"), "local_depth"), "directory")
+        if doubled.agg(F.max("local_depth")).first()[0] <= depth:
+            break  # no bucket was overfull: the directory before is the one
+        directory, depth = doubled, depth + 1
+    return directory, depth
+
+
+def in_bucket(rows: DataFrame, directory: DataFrame, depth: int) -> DataFrame:
+    """rows(h, ...) with the bucket and local_depth that the directory sends h to."""
+    return rows.withColumn("entry", _first_bits("h", 64, depth)).join(directory, "entry").drop("entry")
+
+
+def insert(groups: DataFrame, stays: DataFrame, directory: DataFrame, depth: int) -> DataFrame:
+    """groups(h, sha, group_size), one row for each text, and stays(h, sha, stays) -> the index."""
+    parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    owned = in_bucket(groups, directory, depth).repartitionByRange(parts, "bucket", "local_depth", "h")
+    chained = owned.withColumn("chain", F.row_number().over(Window.partitionBy("bucket", "local_depth", "h").orderBy("sha")) - 1)
+    return stored(chained.join(stays, ["h", "sha"]).select("bucket", "local_depth", "h", "chain", "sha", "group_size", "stays"), "index")
+
+
+def probe(keys: DataFrame, index: DataFrame, directory: DataFrame, depth: int) -> DataFrame:
+    """keys(h, sha, ...) with what the index holds of their texts, each looked for in its own bucket only."""
+    return in_bucket(keys, directory, depth).join(index, ["bucket", "local_depth", "h", "sha"])
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_capacity: int = 1 << 12, key_bits: int = 64) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, bucket, chain.
 
     Texts are equal when identical without the characters [\\x20\\x09-\\x0D]; null counts as empty, so
-    empty and blank texts form one group. The longest original text stays, then the smallest doc_id;
-    a null doc_id comes last. Repeated rows (same doc_id, same text length) that stay are all marked
-    kept, as they are the same document. An empty table gives an empty result. key_bits under 64
-    shortens the hash, for tests of chained collisions.
+    empty and blank texts form one group. The longest original text stays, then the smallest doc_id; a null
+    doc_id comes last. Of repeated rows (same doc_id, same text length) that stay, one is marked kept, the first
+    read. An empty table gives an empty result. key_bits under 64 shortens the hash, for tests of chained
+    collisions.
     """
     rows = chosen(docs, id_col, text_col).select("doc_id", F.length("text").cast("long").alias("n"), F.translate("text", BLANKS, "").alias("norm"))
     h = F.xxhash64("norm")
-    h = h if key_bits == 64 else h.bitwiseAND(F.lit(-1 << (64 - key_bits)))
-    keys = stored(rows.select("doc_id", "n", h.alias("h"), F.unhex(F.sha2("norm", 256)).alias("sha")), "keys")
-
-    directory = build_directory(keys, bucket_capacity, max_depth)
-    cell = F.shiftrightunsigned("h", 64 - max_depth).alias("cell")
-    chains = (
-        rows.select(h.alias("h"), "norm")
-        .select("h", "norm", cell)
-        .join(F.broadcast(directory), "cell")
-        .groupBy("bucket", "local_depth", "h", "norm")
-        .agg(F.count(F.lit(1)).alias("group_size"))
-        .select("bucket", "local_depth", "h", F.unhex(F.sha2("norm", 256)).alias("sha"), "group_size")
-    )
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    owned = chains.repartitionByRange(parts, "bucket", "h").withColumn("chain", F.row_number().over(Window.partitionBy("bucket", "h").orderBy("sha")) - 1)
-    stays = keys.groupBy("h", "sha").agg(F.min(F.struct((-F.col("n")).alias("m"), F.col("doc_id").isNull().alias("no_id"), "doc_id")).alias("stays"))
-    index = stored(owned.join(stays, ["h", "sha"]).select("h", "sha", "bucket", "local_depth", "chain", "group_size", "stays"), "index")
+    h = (h if key_bits == 64 else h.bitwiseAND(F.lit(-1 << (64 - key_bits)))).alias("h")
+    sha = F.unhex(F.sha2("norm", 256)).alias("sha")
+    keys = stored(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n", h, sha), "keys")
+
+    directory, depth = build_directory(keys, bucket_capacity)
+    groups = rows.groupBy(h, "norm").agg(F.count(F.lit(1)).alias("group_size")).select("h", sha, "group_size")
+    order = F.struct((-F.col("n")).alias("m"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+    stays = keys.groupBy("h", "sha").agg(F.min(order).alias("stays"))
+    index = insert(groups, stays, directory, depth)
 
-    return keys.join(index, ["h", "sha"]).select(
+    return probe(keys, index, directory, depth).select(
         "doc_id",
         F.col("stays.doc_id").alias("keep_id"),
         "group_size",
-        (F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & (F.col("n") == -F.col("stays.m"))).alias("kept"),
+        (F.col("row") == F.col("stays.row")).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
         F.concat(F.col("local_depth").cast("string"), F.lit(":"), F.col("bucket").cast("string")).alias("bucket"),
         "chain",
@@ -80,9 +106,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 ORACLE = r"""
 WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n,
                   regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents)
-SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM (
-  SELECT *, first_value(doc_id) OVER (PARTITION BY norm ORDER BY n DESC, doc_id) AS keep_id,
-         count(*) OVER (PARTITION BY norm) AS group_size FROM t)
+SELECT doc_id, first_value(doc_id) OVER same AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
+       row_number() OVER same = 1 AS kept, sha256(norm) AS text_sha256
+FROM t WINDOW same AS (PARTITION BY norm ORDER BY n DESC, doc_id)
 """
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from skyloom.operators.components import connected_components as components
 from skyloom.llm.decontam import Items, decontaminate, search_shard, suffix_array
-from skyloom.llm.exact_dedup import build_directory, exact_dedup
+from skyloom.llm.exact_dedup import build_directory, exact_dedup, in_bucket, insert, probe
 from skyloom.llm.repeats import anchors, remove_repeats
 from skyloom.llm.simhash import fingerprint, hamming_links, simhash_dedup
 
@@ -36,31 +36,51 @@ def same(a, b):
 
 def brute_exact(rows):
     groups = defaultdict(list)
-    for i, t in rows:
-        groups[re.sub(r"[\x20\x09-\x0D]", "", t or "")].append((-len(t or ""), i is None, i))
+    for k, (i, t) in enumerate(rows):
+        groups[re.sub(r"[\x20\x09-\x0D]", "", t or "")].append((-len(t or ""), i is None, i or 0, k))
     out = []
-    for i, t in rows:
+    for k, (i, t) in enumerate(rows):
         norm = re.sub(r"[\x20\x09-\x0D]", "", t or "")
-        best = min(groups[norm], key=lambda x: (x[0], x[1], x[2] or 0))
-        kept = i == best[2] and -len(t or "") == best[0]
-        out.append((i, best[2], len(groups[norm]), kept, hashlib.sha256(norm.encode()).hexdigest()))
+        best = min(groups[norm])
+        out.append((i, rows[best[3]][0], len(groups[norm]), k == best[3], hashlib.sha256(norm.encode()).hexdigest()))
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"bucket_capacity": 3, "max_depth": 8}, {"bucket_capacity": 2, "max_depth": 3, "key_bits": 2}])
+@pytest.mark.parametrize("options", [{}, {"bucket_capacity": 3}, {"bucket_capacity": 2, "key_bits": 2}])
 def test_exact(docs, odd, options):
     for df in (docs, odd) if not options else (odd,):
-        got = rows_of(exact_dedup(df, **options), "doc_id", "keep_id", "group_size", "kept", "text_sha256")
-        same(got, brute_exact(rows_of(df, "doc_id", "text")))
+        got = exact_dedup(df, **options)
+        same(rows_of(got, "doc_id", "keep_id", "group_size", "kept", "text_sha256"), brute_exact(rows_of(df, "doc_id", "text")))
+        assert got.filter("kept").count() == got.select("text_sha256").distinct().count()  # one of each group
 
 
 def test_chains_and_directory(spark, odd):
-    out = exact_dedup(odd, bucket_capacity=2, max_depth=3, key_bits=2)
+    out = exact_dedup(odd, bucket_capacity=2, key_bits=2)
     assert out.agg(F.max("chain")).first()[0] > 0  # different texts under one key stay apart
     keys = spark.range(1000).select(F.xxhash64("id").alias("h"))
-    cells = build_directory(keys, 50, 8)
-    loads = keys.select(F.shiftrightunsigned("h", 56).alias("cell")).join(cells, "cell").groupBy("bucket", "local_depth").count().collect()
-    assert sum(r["count"] for r in loads) == 1000 and max(r["count"] for r in loads) <= 50 and min(r["count"] for r in loads) > 5
+    directory, depth = build_directory(keys, 50)
+    assert directory.count() == 1 << depth > 16 and directory.filter("local_depth < " + str(depth)).count() > 0
+    loads = in_bucket(keys, directory, depth).groupBy("bucket", "local_depth").count().collect()
+    assert sum(r["count"] for r in loads) == 1000 and max(r["count"] for r in loads) <= 50
+    # a bucket that was split was overfull before
+    halves = {(r.bucket, r.local_depth): r["count"] for r in loads}
+    of = lambda bucket, depth: sum(n for (b, d), n in halves.items() if d >= depth and b >> (d - depth) == bucket)
+    assert all(of(b >> 1, d - 1) > 50 for b, d in halves)
+    # keys that differ late: deeper than the first counts
+    late = spark.range(64).select((F.col("id") * (1 << 40)).alias("h"))
+    directory, depth = build_directory(late.union(late), 16)
+    assert depth == 20 and in_bucket(late, directory, depth).groupBy("bucket", "local_depth").count().agg(F.max("count")).first()[0] == 16
+
+
+def test_the_index_is_reached_through_the_directory(spark):
+    keys = spark.range(500).select("id", F.xxhash64("id").alias("h"), F.col("id").cast("string").cast("binary").alias("sha")).cache()
+    directory, depth = build_directory(keys, 50)
+    index = insert(keys.select("h", "sha", F.lit(1).alias("group_size")), keys.select("h", "sha", F.lit(0).alias("stays")), directory, depth)
+    assert probe(keys, index, directory, depth).count() == 500
+    first, other = directory.orderBy("entry").take(1)[0], directory.orderBy(F.desc("entry")).take(1)[0]
+    wrong = directory.filter(F.col("entry") != first.entry).union(spark.createDataFrame([(first.entry, other.bucket, other.local_depth)], directory.schema))
+    lost = 500 - probe(keys, index, wrong, depth).count()
+    assert lost == keys.filter(F.shiftrightunsigned("h", 64 - depth) == first.entry).count() > 0
 
 
 def brute_print(text):
