@@ -30,18 +30,18 @@ _CUT = 4 << 20
 
 
 def _gram_hashes(b: np.ndarray, gram: int) -> np.ndarray:
-    """Hash of the gram (a power of two) bytes from each place on, by doubling; 40 bits."""
+    """Hash of the gram (a power of two) bytes from each place on, by doubling; 64 bits."""
     h, width, mult = (b.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93), 1, _BASE
     while width < gram:
         h = h[:-width] * np.uint64(mult) + h[width:]
         mult, width = mult * mult % (1 << 64), 2 * width
     h ^= h >> np.uint64(32)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    return h >> np.uint64(24)
+    return h * np.uint64(0xD6E8FEB86659FD93)
 
 
 def anchors(raw: bytes, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors of a text: place, 40-bit hash, first and last start of the strings that each stands for."""
+    """Anchors of a text: place, hash, first and last start of the strings that each stands for. The smallest hash is
+    that of the smallest first 40 bits."""
     place, hashes, first, last = [], [], [], []
     n_strings = len(raw) - length + 1
     for at in range(0, max(0, n_strings), _CUT):
@@ -49,7 +49,7 @@ def anchors(raw: bytes, length: int, gram: int) -> tuple[np.ndarray, np.ndarray,
         h = _gram_hashes(b, gram)
         # smallest of each run of w: suffix minima of blocks of w against prefix minima of the next
         w, n = length - gram + 1, len(h)
-        packed = (h << np.uint64(24)) | np.arange(n, dtype=np.uint64)
+        packed = (h >> np.uint64(24) << np.uint64(24)) | np.arange(n, dtype=np.uint64)
         pad = np.full(-n % w, np.iinfo(np.uint64).max, np.uint64)
         block = np.concatenate([packed, pad]).reshape(-1, w)
         ahead = np.minimum.accumulate(block, axis=1).ravel()
@@ -59,7 +59,7 @@ def anchors(raw: bytes, length: int, gram: int) -> tuple[np.ndarray, np.ndarray,
         at_place = (least & np.uint64((1 << 24) - 1)).astype(np.int64)
         new = np.flatnonzero(np.r_[True, at_place[1:] != at_place[:-1]])
         place.append(at_place[new] + at)
-        hashes.append((least[new] >> np.uint64(24)).astype(np.int64))
+        hashes.append(h[at_place[new]].view(np.int64))
         first.append(new + at)
         last.append(np.r_[new[1:], m] - 1 + at)
     if not place:
@@ -118,11 +118,13 @@ def marked(shard: list[tuple], length: int) -> list[list[tuple[int, int]]]:
     return out
 
 
-def _find(length, gram):
+def _find(length, gram, most=1 << 18):
     def run(batches):
         seen = set()
         for pdf in batches:
             out = []
+            if len(seen) > most:  # forgotten copies are looked at again, no more
+                seen = set()
             for d1, d2, t in zip(pdf.d1, pdf.d2, pdf.text):
                 if (d1, d2) in seen:  # copies in one partition need one look
                     continue
@@ -131,7 +133,7 @@ def _find(length, gram):
                 out.append((h, np.full(len(h), d1), np.full(len(h), d2), place))
             if out:
                 h, d1, d2, at = (np.concatenate(x) for x in zip(*out))
-                yield pd.DataFrame({"h": h, "d1": d1, "d2": d2.astype(np.int64), "at": at})
+                yield pd.DataFrame({"h": h, "d1": d1, "d2": d2, "at": at})
 
     return run
 
@@ -240,8 +242,8 @@ def _ranges(contexts: DataFrame, length: int, capacity: int) -> DataFrame:
     single = F.col("from_") == F.col("to")
     sizes = stored(sizes.filter("all > 1").select("key", ((F.col("m") > capacity) & ~single).alias("large"), single.alias("single")), "shards")
     of = lambda condition: contexts.join(sizes.filter(condition).select("key"), "key", "left_semi")
-    # strings of one reach under one key are equal: repeated if there are two
-    single = of("single").select("c1", "c2", F.col("low").alias("lo"), F.col("high").alias("hi"))
+    # a context of one reach is one string, and equal ones have been counted together, byte by byte
+    single = of("single").filter("n > 1").select("c1", "c2", F.col("low").alias("lo"), F.col("high").alias("hi"))
     parts = int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     whole = of("NOT large AND NOT single").repartition(parts, "key").sortWithinPartitions("key")
     found = whole.mapInPandas(_scan(length, ["key"], ["c1", "c2"]), "c1 long, c2 long, lo int, hi int").union(single)
@@ -265,6 +267,7 @@ def repeat_ranges(texts: DataFrame, length: int = 200, gram: int = 32, shard_cap
     [from, to] at which strings of `length` bytes start that also start elsewhere in distinct texts."""
     found = stored(texts.mapInPandas(_find(length, gram), "h long, d1 long, d2 long, at long"), "anchors")
     counts = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", (F.col("n") > shard_capacity).alias("hot"))
+    counts = stored(counts, "counts")  # read anew, so that Spark can split the join at a hot anchor
     again = (
         found.join(counts, "h")
         .groupBy("d1", "d2")
@@ -307,11 +310,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Every byte covered by a string of `length` bytes that also starts anywhere else, in this document or
     another, goes. Texts with an equal one (repeated rows too) go whole if they have `length` bytes; shorter,
     empty and null texts lose nothing. length <= 256 + gram - 1 and gram a power of two. Texts are told
-    apart by 96 bits of hash. Rows are never told apart by doc_id, so null or repeated ids need no rule.
+    apart by 128 bits of hash. Rows are never told apart by doc_id, so null or repeated ids need no rule.
     """
     assert gram & (gram - 1) == 0 and gram <= length
     kind = dict(docs.dtypes)[id_col]
-    rows = chosen(docs, id_col, text_col).withColumns({"d1": F.xxhash64("text"), "d2": F.xxhash64(F.lit(1), "text").bitwiseAND(F.lit(0xFFFFFFFF))})
+    rows = chosen(docs, id_col, text_col).withColumns({"d1": F.xxhash64("text"), "d2": F.xxhash64(F.lit(1), "text")})
     n_bytes = F.octet_length("text").cast("long")
     # parts of the result that need no text later are taken now
     known = stored(rows.select("doc_id", "d1", "d2", n_bytes.alias("n_bytes"), F.sha2("text", 256).alias("sha")), "documents")
