@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import chosen, documents, id_bucket, stored
@@ -222,8 +222,8 @@ def frozen(grams: DataFrame, order: int) -> DataFrame:
     return seen.union(rest.select("code", F.coalesce("p", F.col("escaped") - F.lit(float(np.log10(256 - root.kinds)))).alias("p")))
 
 
-# kind 0: a batch (digests of its texts, their sizes in bytes, the texts); 1: a token of a batch, its number
-# there and count in training texts; 2: a (context, symbol) code of a batch and its count in training texts
+# kind 0: a batch (its numbers of training texts and of words in them, digests of its texts, their sizes in bytes, the
+# texts); 1: a token of a batch, its number there and count in training texts; 2: a (context, symbol) code of a batch and its count in training texts
 _GATHERED = "kind int, batch long, token binary, number long, n long, d1 array<long>, d2 array<long>, sizes array<int>, stream binary"
 
 
@@ -260,7 +260,7 @@ def _gather(order, chars=8 << 20):
             batch = part << 32 | k
             k += 1
             packed = zstandard.ZstdCompressor(level=3).compress(b"".join(raw))
-            yield pd.DataFrame({"kind": 0, "batch": [batch], "token": None, "number": 0, "n": 0, "d1": [pdf.d1.tolist()], "d2": [pdf.d2.tolist()], "sizes": [list(map(len, raw))], "stream": [packed]})
+            yield pd.DataFrame({"kind": 0, "batch": [batch], "token": None, "number": train.sum(), "n": count.sum(), "d1": [pdf.d1.tolist()], "d2": [pdf.d2.tolist()], "sizes": [list(map(len, raw))], "stream": [packed]})
             names = list(numbers)
             for i in range(0, len(names), 50_000):
                 m = len(names[i : i + 50_000])
@@ -274,7 +274,8 @@ def _gather(order, chars=8 << 20):
 
 
 def _answer(smoothing, order):
-    """found: of, at, v: the count of token -1 - at, or the log10 probability of code at."""
+    """found: of, at, v, first: the count of token -1 - at, first in one of its batches, or the log10 probability of
+    code at. A batch's first row also tells how many of its tokens are first and known: all batches' sum counts each once."""
 
     def run(batch, found):
         out = []
@@ -290,8 +291,10 @@ def _answer(smoothing, order):
             ends = np.cumsum(sizes)
             starts = np.r_[0, ends[:-1]].astype(int)
             score = _sums(raw, order, at[at >= 0], v[at >= 0])
-            out.append(pd.DataFrame({"d1": r.d1, "d2": r.d2, "words": sizes, "known": known[ends] - known[starts], "log_sum": value[ends] - value[starts], "score": score}))
-        return pd.concat(out) if out else pd.DataFrame({"d1": [], "d2": [], "words": [], "known": [], "log_sum": [], "score": []})
+            kinds = np.zeros(len(raw), np.int64)
+            kinds[0] = ((at < 0) & (v > 0) & found["first"].to_numpy(bool)).sum()
+            out.append(pd.DataFrame({"d1": r.d1, "d2": r.d2, "words": sizes, "known": known[ends] - known[starts], "kinds": kinds, "log_sum": value[ends] - value[starts], "score": score}))
+        return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("d1", "d2", "words", "known", "kinds", "log_sum", "score")})
 
     return run
 
@@ -308,19 +311,22 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fo
         raise ValueError("order must be 1 to 6: a context and its symbol are one long")
     rows = chosen(docs, id_col, text_col).select("doc_id", "text", (id_bucket("doc_id", folds) != held_fold).alias("train"), F.xxhash64("text").alias("d1"), F.xxhash64(F.lit(1), "text").alias("d2"))
     gathered = stored(rows.select("text", "train", "d1", "d2").mapInPandas(_gather(order), _GATHERED), "gathered")
-    tokens = gathered.filter("kind = 1").select("batch", "token", "number", "n")
-    counts = stored(tokens.groupBy("token").agg(F.sum("n").alias("c")).filter("c > 0"), "counts")
-    ends = rows.filter("train").count()
-    seen = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    n_train, distinct = (seen.n or 0) + ends, seen.v + (ends > 0)
     codes = gathered.filter("kind = 2").select("batch", F.col("number").alias("code"), "n")
     model = stored(frozen(stored(codes.groupBy("code").agg(F.sum("n").alias("n")), "grams"), order), "model")
 
-    known = tokens.join(counts, "token", "left").select(F.col("batch").alias("of"), (-1 - F.col("number")).alias("at"), F.coalesce("c", F.lit(0)).cast("double").alias("v"))
-    known = known.union(codes.select("batch", "code").join(model, "code").select("batch", "code", "p"))
+    # a token is one row a batch: its counts are summed and given back in one shuffle, by a window that spills
+    of_token = Window.partitionBy("token")
+    known = gathered.filter("kind = 1").select(
+        F.col("batch").alias("of"), (-1 - F.col("number")).alias("at"), F.sum("n").over(of_token).cast("double").alias("v"), (F.row_number().over(of_token.orderBy("batch")) == 1).alias("first")
+    )
+    known = known.union(codes.select("batch", "code").join(model, "code").select("batch", "code", "p", F.lit(False)))
     texts = gathered.filter("kind = 0").select("batch", "d1", "d2", "sizes", "stream")
-    base = texts.groupBy("batch").cogroup(known.groupBy("of")).applyInPandas(_answer(smoothing, order), "d1 long, d2 long, words long, known long, log_sum double, score double")
-    base = stored(base.groupBy("d1", "d2").agg(*(F.max(c).alias(c) for c in ("words", "known", "log_sum", "score"))), "base")
+    answers = texts.groupBy("batch").cogroup(known.groupBy("of")).applyInPandas(_answer(smoothing, order), "d1 long, d2 long, words long, known long, kinds long, log_sum double, score double")
+    answers = stored(answers, "answers")
+    base = stored(answers.groupBy("d1", "d2").agg(*(F.max(c).alias(c) for c in ("words", "known", "log_sum", "score"))), "base")
+    seen = gathered.filter("kind = 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("number"), F.lit(0)).alias("ends")).first()
+    ends, n_train = seen.ends, seen.n + seen.ends
+    distinct = (answers.agg(F.sum("kinds")).first()[0] or 0) + (ends > 0)
 
     scored = rows.select("doc_id", (~F.col("train")).alias("held_out"), "d1", "d2", F.octet_length("text").alias("n_bytes"))
     log_all = float(np.log10(n_train + smoothing * (distinct + 1)))
