@@ -41,7 +41,7 @@ def build_directory(keys: DataFrame, bucket_capacity: int) -> tuple[DataFrame, i
         if depth > bits:
             bits = min(64, bits + 8)
             cells = counted(bits)
-        loads = cells.select(_first_bits("cell", bits, depth).alias("entry"), "n").join(directory, "entry").groupBy("bucket", "local_depth").agg(F.sum("n").alias("load"))
+        loads = in_bucket(cells.select("cell", "n"), directory, depth, "cell", bits).groupBy("bucket", "local_depth").agg(F.sum("n").alias("load"))
         overfull = loads.filter(F.col("load") > bucket_capacity).select("bucket", "local_depth", F.lit(1).alias("more"))
         two = directory.join(overfull, ["bucket", "local_depth"], "left").select(
             F.explode(F.array(2 * F.col("entry"), 2 * F.col("entry") + 1)).alias("entry"), (F.col("local_depth") + F.coalesce("more", F.lit(0))).alias("local_depth")
@@ -53,9 +53,11 @@ def build_directory(keys: DataFrame, bucket_capacity: int) -> tuple[DataFrame, i
     return directory, depth
 
 
-def in_bucket(rows: DataFrame, directory: DataFrame, depth: int) -> DataFrame:
-    """rows(h, ...) with the bucket and local_depth that the directory sends h to."""
-    return rows.withColumn("entry", _first_bits("h", 64, depth)).join(directory, "entry").drop("entry")
+def in_bucket(rows: DataFrame, directory: DataFrame, depth: int, key: str = "h", width: int = 64) -> DataFrame:
+    """rows with the bucket and local_depth that the directory sends their key, of width bits, to."""
+    if not depth:  # one entry for all: nothing to look up
+        return rows.withColumns({"bucket": F.lit(0).cast("long"), "local_depth": F.lit(0)})
+    return rows.withColumn("entry", _first_bits(key, width, depth)).join(directory, "entry").drop("entry")
 
 
 def insert(groups: DataFrame, stays: DataFrame, directory: DataFrame, depth: int) -> DataFrame:
