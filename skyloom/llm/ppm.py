@@ -228,12 +228,22 @@ _GATHERED = "kind int, batch long, token binary, number long, n long, d1 array<l
 
 
 def _pieces(batches, chars):
-    """Batches cut into runs of rows of about `chars` characters, whole texts each."""
+    """Runs of rows of about `chars` characters over the batches, whole texts each: few and large, as a token or code
+    is one row a run."""
+    held, size = [], 0
     for pdf in batches:
-        run = (pdf.text.str.len().cumsum() // chars).to_numpy()
-        cut = np.flatnonzero(np.r_[True, run[1:] != run[:-1]]).tolist() if len(pdf) else []
-        for a, b in zip(cut, [*cut[1:], len(pdf)]):
-            yield pdf.iloc[a:b]
+        ends = np.r_[0, pdf.text.str.len().cumsum().to_numpy()]
+        at = 0
+        while at < len(pdf):
+            to = min(len(pdf), max(at + 1, int(np.searchsorted(ends, ends[at] + chars - size))))
+            held.append(pdf.iloc[at:to])
+            size += int(ends[to] - ends[at])
+            at = to
+            if size >= chars:
+                yield pd.concat(held)
+                held, size = [], 0
+    if held:
+        yield pd.concat(held)
 
 
 def _numbered(raw: list[bytes]):
@@ -249,7 +259,7 @@ def _numbered(raw: list[bytes]):
     return numbers, np.concatenate(stream), sizes
 
 
-def _gather(order, chars=8 << 20):
+def _gather(order, chars=16 << 20):
     def run(batches):
         part, k = TaskContext.get().partitionId(), 0
         for pdf in _pieces(batches, chars):
