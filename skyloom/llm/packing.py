@@ -1,10 +1,15 @@
 """Mixture-controlled packing: deficit round-robin over source queues.
 
-Every window of `window` tokens is filled to the queues' shares of all tokens. A queue's quota in a
-window is a whole number; what rounding takes or gives is its deficit, carried to the next window.
-The running sum of quotas is known in closed form, floor(w * hi) - floor(w * lo) for a queue that
-owns the interval [lo, hi) of the mixture, so a task finds the windows of its documents from their
-place in the queue, and the deficits carry over from partition to partition without a hand-over.
+Every window of `window` tokens is filled to the queues' target shares. A queue's quota in a window is a whole
+number; what rounding takes or gives is its deficit, carried to the next window. A queue that runs dry hands its
+quota on to the others in proportion to theirs, which begins a new phase. Within a phase the running sum of quotas is known in closed
+form, floor(w * hi) - floor(w * lo) for a queue that owns the interval [lo, hi) of the mixture, so a task finds
+the windows of its documents from their place in the queue, and the deficits carry over from window to window
+and from partition to partition without a hand-over.
+
+A source too small for a few tokens a window would have its documents cut into single tokens. Such sources share one
+queue, in which each one's documents are spread evenly over its whole length: there the deficit is carried in
+whole documents.
 """
 
 from __future__ import annotations
@@ -13,6 +18,7 @@ import functools
 import os
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -113,7 +119,7 @@ def word_tokens(path: str) -> WordTokens:
 
 def _tokenized(path, end_id, group_chars):
     def run(batches):
-        encoder, before, part = word_tokens(path), {}, TaskContext.get().partitionId()
+        encoder, before, part, row = word_tokens(path), {}, TaskContext.get().partitionId(), 0
         end, size = np.array([end_id], encoder.kind).tobytes(), np.dtype(encoder.kind).itemsize
         for pdf in batches:
             at = 0
@@ -123,46 +129,67 @@ def _tokenized(path, end_id, group_chars):
                 piece = pdf.iloc[at:to]
                 ids = [x + end for x in encoder.encode(piece.text.tolist())]
                 starts = []
-                for q, x in zip(piece.queue, ids):
+                for q, x in zip(piece.source, ids):
                     starts.append(before.get(q, 0))
                     before[q] = starts[-1] + len(x) // size
-                yield pd.DataFrame({"part": part, "queue": piece.queue, "doc_id": piece.doc_id, "n": [len(x) // size for x in ids], "before": starts, "ids": ids})
-                at = to
+                yield pd.DataFrame({"part": part, "row": np.arange(row, row + len(ids)), "source": piece.source, "doc_id": piece.doc_id, "n": [len(x) // size for x in ids], "before": starts, "ids": ids})
+                at, row = to, row + len(ids)
 
     return run
 
 
-def quota_sum(w: int, lo: int, hi: int, total: int, window: int) -> tuple[int, int]:
-    """Tokens that the queue at [lo, hi) of total, and those before it, have put into the first w windows."""
-    filled = min(w * window, total)
+def phases(sizes: dict[str, int], weights: dict[str, float]) -> dict[str, list[tuple[int, ...]]]:
+    """Phases of each queue: (its tokens before, its tokens in it, all tokens before, all tokens in it, lo, hi). Queues of
+    weight 0 wait until all others are dry, then go by their sizes."""
+    left, used, done, out = {q: n for q, n in sizes.items() if n}, dict.fromkeys(sizes, 0), 0, {q: [] for q in sizes}
+    while left:
+        rate = {q: Fraction(weights.get(q, 0)) for q in left if weights.get(q, 0) > 0} or {q: Fraction(n) for q, n in left.items()}
+        span = min(left[q] / rate[q] for q in rate)
+        take = {q: int(span * rate[q]) for q in sorted(rate)}
+        total, lo = sum(take.values()), 0
+        for q, n in take.items():
+            if n:
+                out[q].append((used[q], n, done, total, lo, lo + n))
+            lo, used[q], left[q] = lo + n, used[q] + n, left[q] - n
+        done, left = done + total, {q: n for q, n in left.items() if n}
+    return out
+
+
+def quota_sum(w: int, first: int, lo: int, hi: int, total: int, window: int) -> tuple[int, int]:
+    """Of a phase of `total` tokens after the first `first`: what the queues before the one at [lo, hi), and this one,
+    have put into the first w windows."""
+    filled = min(max(w * window - first, 0), total)
     below = filled * lo // total
     return below, filled * hi // total - below
 
 
-def pieces(start: int, n: int, lo: int, hi: int, total: int, window: int):
-    """(place in the document, length, window number, offset) of n tokens from place start of a queue."""
-    at, w = start, start * total // ((hi - lo) * window)
-    below, own = quota_sum(w, lo, hi, total, window)
-    while own > at:
-        w -= 1
-        below, own = quota_sum(w, lo, hi, total, window)
-    while at < start + n:
-        below_next, own_next = quota_sum(w + 1, lo, hi, total, window)
-        if own_next > at:
-            take = min(own_next, start + n) - at
-            yield at - start, take, w, (below_next - below) + at - own
-            at += take
-        w, below, own = w + 1, below_next, own_next
-
-
-def _packed(total, window):
+def pieces(start: int, n: int, of_queue: list[tuple[int, ...]], window: int):
+    """(place in the document, length, window number, offset) of n tokens from place start of a queue, by its phases."""
+    for ahead, size, first, total, lo, hi in of_queue:
+        at, end = max(start - ahead, 0), min(start + n - ahead, size)
+        if at >= end:
+            continue
+        w = (first + at * total // size) // window
+        below, own = quota_sum(w, first, lo, hi, total, window)
+        while own > at:
+            w -= 1
+            below, own = quota_sum(w, first, lo, hi, total, window)
+        while at < end:
+            below_next, own_next = quota_sum(w + 1, first, lo, hi, total, window)
+            if own_next > at:
+                take = min(own_next, end) - at
+                yield ahead + at - start, take, w, max(0, first - w * window) + (below_next - below) + at - own
+                at += take
+            w, below, own = w + 1, below_next, own_next
+
+
+def _packed(of_queue, window):
     def run(batches):
         for pdf in batches:
             of, start, length, crc, sequence, offset = [], [], [], [], [], []
-            columns = zip(pdf.queue_start.tolist(), pdf.before.tolist(), pdf.n.tolist(), pdf.lo.tolist(), pdf.hi.tolist(), pdf.ids)
-            for k, (ahead, before, n, lo, hi, ids) in enumerate(columns):
+            for k, (queue, place, n, ids) in enumerate(zip(pdf.queue.tolist(), pdf.place.tolist(), pdf.n.tolist(), pdf.ids)):
                 raw = np.frombuffer(ids, f"<u{len(ids) // n}").astype("<u4").tobytes()
-                for at, m, w, o in pieces(ahead + before, n, lo, hi, total, window):
+                for at, m, w, o in pieces(place, n, of_queue[queue], window):
                     of.append(k)
                     start.append(at)
                     length.append(m)
@@ -174,45 +201,69 @@ def _packed(total, window):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", window: int = 4096, end_id: int = 2, group_chars: int = 2 << 20) -> DataFrame:
+def _placed_evenly(small: DataFrame) -> DataFrame:
+    """small(part, row, n, of, all_of): rows with their place in one queue, in the order of the middle of each document
+    in its own source (of: tokens of the source before it, all_of: in all). A prefix sum over ranges of that order."""
+    parts = int(small.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    middle = (F.col("of") + F.col("n") / 2) / F.col("all_of")
+    ranged = small.select("part", "row", "n", middle.alias("middle")).repartitionByRange(parts, "middle", "part", "row").sortWithinPartitions("middle", "part", "row")
+
+    def summed(batches):
+        at, own = 0, TaskContext.get().partitionId()
+        for pdf in batches:
+            ends = at + pdf.n.cumsum()
+            yield pd.DataFrame({"part": pdf.part, "row": pdf.row, "n": pdf.n, "span": own, "within": ends - pdf.n})
+            at = int(ends.iloc[-1]) if len(ends) else at
+
+    found = stored(ranged.mapInPandas(summed, "part int, row long, n long, span int, within long"), "even-places")
+    ahead = Window.partitionBy(F.lit(0)).orderBy("span").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    spans = stored(found.groupBy("span").agg(F.sum("n").alias("m")).select("span", F.coalesce(F.sum("m").over(ahead), F.lit(0)).alias("before_span")), "spans")
+    return found.join(spans, "span").select("part", "row", (F.col("before_span") + F.col("within")).alias("even"))
+
+
+SHARED = 0  # the queue of the small sources
+
+
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", window: int = 4096, end_id: int = 2, shares: dict[str, float] | None = None, least_quota: int = 4, group_chars: int = 2 << 20) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Every document (null text: empty) gives its ids and end_id, each id in exactly one piece. Sources with
-    a share of characters under 4 / window, and a null source, share one queue, so there are at most
-    window / 4 + 1 queues however many sources; queues that get less than one token a window are joined to
-    it. Windows are full but for the last. Repeated rows are packed each. Order in a queue is that of the
-    partitions read. An empty table gives an empty result.
+    Every document (null text: empty) gives its ids and end_id, each id in exactly one piece. shares: target parts of
+    a window for some sources; the others divide what is left by their sizes, or come last if nothing is left. Without
+    it all have their natural shares, at which every queue lasts to the last window. A source whose natural share is
+    under least_quota tokens a window, and that shares does not name, goes to the shared queue; a null source is a source like any other there. Windows are full but
+    for the last. Repeated rows are packed each. Order in a queue is that of the partitions read. An empty table gives
+    an empty result.
     """
-    rows = chosen(docs, id_col, text_col, source=source_col).withColumn("source", F.col("source").cast("string"))
-    sizes = stored(rows.groupBy("source").agg(F.sum(F.length("text") + 1).alias("chars")), "source-sizes")
-    whole = sizes.agg(F.sum("chars")).first()[0] or 0
-    own = {r.source: i + 1 for i, r in enumerate(sizes.filter(F.col("source").isNotNull() & (F.col("chars") * window >= 4 * whole)).orderBy("source").collect())}
-    queue = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in own.items() for x in kv)), F.col("source")), F.lit(0)) if own else F.lit(0)
-    kind = dict(docs.dtypes)[id_col]
-    tokens = stored(
-        rows.select("doc_id", "text", queue.alias("queue")).mapInPandas(_tokenized(tokenizer, end_id, group_chars), f"part int, queue int, doc_id {kind}, n long, before long, ids binary"),
-        "tokens",
-    )
-    sums = stored(tokens.groupBy("part", "queue").agg(F.sum("n").alias("n")), "queue-sums")
-    of_queue = {r.queue: r.n for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect()}
-    total, joined = sum(of_queue.values()), {}
-    thin = [q for q, n in of_queue.items() if n * window < total]
-    if thin:
-        rest = [q for q in of_queue if q not in thin]
-        thin += [min(rest, key=lambda q: (of_queue[q], q))] if sum(of_queue[q] for q in thin) * window < total and rest else []
-        joined = {q: min(thin) for q in thin}
-    lanes: dict[int, int] = {}
-    for q, n in sorted(of_queue.items()):
-        lanes[joined.get(q, q)] = lanes.get(joined.get(q, q), 0) + n
-    edges = np.cumsum([0, *lanes.values()]).tolist()
-    spark = docs.sparkSession
-    table = [(q, joined.get(q, q), edges[k := list(lanes).index(joined.get(q, q))], edges[k + 1]) for q in of_queue]
-    lane = spark.createDataFrame(table, "queue int, lane int, lo long, hi long")
-    ahead = Window.partitionBy("lane").orderBy("part", "queue").rowsBetween(Window.unboundedPreceding, -1)
-    starts = stored(sums.join(lane, "queue").select("part", "queue", "lo", "hi", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("queue_start")), "queue-starts")
+    spark, kind = docs.sparkSession, dict(docs.dtypes)[id_col]
+    rows = chosen(docs, id_col, text_col, source=source_col).select("doc_id", "text", F.concat(F.lit("="), F.col("source").cast("string")).alias("source")).na.fill("null", ["source"])
+    tokens = stored(rows.mapInPandas(_tokenized(tokenizer, end_id, group_chars), f"part int, row long, source string, doc_id {kind}, n long, before long, ids binary"), "tokens")
+    sums = stored(tokens.groupBy("part", "source").agg(F.sum("n").alias("n")), "queue-sums")
+    sources = stored(sums.groupBy("source").agg(F.sum("n").alias("all_of")), "sources")
+    total = sources.agg(F.coalesce(F.sum("all_of"), F.lit(0))).first()[0]
+    named = {f"={k}": float(v) for k, v in (shares or {}).items()}
+    # at most window / least_quota sources are large, besides those named
+    large = sources.filter((F.col("all_of") * window >= least_quota * total) | F.col("source").isin(*named)).orderBy("source").collect()
+    number = {r.source: i + 1 for i, r in enumerate(large)}
+    sizes = {number[r.source]: r.all_of for r in large}
+    sizes = {SHARED: total - sum(sizes.values())} | sizes
+    rest = {q: n for q, n in sizes.items() if q not in {number[s] for s in named if s in number}}
+    over, all_rest = max(0.0, 1 - sum(named.values())), max(1, sum(rest.values()))
+    weights = {q: n for q, n in sizes.items()} if not named else {number[s]: w for s, w in named.items() if s in number} | {q: over * n / all_rest for q, n in rest.items()}
+    of_queue = phases(sizes, weights)
+
+    known = spark.createDataFrame([(s, q) for s, q in number.items()], "source string, queue int")
+    ahead = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.join(sources, "source").join(known, "source", "left").select("part", "source", "all_of", F.coalesce("queue", F.lit(SHARED)).alias("queue"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("queue_start"))
+    starts = stored(starts, "queue-starts")
     # few rows for each partition: Spark broadcasts them only while they are small
-    placed = tokens.join(starts, ["part", "queue"])
-    return placed.mapInPandas(_packed(total, window), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    placed = tokens.join(starts, ["part", "source"]).withColumn("place", F.col("queue_start") + F.col("before"))
+    if sizes[SHARED]:
+        small = placed.filter(F.col("queue") == SHARED)
+        even = _placed_evenly(small.select("part", "row", "n", F.col("place").alias("of"), "all_of"))
+        spread = small.join(even, ["part", "row"]).withColumn("place", F.col("even"))
+        columns = ["doc_id", "queue", "place", "n", "ids"]
+        placed = placed.filter(F.col("queue") != SHARED).select(*columns).union(spread.select(*columns))
+    return placed.select("doc_id", "queue", "place", "n", "ids").mapInPandas(_packed(of_queue, window), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def query(spark, sf_dir):

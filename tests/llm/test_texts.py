@@ -165,16 +165,6 @@ def test_word_tokens_equal_the_tokenizer(docs, odd):
             assert np.frombuffer(got, encoder.kind).tolist() == tokens_of(t)[:-1]
 
 
-@pytest.mark.parametrize("shares", [(7, 90, 4000), (1000, 1, 1000), (3,)])
-def test_quotas_are_whole(shares):
-    total, window = sum(shares), 16
-    edges = np.cumsum([0, *shares]).tolist()
-    if min(shares) * window >= total or len(shares) == 1:
-        for lo, hi in zip(edges, edges[1:]):
-            got = list(packing.pieces(0, hi - lo, lo, hi, total, window))
-            assert sum(n for _, n, _, _ in got) == hi - lo and all(o + n <= window for _, n, _, o in got)
-
-
 def brute_base(rows):
     train = [t for i, t in rows if fold(i, 10) != 0]
     tokens = lambda t: [*(t or "").encode().lower().split(), None]
