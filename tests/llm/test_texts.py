@@ -222,7 +222,7 @@ def test_trie_against_brute_force():
     assert ppm.adaptive_score(b"ab" * 100) > ppm.adaptive_score(bytes(range(200)))
 
 
-def test_pipeline(spark, sf, docs, odd):
+def test_pipeline(spark, sf, docs, odd, empty):
     seen = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, seen, sf)
@@ -237,5 +237,9 @@ def test_pipeline(spark, sf, docs, odd):
     assert not any(h[5] for h in brute_hits([(i, rows[i]) for i in kept], tests))
     pieces = corpus_pipeline.run(spark, sf).toPandas()
     assert set(pieces.doc_id) == kept and pieces.length.sum() == sum(len(tokens_of(rows[i])) for i in kept)
-    for name, stage in corpus_pipeline.STAGES:
-        assert stage(spark, odd, sf).count() >= 0
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, sf).count() == 0
+    odd_pieces = corpus_pipeline.packed(spark, odd, sf).toPandas()
+    assert odd_pieces.length.sum() == sum(len(tokens_of(r.text)) for r in odd.collect())
+    hits = brute_hits([(i, r.text) for i, r in enumerate(odd.collect())], tests)
+    assert corpus_pipeline.decontaminated(spark, odd, sf).count() == sum(not h[5] for h in hits)
