@@ -106,8 +106,8 @@ def m6(spark, sf):
 
 
 def _candidates(spark, sf):
-    d = detections(spark, sf).select("id", "ra", "dec", "pmra", "pmdec", F.lit(0.1).alias("e_pmra"), F.lit(0.1).alias("e_pmdec"), F.lit(0.0).alias("rho"), "rv", F.col("err").alias("e_rv"))
-    o = stars(spark, sf).select(F.col("name").alias("object"), F.col("ra").alias("o_ra"), F.col("dec").alias("o_dec"), F.lit(60.0).alias("rhalf_arcmin"), F.lit(0.2).alias("ellipticity"), F.lit(15.0).alias("pa"))
+    d = detections(spark, sf).select("id", "ra", "dec", "pmra", "pmdec", F.lit(0.1).alias("e_pmra"), F.lit(0.1).alias("e_pmdec"), F.lit(0.0).alias("rho"), "rv", F.col("err").alias("e_rv"), F.col("plx").alias("dist"), F.col("e_plx").alias("e_dist"))
+    o = stars(spark, sf).select(F.col("name").alias("object"), F.col("ra").alias("o_ra"), F.col("dec").alias("o_dec"), F.lit(60.0).alias("rhalf_arcmin"), F.lit(0.2).alias("ellipticity"), F.lit(15.0).alias("pa"), F.col("pmra").alias("ref_pmra"), F.col("pmdec").alias("ref_pmdec"), F.col("plx").alias("ref_dist"), F.element_at(F.array(*map(F.lit, ("GC", "OC", "DW", "SGR"))), (F.col("id") % 4 + 1).cast("int")).alias("kind"))
     return membership.candidates(d, o, 3.0)
 
 
@@ -130,4 +130,10 @@ def m9(spark, sf):
 def m17(spark, sf):
     found = _candidates(spark, sf)
     p = membership.membership(found, "OC").select("object", "id", "p_member")
-    return membership.quality_flags(found.join(p, ["object", "id"]).withColumns({"ref": F.lit(0.0), "ref_err": F.lit(100.0)}), "rv", "ref", "ref_err")
+    more = {"ref_err": F.lit(None).cast("double"), "ref_rv": F.lit(0.0), "ref_sigma": F.lit(100.0)}
+    return membership.quality_flags(found.join(p, ["object", "id"]).withColumns(more), "dist", "ref_dist", "ref_err", "rv", "ref_rv", "ref_sigma")
+
+
+@query("M13_method_by_type")
+def m13(spark, sf):
+    return membership.membership(_candidates(spark, sf))
