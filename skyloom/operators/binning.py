@@ -19,13 +19,14 @@ def percentile_clip(df: DataFrame, value: str, keys: list[str], low: float = 0.0
     return df.join(span, keys).filter((F.col("_n") < least) | F.col(value).between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi", "_n")
 
 
-def binned_median(df: DataFrame, keys: list[str], x: str, y: str, n_bins: int, least: int = 10) -> DataFrame:
+def binned_median(df: DataFrame, keys: list[str], x: str, y: str, n_bins: int | Column, least: int = 10) -> DataFrame:
     """Equal bins [lo, hi) of x over its p1..p99 of each group; bins of at least `least` rows:
-    keys, bin, centre, n, median, mad."""
+    keys, bin, centre, n, median, mad. n_bins may be an expression of the group's row count _n."""
+    n_bins = n_bins if isinstance(n_bins, Column) else F.lit(n_bins)
     known = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     span = known.groupBy(*keys).agg(F.percentile(x, F.lit(0.01)).alias("_lo"), F.percentile(x, F.lit(0.99)).alias("_hi"), F.count(F.lit(1)).alias("_n")).filter((F.col("_n") >= 2 * least) & (F.col("_hi") > F.col("_lo")))
     width = (F.col("_hi") - F.col("_lo")) / n_bins
-    binned = known.join(span, keys).filter((F.col(x) >= F.col("_lo")) & (F.col(x) < F.col("_hi"))).withColumn("bin", F.least(F.floor((F.col(x) - F.col("_lo")) / width), F.lit(n_bins - 1)))
+    binned = known.join(span, keys).filter((F.col(x) >= F.col("_lo")) & (F.col(x) < F.col("_hi"))).withColumn("bin", F.least(F.floor((F.col(x) - F.col("_lo")) / width), n_bins - 1))
     by = [*keys, "bin"]
     med = binned.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.median(y).alias("median"), F.first(F.col("_lo") + (F.col("bin") + 0.5) * width).alias("centre")).filter(F.col("n") >= least)
     mad = binned.join(med.select(*by, "median"), by).groupBy(*by).agg(F.median(F.abs(F.col(y) - F.col("median"))).alias("mad"))

@@ -57,5 +57,5 @@ def top_per_group(df: DataFrame, keys: list[str], order: list, n: int) -> DataFr
 
 
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """n rows by hash of the key: the same rows on every run and partitioning."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """n rows by a digest of the key and the seed: the same rows on every run, partitioning and engine."""
+    return df.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")).cast("binary")), key).limit(n)

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import gamma_logpdf, lognormal_logpdf, normal_logpdf, posterior
+from ..storage import discard, stored
 
 
 @dataclass
@@ -73,17 +74,18 @@ def _weighted(y, w, floor):
 
 
 def fit_lognormal(df: DataFrame, value: str, low: float = 0.0, high: float = 10.0, share_range=(0.5, 0.95), separation: float | None = None, iterations: int = 500, tolerance: float = 1e-8) -> Mixture | None:
-    """Core and tail of a positive quantity. Without `separation` the tail's mean stays half a core deviation
-    above the core's and a Beta(5, 2) prior holds the share; with it the means stay `separation` robust
+    """Core and tail of a positive quantity; a Beta(5, 2) prior holds the share. Without `separation` the tail's mean
+    stays half a core deviation above the core's; with it the means stay `separation` robust
     deviations apart and the tail is at least twice as wide. None for fewer than 100 values."""
     y, n = binned(df, value, low, high, True)
     if n.sum() < 100:
         return None
     logpdf = lambda y, m, s: -0.5 * ((y - m) / s) ** 2 - math.log(s) - 0.5 * math.log(2 * math.pi) - y
     at = lambda p: float(np.interp(p * n.sum(), np.cumsum(n), y))
-    med, robust = at(0.5), max((at(0.75) - at(0.25)) / 1.349, 1e-3)
-    std = _weighted(y, n, 0)[1]
-    floor = 0.1 if separation is None else max(0.15, 0.1 * std)
+    med = at(0.5)
+    order = np.argsort(np.abs(y - med))
+    robust = max(1.4826 * float(np.interp(0.5 * n.sum(), np.cumsum(n[order]), np.abs(y - med)[order])), 1e-3)
+    floor = 0.1 if separation is None else max(0.15, 0.1 * robust)
 
     def m_step(y, wc, wt):
         core, tail = _weighted(y, wc, floor), _weighted(y, wt, max(floor, 0.05**0.5))
@@ -95,9 +97,13 @@ def fit_lognormal(df: DataFrame, value: str, low: float = 0.0, high: float = 10.
         return core, (max(tail[0], core[0] + gap), max(tail[1], wide * core[1])), swapped
 
     starts = [(0.75, (med, max((med - at(0.1)) / 1.28, floor)), (at(0.9), 2 * max((med - at(0.1)) / 1.28, floor))), (0.7, (at(0.35), robust), (at(0.9), 2 * robust)), (0.6, (med, robust), (med + 2 * robust, 2.5 * robust))]
-    prior = (5.0, 2.0) if separation is None else None
+    rng = np.random.default_rng(42)  # the same further starts on every run
+    for _ in range(7):
+        mu, s = med + 0.3 * robust * rng.normal(), max(robust * rng.uniform(0.15, 0.5), floor)
+        starts.append((rng.uniform(share_range[0] + 0.05, share_range[1] - 0.05), (mu, s), (mu + robust * rng.uniform(0.8, 2), s * rng.uniform(2, 4))))
+    prior = (5.0, 2.0)
     fits = [_em(y, n, s, m_step, logpdf, share_range, iterations, tolerance, prior) for s in starts]
-    score = lambda f: f[3] + (4 * math.log(f[0]) + math.log(1 - f[0]) if prior else 0)
+    score = lambda f: f[3] + (prior[0] - 1) * math.log(f[0]) + (prior[1] - 1) * math.log(1 - f[0])
     return Mixture("lognormal", *max(fits, key=score))
 
 
@@ -173,9 +179,11 @@ def fit_deconvolved(df: DataFrame, value: str, error: str, low: float, high: flo
     """Normal mixture whose rows have their own errors (a tenth of the value where unknown): each iteration is
     one aggregation of the responsibilities' sums over all rows."""
     v = F.col(value)
-    rows = df.filter((v > low) & (v < high)).select(v.alias("x"), F.coalesce(F.when(F.col(error) > 0, F.col(error)), 0.1 * F.abs(v)).alias("e"))
+    # stored: what df comes of is worked out once, not once an iteration
+    rows = stored(df.filter((v > low) & (v < high)).select(v.alias("x"), F.coalesce(F.when(F.col(error) > 0, F.col(error)), 0.1 * F.abs(v)).alias("e")), "values")
     base = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).first()
     if base.n < 100 or not base.s:
+        discard(rows)
         return None
     share, core, tail, before = 0.7, (base.m, 0.5 * base.s), (base.m, 2 * base.s), -math.inf
     for it in range(1, iterations + 1):
@@ -195,6 +203,7 @@ def fit_deconvolved(df: DataFrame, value: str, error: str, low: float, high: flo
         core, tail = one(r.c0, r.c1, r.c2, r.c3), one(r.t0, r.t1, r.t2, r.t3)
         if tail[1] < core[1]:
             core, tail, share = tail, core, 1 - share
+    discard(rows)
     return Mixture("normal", share, core, tail, before, it)
 
 

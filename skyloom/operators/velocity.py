@@ -74,10 +74,11 @@ def three_cornered(pairs: DataFrame, errors: DataFrame) -> DataFrame:
     return var.join(errors.groupBy("survey").agg(F.median("err").alias("_e")), "survey").select("survey", "n_triangles", "variance", (F.sqrt("variance") / F.col("_e")).alias("factor"))
 
 
-def combined_factor(df: DataFrame, repeats: str = "repeats", triangles: str = "triangles", prior: str = "prior") -> DataFrame:
-    """factor per survey from up to three estimates, by the class of the survey; implausible ones do not count."""
+def combined_factor(df: DataFrame, repeats: str = "repeats", triangles: str = "triangles", prior: str = "prior", pairs: str = "n_pairs", least_pairs: int = 200) -> DataFrame:
+    """factor per survey from up to three estimates, by the class of the survey; implausible ones do not count, nor do
+    repeats of fewer than least_pairs pairs."""
     ok = lambda c: F.when((F.col(c) > PLAUSIBLE[0]) & (F.col(c) < PLAUSIBLE[1]), F.col(c))
-    d, t, p, one = ok(repeats), ok(triangles), ok(prior), F.lit(1.0)
+    d, t, p, one = F.when(F.col(pairs) >= least_pairs, ok(repeats)), ok(triangles), ok(prior), F.lit(1.0)
     s = F.col("survey")
     return df.withColumn(
         "factor",
@@ -85,24 +86,27 @@ def combined_factor(df: DataFrame, repeats: str = "repeats", triangles: str = "t
     )
 
 
-def binned_fit(df: DataFrame, keys: list[str], x: str, y: str, degree: int, least: int = 300) -> dict[tuple, tuple[list[float], list[list[float]] | None, int]]:
-    """Per group a polynomial through the binned medians, weighted by the root of the bins' counts: coefficients
-    (highest power first), covariance and row count. Bins come to the driver: 15 to 40 of each group."""
-    n_bins = 25
-    rows = binned_median(df, keys, x, y, n_bins).select(*keys, "centre", "n", "median").orderBy(*keys, "centre").collect()
+def binned_fit(df: DataFrame, keys: list[str], x: str, y: str, degree: int, least: int = 50) -> dict[tuple, tuple[list[float], list[list[float]] | None, int, float]]:
+    """Per group of `least` rows a polynomial through the medians of y, less the group's median, in rows / 300 bins (15 to 40),
+    weighted by the root of the bins' counts: coefficients (highest power first), covariance, rows and the median
+    taken off. Fewer than degree + 2 bins of ten rows make no fit; a covariance that is not finite is replaced by the
+    unscaled one. At most 40 bins of each group come to the driver."""
+    known = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    zero = known.groupBy(*keys).agg(F.median(y).alias("_zero"), F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") >= least)
+    shifted = known.join(zero, keys).withColumn("_y", F.col(y) - F.col("_zero"))
+    n_bins = F.least(F.greatest(F.floor(F.col("_n") / 300), F.lit(15)), F.lit(40))
+    medians = binned_median(shifted.select(*keys, x, "_y"), keys, x, "_y", n_bins).join(zero, keys)
+    rows = medians.select(*keys, "centre", "n", "median", "_zero", "_rows").orderBy(*keys, "centre").collect()
     out = {}
     for k in dict.fromkeys(tuple(r[c] for c in keys) for r in rows):
         own = [r for r in rows if tuple(r[c] for c in keys) == k]
-        n = sum(r.n for r in own)
-        if len(own) <= degree or n < least:
+        if len(own) < degree + 2:
             continue
         a, b, w = (np.array([r[c] for r in own], float) for c in ("centre", "median", "n"))
-        cov = None
-        if len(own) > degree + 1:
-            coefficients, cov = np.polyfit(a, b, degree, w=np.sqrt(w), cov=True)
-        else:
-            coefficients = np.polyfit(a, b, degree, w=np.sqrt(w))
-        out[k] = (coefficients.tolist(), None if cov is None or not np.isfinite(cov).all() else cov.tolist(), n)
+        coefficients, cov = np.polyfit(a, b, degree, w=np.sqrt(w), cov=True)
+        if not np.isfinite(cov).all():
+            coefficients, cov = np.polyfit(a, b, degree, w=np.sqrt(w), cov="unscaled")
+        out[k] = (coefficients.tolist(), cov.tolist() if np.isfinite(cov).all() else None, own[0]["_rows"], own[0]["_zero"])
     return out
 
 
@@ -127,13 +131,49 @@ def normal_equations(df: DataFrame, features: list[str], target: str, error: str
     return np.linalg.lstsq(m, got[k * (k + 1) // 2 :], rcond=None)[0], m
 
 
+# What a survey's difference from the reference is fitted on, and where its stars are split.
+CALIBRATION_FEATURES = {"Teff2": ("Teff", 2), "Teff": ("Teff", 1), "logg": ("logg", 1), "FeH": ("FeH", 1), "SNR": ("SNR", 1), "RV": ("RV", 1)}
+SPLIT_BY_TEFF, TEFF_SPLIT, LOGG_SPLIT = ("LAMOST",), 6200.0, 3.5
+
+
+def survey_calibration(df: DataFrame, target: str = "drv", error: str = "err", least: int = 50, filled: float = 0.3) -> dict[tuple[str, str], dict[str, float]]:
+    """Weighted least squares of target on CALIBRATION_FEATURES and an intercept for each survey of `least` rows and
+    each of its halves: cool and hot (by Teff) or dwarfs and giants (by logg) where a half has more than `least` rows, all rows where
+    none has. A feature counts where more than `filled` of the half's rows know it, unknown values as 0.
+    One aggregation by (survey, half) gives the sums of all features; the driver solves one small system for each."""
+    one = lambda c: F.when(F.isnan(c) | (F.abs(c) == float("inf")), None).otherwise(F.col(c))
+    known = df.filter(F.col(target).isNotNull() & F.col("survey").isNotNull())
+    by_teff = F.col("survey").isin(*SPLIT_BY_TEFF)
+    half = F.when(by_teff, F.when(one("Teff") < TEFF_SPLIT, "cool").when(one("Teff") >= TEFF_SPLIT, "hot")).otherwise(F.when(one("logg") > LOGG_SPLIT, "dwarfs").when(one("logg") <= LOGG_SPLIT, "giants"))
+    sure = F.greatest(F.coalesce(one(error), F.lit(1.0)), F.lit(0.01))
+    w, y = 1 / (sure * sure), F.col(target)
+    xs = [*(F.coalesce(F.pow(one(c), k), F.lit(0.0)) for c, k in CALIBRATION_FEATURES.values()), F.lit(1.0)]
+    sums = [F.sum(w * a * b) for i, a in enumerate(xs) for b in xs[i:]] + [F.sum(w * a * y) for a in xs] + [F.count(one(c)) for c, _ in CALIBRATION_FEATURES.values()] + [F.count(F.lit(1))]
+    got = known.withColumn("half", half).groupBy("survey", "half").agg(*(s.cast("double").alias(f"c{i}") for i, s in enumerate(sums))).collect()
+    of = {(r.survey, r.half): np.array(r[2:], float) for r in got}
+    out, k = {}, len(xs)
+    for survey in sorted({s for s, _ in of}):
+        everything = sum(v for (s, _), v in of.items() if s == survey)
+        halves = {h: v for (s, h), v in of.items() if s == survey and h is not None and v[-1] > least} or {"all": everything}
+        for name, v in sorted(halves.items()) if everything[-1] >= least else ():
+            m = np.zeros((k, k))
+            m[np.triu_indices(k)] = v[: k * (k + 1) // 2]
+            m = m + np.triu(m, 1).T
+            right, counts = v[k * (k + 1) // 2 : k * (k + 1) // 2 + k], v[-k:-1]
+            use = np.r_[np.flatnonzero(counts > filled * v[-1]), k - 1]
+            scale = np.sqrt(np.maximum(np.diag(m)[use], 1e-300))  # columns of very unlike size
+            beta = np.linalg.lstsq(m[np.ix_(use, use)] / np.outer(scale, scale), right[use] / scale, rcond=None)[0] / scale
+            out[survey, name] = {[*CALIBRATION_FEATURES, "intercept"][i]: float(b) for i, b in zip(use, beta)}
+    return out
+
+
 def calibrated(df: DataFrame, fits: dict, key: str, x: str, rv: str = "rv", err: str = "err") -> DataFrame:
     """rv less the group's polynomial in x, the fit's error added to err; groups without a fit, and rows whose fit
     is too uncertain, keep theirs and are marked."""
     shift, extra = F.lit(None).cast("double"), F.lit(None).cast("double")
     from ..functions.stats import polynomial, polynomial_error
 
-    for k, (coefficients, cov, _) in fits.items():
+    for k, (coefficients, cov, *_) in fits.items():
         own = F.col(key) == F.lit(k[0])
         shift = F.when(own, polynomial(F.col(x), coefficients)).otherwise(shift)
         extra = F.when(own, polynomial_error(F.col(x), cov)).otherwise(extra)

@@ -25,10 +25,13 @@ def _valid(spark, sf):
     return measurements(spark, sf).filter("rv IS NOT NULL AND err > 0")
 
 
+_REPEATS = f"""{_PAIRS}, c AS (SELECT * FROM t WHERE abs(t) <= 50), m1 AS (SELECT survey, median(t) AS m FROM c GROUP BY survey), s1 AS (SELECT survey, max(m) AS m, 1.4826 * median(abs(t - m)) AS s FROM c JOIN m1 USING (survey) GROUP BY survey),
+c2 AS (SELECT survey, t FROM c JOIN s1 USING (survey) WHERE abs(t - m) <= 5 * s), m2 AS (SELECT survey, median(t) AS m, count(*) AS n_pairs FROM c2 GROUP BY survey HAVING count(*) >= 50) SELECT survey, max(n_pairs) AS n_pairs, round(1.4826 * median(abs(t - m)), 5) AS factor FROM c2 JOIN m2 USING (survey) GROUP BY survey"""
+
+
 @query(
     "M18_repeat_factor",
-    f"""WITH {SQL_MEASURE}, {_VALID}, {_PAIRS}, c AS (SELECT * FROM t WHERE abs(t) <= 50), m1 AS (SELECT survey, median(t) AS m FROM c GROUP BY survey), s1 AS (SELECT survey, max(m) AS m, 1.4826 * median(abs(t - m)) AS s FROM c JOIN m1 USING (survey) GROUP BY survey),
-c2 AS (SELECT survey, t FROM c JOIN s1 USING (survey) WHERE abs(t - m) <= 5 * s), m2 AS (SELECT survey, median(t) AS m, count(*) AS n_pairs FROM c2 GROUP BY survey HAVING count(*) >= 50) SELECT survey, max(n_pairs) AS n_pairs, round(1.4826 * median(abs(t - m)), 5) AS factor FROM c2 JOIN m2 USING (survey) GROUP BY survey""",
+    f"WITH {SQL_MEASURE}, {_VALID}, {_REPEATS}",
 )
 def m18(spark, sf):
     return velocity.repeat_factor(velocity.repeat_pairs(_valid(spark, sf))).select("survey", "n_pairs", F.round("factor", 5).alias("factor"))
@@ -44,32 +47,71 @@ def m19(spark, sf):
     return z.select("a", "b", "n", F.round("zero_point", 4).alias("zero_point"), F.round("variance", 2).alias("variance"))
 
 
+_HAT = f"""{_MEANS}, {_ZERO}, w AS (SELECT a, b, n, variance FROM var WHERE variance >= 1e-6), bo AS (SELECT * FROM w UNION ALL SELECT b, a, n, variance FROM w),
+tri AS (SELECT p.a AS survey, (p.variance + q.variance - r.variance) / 2 AS own, least(p.n, q.n, r.n) AS wt FROM bo p JOIN bo q ON p.a = q.a AND p.b < q.b JOIN bo r ON r.a = p.b AND r.b = q.b), g AS (SELECT survey, sum(wt * own) / sum(wt) AS variance, count(*) AS n_triangles FROM tri WHERE own > 0 GROUP BY survey), e AS (SELECT survey, median(err) AS e FROM mean GROUP BY survey)
+SELECT survey, n_triangles, round(variance, 2) AS variance, round(sqrt(variance) / e, 4) AS factor FROM g JOIN e USING (survey)"""
+
+
 @query(
     "M20_three_cornered_hat",
-    f"""WITH {SQL_MEASURE}, {_VALID}, {_MEANS}, {_ZERO}, w AS (SELECT a, b, n, variance FROM var WHERE variance >= 1e-6), bo AS (SELECT * FROM w UNION ALL SELECT b, a, n, variance FROM w),
-tri AS (SELECT p.a AS survey, (p.variance + q.variance - r.variance) / 2 AS own, least(p.n, q.n, r.n) AS wt FROM bo p JOIN bo q ON p.a = q.a AND p.b < q.b JOIN bo r ON r.a = p.b AND r.b = q.b), g AS (SELECT survey, sum(wt * own) / sum(wt) AS variance, count(*) AS n_triangles FROM tri WHERE own > 0 GROUP BY survey), e AS (SELECT survey, median(err) AS e FROM mean GROUP BY survey)
-SELECT survey, n_triangles, round(variance, 2) AS variance, round(sqrt(variance) / e, 4) AS factor FROM g JOIN e USING (survey)""",
+    f"WITH {SQL_MEASURE}, {_VALID}, {_HAT}",
 )
 def m20(spark, sf):
     means = velocity.survey_means(_valid(spark, sf))
     return velocity.three_cornered(velocity.zero_points(means), means).select("survey", "n_triangles", F.round("variance", 2).alias("variance"), F.round("factor", 4).alias("factor"))
 
 
-@query("M21_combined_factors")
+# the tables' four surveys under names of each class
+_NAMES = {"AF": "APOGEE", "NF": "GES", "NO": "GAIA", "RF": "SDSS"}
+_NAMED = "CASE survey " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _NAMES.items()) + " ELSE survey END"
+_OK = lambda c: f"CASE WHEN {c} > 0.1 AND {c} < 20 THEN {c} END"
+
+
+@query(
+    "M21_combined_factors",
+    f"""WITH {SQL_MEASURE}, raw AS (SELECT * FROM m WHERE rv IS NOT NULL AND err > 0), v AS (SELECT * REPLACE ({_NAMED} AS survey) FROM raw), rep AS (WITH {_REPEATS}), hat AS (WITH {_HAT}), pri AS (SELECT survey, median(snr / err) AS p FROM v GROUP BY survey),
+f AS (SELECT survey, CASE WHEN n_pairs >= 200 THEN {_OK("rep.factor")} END AS d, {_OK("hat.factor")} AS t, {_OK("p")} AS p FROM pri LEFT JOIN rep USING (survey) LEFT JOIN hat USING (survey))
+SELECT survey, round(CASE WHEN survey IN ('APOGEE', 'RAVE', 'LAMOST') THEN coalesce(d, p, t, 1) WHEN survey IN ('GAIA', 'GALAH') THEN coalesce(t, p, 1) WHEN survey = 'GES' THEN coalesce((d + t) / 2, d, t, p, 1) ELSE coalesce(t, d, p, 1) END, 3) AS factor FROM f""",
+)
 def m21(spark, sf):
-    v = _valid(spark, sf)
-    repeats = velocity.repeat_factor(velocity.repeat_pairs(v)).select("survey", F.col("factor").alias("repeats"))
+    v = _valid(spark, sf).withColumn("survey", F.expr(_NAMED))
+    repeats = velocity.repeat_factor(velocity.repeat_pairs(v)).select("survey", "n_pairs", F.col("factor").alias("repeats"))
     means = velocity.survey_means(v)
     hat = velocity.three_cornered(velocity.zero_points(means), means).select("survey", F.col("factor").alias("triangles"))
     prior = v.groupBy("survey").agg(F.median(F.col("snr") / F.col("err")).alias("prior"))
-    return velocity.combined_factor(prior.join(repeats, "survey", "left").join(hat, "survey", "left")).select("survey", F.round("factor", 4).alias("factor"))
+    return velocity.combined_factor(prior.join(repeats, "survey", "left").join(hat, "survey", "left")).select("survey", F.round("factor", 3).alias("factor"))
+
 
+SQL_FITS = """s AS (SELECT survey, quantile_cont(err, 0.01) AS lo, quantile_cont(err, 0.99) AS hi, count(*) AS n, median(rv) AS zero, least(40, greatest(15, count(*) // 300)) AS nb FROM v GROUP BY survey HAVING count(*) >= 50),
+b AS (SELECT survey, least(floor((err - lo) / ((hi - lo) / nb)), nb - 1) AS bin, lo, (hi - lo) / nb AS width, rv - zero AS y FROM v JOIN s USING (survey) WHERE err >= lo AND err < hi),
+g AS (SELECT survey, max(lo + (bin + 0.5) * width) AS x, count(*) AS w, median(y) AS y FROM b GROUP BY survey, bin HAVING count(*) >= 10),
+q AS (SELECT survey, count(*) AS k, sum(w) AS sw, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * x * x) AS sxx, sum(w * x * y) AS sxy FROM g GROUP BY survey HAVING count(*) >= 3),
+line AS (SELECT *, (sw * sxy - sx * sy) / (sw * sxx - sx * sx) AS slope, (sy - (sw * sxy - sx * sy) / (sw * sxx - sx * sx) * sx) / sw AS intercept FROM q),
+fit AS (SELECT survey, any_value(s.n) AS n, any_value(zero) AS zero, any_value(slope) AS slope, any_value(intercept) AS intercept, sum(w * pow(y - slope * x - intercept, 2)) / (any_value(k) - 2) / any_value(sw * sxx - sx * sx) AS f, any_value(sw) AS sw, any_value(sx) AS sx, any_value(sxx) AS sxx FROM g JOIN line USING (survey) JOIN s USING (survey) GROUP BY survey)"""
 
-@query("M22_binned_polynomials")
+
+@query(
+    "M22_binned_polynomials",
+    f"WITH {SQL_MEASURE}, {_VALID}, {SQL_FITS} SELECT survey, round(slope, 4) AS slope, round(intercept, 3) AS intercept, n, round(zero, 4) AS zero FROM fit UNION ALL SELECT '(all)', round(sum(n * slope) / sum(n), 4), round(sum(n * intercept) / sum(n), 3), CAST(sum(n) AS BIGINT), NULL FROM fit",
+)
 def m22(spark, sf):
-    fits = velocity.binned_fit(_valid(spark, sf), ["survey"], "err", "rv", 1, 100)
-    rows = [(k[0], *map(float, c), n) for k, (c, _, n) in sorted(fits.items())]
-    return spark.createDataFrame(rows, "survey string, slope double, intercept double, n long").select("survey", F.round("slope", 5).alias("slope"), F.round("intercept", 4).alias("intercept"), "n")
+    """A line for each survey, and their mean weighted by rows."""
+    fits = velocity.binned_fit(_valid(spark, sf), ["survey"], "err", "rv", 1)
+    rows = [(k[0], *map(float, c), n, zero) for k, (c, _, n, zero) in sorted(fits.items())]
+    if rows:
+        rows.append(("(all)", *velocity.pooled(fits)[0], sum(r[3] for r in rows), None))
+    return spark.createDataFrame(rows, "survey string, slope double, intercept double, n long, zero double").select("survey", F.round("slope", 4).alias("slope"), F.round("intercept", 3).alias("intercept"), "n", F.round("zero", 4).alias("zero"))
+
+
+@query("M25_survey_calibration")
+def m25_surveys(spark, sf):
+    """All features of the calibration for each survey and half, from columns that stand for them."""
+    m = _valid(spark, sf).select(
+        F.expr("CASE survey WHEN 'NO' THEN 'LAMOST' ELSE survey END").alias("survey"), (F.col("rv") / 100).alias("drv"), "err", (4000 + F.col("disc") * 40000).alias("Teff"), (2 + F.col("tax") * 40).alias("logg"),
+        F.when(F.col("row_id") % 3 != 0, (F.col("snr") - 25) / 50).alias("FeH"), F.col("snr").alias("SNR"), (F.col("row_id") % 97).cast("double").alias("RV"),
+    )
+    rows = [(s, h, name, b) for (s, h), beta in velocity.survey_calibration(m).items() for name, b in beta.items()]
+    return spark.createDataFrame(rows, "survey string, half string, feature string, value double")
 
 
 @query("M25_normal_equations", f"WITH {SQL_MEASURE} SELECT 'slope' AS term, round((sum(w) * sum(w * x * y) - sum(w * x) * sum(w * y)) / (sum(w) * sum(w * x * x) - sum(w * x) * sum(w * x)), 4) AS value FROM (SELECT coalesce(disc, 0) AS x, rv AS y, 1 / (err * err) AS w FROM m WHERE rv IS NOT NULL AND err > 0)")

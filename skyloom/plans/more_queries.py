@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import sky, stats, text
 from ..operators import binning, keyed_join, membership, mixture, robust, velocity
 from ..sources import columns, sinks
+from .model_queries import SQL_FITS
 from .adapters import SQL_MEASURE, SQL_SEEN, SQL_STAR, detections, measurements, read, stars
 
 QUERIES: dict = {}
@@ -186,10 +187,13 @@ def x26(spark, sf):
     return measurements(spark, sf).groupBy(F.format_string("%d-%d kpc", a, a + 5).alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("M24_calibrated_velocities")
+@query(
+    "M24_calibrated_velocities",
+    f"WITH {SQL_MEASURE}, v AS (SELECT * FROM m WHERE rv IS NOT NULL AND err > 0), {SQL_FITS}, e AS (SELECT row_id, rv, err, rv - slope * err - intercept AS cal, sqrt(greatest(0, f * (sw * err * err - 2 * sx * err + sxx))) AS extra FROM v LEFT JOIN fit USING (survey)) SELECT row_id, round(CASE WHEN extra <= 5 THEN cal ELSE rv END, 4) AS rv_cal, round(CASE WHEN extra <= 5 THEN sqrt(err * err + extra * extra) ELSE err END, 4) AS err_cal, coalesce(extra <= 5, false) AS is_calibrated FROM e",
+)
 def m24(spark, sf):
     m = measurements(spark, sf).filter("rv IS NOT NULL AND err > 0")
-    out = velocity.calibrated(m, velocity.binned_fit(m, ["survey"], "err", "rv", 1, 100), "survey", "err")
+    out = velocity.calibrated(m, velocity.binned_fit(m, ["survey"], "err", "rv", 1), "survey", "err")
     return out.select("row_id", F.round("rv_cal", 4).alias("rv_cal"), F.round("err_cal", 4).alias("err_cal"), "is_calibrated")
 
 
@@ -218,7 +222,7 @@ def m28(spark, sf):
     return binning.recovery_map(d.withColumn("ok", ok), "plx", "rv", "ok", (0, 10, 14), (-200, 200, 14)).withColumn("completeness", F.round("completeness", 6))
 
 
-@query("Z1_density_curve")
+@query("Z1_density_curve", f"WITH {SQL_MEASURE}, b AS (SELECT avg(rv) AS v, count(*) AS n FROM m WHERE rv BETWEEN 0 AND 1000 GROUP BY least(floor(rv / (1000e0 / 512)), 511)), g AS (SELECT i * (1000e0 / 49) AS x FROM range(50) r(i)) SELECT round(x, 3) AS x, round(sum(n * exp(-0.5 * pow((x - v) / 40, 2))) / (sum(n) * 40 * sqrt(2 * pi())), 8) AS density FROM g, b GROUP BY x")
 def z1(spark, sf):
     return binning.density_curve(measurements(spark, sf), "rv", 0, 1000, 50, 40.0).select(F.round("x", 3).alias("x"), F.round("density", 8).alias("density"))
 

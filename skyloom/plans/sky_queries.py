@@ -164,7 +164,13 @@ def x7(spark, sf):
     return stars(spark, sf).groupBy(sky.degree_pixel(F.col("ra"), F.col("dec")).alias("pixel")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("X7_healpix_counts")
+_RING = """a AS (SELECT mag, sin(radians(dec)) AS z, (ra % 360) / 90 AS t FROM star), b AS (SELECT *, CAST(floor(32 * (0.5 + t) - 32 * z * 0.75) AS BIGINT) AS up, CAST(floor(32 * (0.5 + t) + 32 * z * 0.75) AS BIGINT) AS down, t - floor(t) AS tp, 32 * sqrt(3 * (1 - abs(z))) AS tmp FROM a),
+c AS (SELECT *, 33 + up - down AS ring, CAST(floor(tp * tmp) AS BIGINT) + CAST(floor((1 - tp) * tmp) AS BIGINT) + 1 AS r FROM b),
+d AS (SELECT mag, CASE WHEN abs(z) <= 2/3e0 THEN 2 * 32 * 31 + (ring - 1) * 128 + (CAST(floor((up + down - 32 + ((ring + 1) % 2) + 1) / 2) AS BIGINT) % 128 + 128) % 128
+WHEN z > 0 THEN 2 * r * (r - 1) + CAST(floor(t * r) AS BIGINT) % (4 * r) ELSE 12 * 32 * 32 - 2 * r * (r + 1) + CAST(floor(t * r) AS BIGINT) % (4 * r) END AS pixel FROM c)"""
+
+
+@query("X7_healpix_counts", f"WITH {SQL_STAR}, {_RING} SELECT CAST(pixel AS BIGINT) AS pixel, count(*) AS n, round(avg(mag), 4) AS mean_mag FROM d GROUP BY pixel")
 def x7h(spark, sf):
     return stars(spark, sf).groupBy(sky.healpix_ring(F.col("ra"), F.col("dec"), 32).alias("pixel")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("mag"), 4).alias("mean_mag"))
 

@@ -304,7 +304,7 @@ def o2(spark, sf):
     return strict.select("id", "kind").union(more.select("id", "kind"))
 
 
-@query("O5_seeded_sample")
+@query("O5_seeded_sample", f"WITH {SQL_STAR} SELECT id, kind FROM star ORDER BY md5(concat(id, ':', 42)), id LIMIT 100")
 def o5(spark, sf):
     return keyed_join.seeded_sample(stars(spark, sf).select("id", "kind"), "id", 100)
 
@@ -364,7 +364,7 @@ def s16(spark, sf):
     return out.select("id", "mag", "ruwe")
 
 
-@query("K6_json_rows")
+@query("K6_json_rows", f"""WITH {SQL_STAR} SELECT concat('{{"id":', id, ',"name":"', name, '","plx":', coalesce(CAST(CASE WHEN id % 7 <> 0 THEN plx END AS VARCHAR), 'null'), '}}') AS json FROM star""")
 def k6(spark, sf):
     return sinks.json_rows(stars(spark, sf).select("id", "name", F.when(F.col("id") % 7 == 0, float("nan")).otherwise(F.col("plx")).alias("plx")))
 
