@@ -6,16 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import bin_half_open, bin_last_closed, bin_open_low
+from ..storage import stored
+from .quantiles import medians, quantiles
 
 
 def percentile_range(df: DataFrame, value: str, low: float, high: float, keys: list[str] = ()) -> DataFrame:
     """Exact percentiles, linear between ranks, as lo and hi."""
-    return df.groupBy(*keys).agg(F.percentile(value, F.lit(low)).alias("lo"), F.percentile(value, F.lit(high)).alias("hi"))
+    return quantiles(df, keys, value, {"lo": low, "hi": high}).drop("n")
 
 
 def percentile_clip(df: DataFrame, value: str, keys: list[str], low: float = 0.01, high: float = 0.99, least: int = 3) -> DataFrame:
     """Rows within the group's percentiles; groups of fewer than `least` rows stay whole."""
-    span = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.percentile(value, F.lit(low)).alias("_lo"), F.percentile(value, F.lit(high)).alias("_hi"), F.count(F.lit(1)).alias("_n"))
+    span = quantiles(df, keys, value, {"_lo": low, "_hi": high}).withColumnRenamed("n", "_n")
     return df.join(span, keys).filter((F.col("_n") < least) | F.col(value).between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi", "_n")
 
 
@@ -24,13 +26,15 @@ def binned_median(df: DataFrame, keys: list[str], x: str, y: str, n_bins: int |
     keys, bin, centre, n, median, mad. n_bins may be an expression of the group's row count _n."""
     n_bins = n_bins if isinstance(n_bins, Column) else F.lit(n_bins)
     known = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    span = known.groupBy(*keys).agg(F.percentile(x, F.lit(0.01)).alias("_lo"), F.percentile(x, F.lit(0.99)).alias("_hi"), F.count(F.lit(1)).alias("_n")).filter((F.col("_n") >= 2 * least) & (F.col("_hi") > F.col("_lo")))
+    span = quantiles(known, keys, x, {"_lo": 0.01, "_hi": 0.99}).withColumnRenamed("n", "_n").filter((F.col("_n") >= 2 * least) & (F.col("_hi") > F.col("_lo")))
     width = (F.col("_hi") - F.col("_lo")) / n_bins
     binned = known.join(span, keys).filter((F.col(x) >= F.col("_lo")) & (F.col(x) < F.col("_hi"))).withColumn("bin", F.least(F.floor((F.col(x) - F.col("_lo")) / width), n_bins - 1))
     by = [*keys, "bin"]
-    med = binned.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.median(y).alias("median"), F.first(F.col("_lo") + (F.col("bin") + 0.5) * width).alias("centre")).filter(F.col("n") >= least)
-    mad = binned.join(med.select(*by, "median"), by).groupBy(*by).agg(F.median(F.abs(F.col(y) - F.col("median"))).alias("mad"))
-    return med.join(mad, by)
+    centre = (F.col("_lo") + (F.col("bin") + 0.5) * width).alias("centre")
+    binned = stored(binned.select(*by, y, centre), "binned")
+    med = medians(binned, by, y).filter(F.col("n") >= least).join(binned.groupBy(*by).agg(F.first("centre").alias("centre")), by)
+    away = binned.join(med.select(*by, "median"), by).withColumn("_away", F.abs(F.col(y) - F.col("median")))
+    return med.join(medians(away, by, "_away", "mad").drop("n"), by)
 
 
 def histogram(df: DataFrame, value: str, low: float, high: float, n: int, keys: list[str] = (), density: bool = False) -> DataFrame:
@@ -58,7 +62,8 @@ def binned_mean(df: DataFrame, x: str, value: str, low: float, high: float, n: i
 def profile(df: DataFrame, x: str, score: str, low: float, high: float, n: int, high_score: float = 0.8, least: int = 10) -> DataFrame:
     """Count, mean, share above high_score and median per bin [lo, hi), of bins with `least` rows."""
     out = df.withColumn("bin", bin_half_open(F.col(x), low, high, n)).filter("bin IS NOT NULL")
-    return out.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean"), F.avg((F.col(score) > high_score).cast("double")).alias("share_high"), F.median(score).alias("median")).filter(F.col("n") >= least)
+    sums = out.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean"), F.avg((F.col(score) > high_score).cast("double")).alias("share_high")).filter(F.col("n") >= least)
+    return sums.join(medians(out, ["bin"], score).drop("n"), "bin", "left")
 
 
 def sweep(df: DataFrame, metric: str, score: str, cuts: list[float], by: list[str] = ()) -> DataFrame:
@@ -115,9 +120,9 @@ def clipped_binned_median(df: DataFrame, x: str, y: str, edges: list[float], lea
     for i in range(len(edges) - 2, -1, -1):
         k = F.when((F.col(x) >= edges[i]) & (F.col(x) < edges[i + 1]), i).otherwise(k)
     rows = df.withColumn("bin", k).filter(F.col("bin").isNotNull() & F.col(y).isNotNull())
-    span = rows.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.percentile(y, F.lit(top)).alias("_top")).filter(F.col("n") >= least)
-    kept = rows.join(span, "bin").filter(F.col(y) <= F.col("_top"))
-    return kept.groupBy("bin").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("_k"), F.median(y).alias("median")).filter("_k >= 2").drop("_k")
+    span = quantiles(rows, ["bin"], y, {"_top": top}).filter(F.col("n") >= least)
+    kept = medians(rows.join(span, "bin").filter(F.col(y) <= F.col("_top")), ["bin"], y).filter("n >= 2").drop("n")
+    return span.select("bin", "n").join(kept, "bin")
 
 
 def density_curve(df: DataFrame, value: str, low: float, high: float, points: int, bandwidth: float, n_bins: int = 512) -> DataFrame:
@@ -134,7 +139,7 @@ def density_curve(df: DataFrame, value: str, low: float, high: float, points: in
 def axis_range(df: DataFrame, values: list[str], reference: float | None = None, positive: bool = False) -> DataFrame:
     """One row, lo and hi: p1 and p99 over several columns, widened to hold a reference."""
     rows = df.select(F.explode(F.array(*values)).alias("v")).filter("v IS NOT NULL" + (" AND v > 0" if positive else ""))
-    out = rows.agg(F.percentile("v", F.lit(0.01)).alias("lo"), F.percentile("v", F.lit(0.99)).alias("hi"))
+    out = quantiles(rows, [], "v", {"lo": 0.01, "hi": 0.99}).drop("n")
     return out if reference is None else out.select(F.least("lo", F.lit(float(reference))).alias("lo"), F.greatest("hi", F.lit(float(reference))).alias("hi"))
 
 

@@ -1,7 +1,8 @@
 """Means that resist outliers, per group.
 
 Each is two aggregations joined by key: both combine before the shuffle, and a join on a hot key is split
-by adaptive execution, so no group is ever gathered in one task as a window would.
+by adaptive execution, so no group is ever gathered in one task as a window would. Medians are those of
+`quantiles`, which never gathers a large group either; lists of outliers and of texts are the result itself.
 """
 
 from __future__ import annotations
@@ -9,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import stored
+from .quantiles import medians
+
 SCALE = 1.4826
 
 
@@ -45,11 +49,11 @@ def clipped_weighted_mean(df: DataFrame, keys: list[str], value: str, error: str
 
 
 def median_mad(df: DataFrame, keys: list[str], value: str, scale: float = 1.0) -> DataFrame:
-    """keys, n, median, mad (times scale)."""
-    known = df.filter(F.col(value).isNotNull())
-    med = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.median(value).alias("median"))
-    dev = known.join(med.select(*keys, "median"), keys).groupBy(*keys).agg((scale * F.median(F.abs(F.col(value) - F.col("median")))).alias("mad"))
-    return med.join(dev, keys)
+    """keys, n, median, mad (times scale), exact for groups of any size."""
+    known = stored(df.filter(F.col(value).isNotNull()).select(*keys, value), "known")
+    med = medians(known, keys, value)
+    away = known.join(med.select(*keys, "median"), keys).withColumn("_away", F.abs(F.col(value) - F.col("median")))
+    return med.join(medians(away, keys, "_away", "mad").select(*keys, (scale * F.col("mad")).alias("mad")), keys)
 
 
 def mad_clipped_mean(df: DataFrame, keys: list[str], value: str, sigma: float = 3.0) -> DataFrame:

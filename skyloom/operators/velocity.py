@@ -6,9 +6,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import stored
 from .binning import binned_median
 from .keyed_join import top_per_group
-from .robust import SCALE, inverse_variance
+from .quantiles import medians
+from .robust import SCALE, inverse_variance, median_mad
 
 # Which error factors a survey's own one is taken from, in order.
 REPEATS_FIRST, TRIANGLES_ONLY, AVERAGED = ("APOGEE", "RAVE", "LAMOST"), ("GAIA", "GALAH"), ("GES",)
@@ -39,12 +41,10 @@ def repeat_pairs(df: DataFrame, most_rows: int = 30, most_pairs: int = 200, wors
 
 def repeat_factor(pairs: DataFrame, clip: float = 50.0, again: float = 5.0, least: int = 50) -> DataFrame:
     """survey, n_pairs, factor: scaled MAD of t after a clip and one re-clip at `again` times it."""
-    t = pairs.filter(F.abs("t") <= clip)
-    one = t.groupBy("survey").agg(F.median("t").alias("m"))
-    mad = t.join(one, "survey").groupBy("survey").agg((SCALE * F.median(F.abs(F.col("t") - F.col("m")))).alias("s"), F.first("m").alias("m"))
-    t = t.join(mad, "survey").filter(F.abs(F.col("t") - F.col("m")) <= again * F.col("s")).select("survey", "t")
-    two = t.groupBy("survey").agg(F.median("t").alias("m"), F.count(F.lit(1)).alias("n_pairs")).filter(F.col("n_pairs") >= least)
-    return t.join(two, "survey").groupBy("survey").agg(F.first("n_pairs").alias("n_pairs"), (SCALE * F.median(F.abs(F.col("t") - F.col("m")))).alias("factor"))
+    t = stored(pairs.filter(F.abs("t") <= clip).select("survey", "t"), "pairs")
+    one = median_mad(t, ["survey"], "t", SCALE)
+    inside = t.join(one, "survey").filter(F.abs(F.col("t") - F.col("median")) <= again * F.col("mad")).select("survey", "t")
+    return median_mad(inside, ["survey"], "t", SCALE).filter(F.col("n") >= least).select("survey", F.col("n").alias("n_pairs"), F.col("mad").alias("factor"))
 
 
 def survey_means(df: DataFrame) -> DataFrame:
@@ -58,9 +58,8 @@ def zero_points(means: DataFrame, least: int = 30) -> DataFrame:
     `least` shared stars; pairs with a variance under 1e-6 are skipped."""
     a = means.select(F.col("survey").alias("a"), "star", F.col("rv").alias("ra"))
     d = a.join(means.select(F.col("survey").alias("b"), "star", F.col("rv").alias("rb")), "star").filter("a < b").select("a", "b", (F.col("ra") - F.col("rb")).alias("d"))
-    z = d.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.median("d").alias("zero_point")).filter(F.col("n") >= least)
-    v = d.join(z, ["a", "b"]).groupBy("a", "b").agg(F.pow(SCALE * F.median(F.abs(F.col("d") - F.col("zero_point"))), 2).alias("variance"))
-    return z.join(v, ["a", "b"]).filter("variance >= 1e-6")
+    z = median_mad(d, ["a", "b"], "d", SCALE).filter(F.col("n") >= least)
+    return z.select("a", "b", "n", F.col("median").alias("zero_point"), F.pow("mad", F.lit(2)).alias("variance")).filter("variance >= 1e-6")
 
 
 def three_cornered(pairs: DataFrame, errors: DataFrame) -> DataFrame:
@@ -71,7 +70,7 @@ def three_cornered(pairs: DataFrame, errors: DataFrame) -> DataFrame:
     tri = side("s", "x", 1).join(side("s", "y", 2), "s").filter("x < y").join(side("x", "y", 3), ["x", "y"])
     tri = tri.withColumns({"own": (F.col("v1") + F.col("v2") - F.col("v3")) / 2, "w": F.least("n1", "n2", "n3")}).filter("own > 0")
     var = tri.groupBy(F.col("s").alias("survey")).agg((F.sum(F.col("w") * F.col("own")) / F.sum("w")).alias("variance"), F.count(F.lit(1)).alias("n_triangles"))
-    return var.join(errors.groupBy("survey").agg(F.median("err").alias("_e")), "survey").select("survey", "n_triangles", "variance", (F.sqrt("variance") / F.col("_e")).alias("factor"))
+    return var.join(medians(errors, ["survey"], "err", "_e").drop("n"), "survey").select("survey", "n_triangles", "variance", (F.sqrt("variance") / F.col("_e")).alias("factor"))
 
 
 def combined_factor(df: DataFrame, repeats: str = "repeats", triangles: str = "triangles", prior: str = "prior", pairs: str = "n_pairs", least_pairs: int = 200) -> DataFrame:
@@ -92,11 +91,11 @@ def binned_fit(df: DataFrame, keys: list[str], x: str, y: str, degree: int, leas
     taken off. Fewer than degree + 2 bins of ten rows make no fit; a covariance that is not finite is replaced by the
     unscaled one. At most 40 bins of each group come to the driver."""
     known = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    zero = known.groupBy(*keys).agg(F.median(y).alias("_zero"), F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") >= least)
+    zero = medians(known, keys, y, "_zero").withColumnRenamed("n", "_rows").filter(F.col("_rows") >= least)
     shifted = known.join(zero, keys).withColumn("_y", F.col(y) - F.col("_zero"))
     n_bins = F.least(F.greatest(F.floor(F.col("_n") / 300), F.lit(15)), F.lit(40))
-    medians = binned_median(shifted.select(*keys, x, "_y"), keys, x, "_y", n_bins).join(zero, keys)
-    rows = medians.select(*keys, "centre", "n", "median", "_zero", "_rows").orderBy(*keys, "centre").collect()
+    bins = binned_median(shifted.select(*keys, x, "_y"), keys, x, "_y", n_bins).join(zero, keys)
+    rows = bins.select(*keys, "centre", "n", "median", "_zero", "_rows").orderBy(*keys, "centre").collect()
     out = {}
     for k in dict.fromkeys(tuple(r[c] for c in keys) for r in rows):
         own = [r for r in rows if tuple(r[c] for c in keys) == k]

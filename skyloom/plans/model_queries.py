@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..operators import membership, mixture, robust, velocity
+from ..operators import membership, mixture, quantiles, robust, velocity
 from .adapters import SQL_MEASURE, SQL_STAR, detections, measurements, prefixed, stars  # noqa: F401
 
 QUERIES: dict = {}
@@ -78,7 +78,7 @@ def m21(spark, sf):
     repeats = velocity.repeat_factor(velocity.repeat_pairs(v)).select("survey", "n_pairs", F.col("factor").alias("repeats"))
     means = velocity.survey_means(v)
     hat = velocity.three_cornered(velocity.zero_points(means), means).select("survey", F.col("factor").alias("triangles"))
-    prior = v.groupBy("survey").agg(F.median(F.col("snr") / F.col("err")).alias("prior"))
+    prior = quantiles.medians(v.withColumn("ratio", F.col("snr") / F.col("err")), ["survey"], "ratio", "prior").drop("n")
     return velocity.combined_factor(prior.join(repeats, "survey", "left").join(hat, "survey", "left")).select("survey", F.round("factor", 3).alias("factor"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import sky, stats, text
-from ..operators import binning, keyed_join, membership, mixture, robust, velocity
+from ..operators import binning, keyed_join, membership, mixture, quantiles, robust, velocity
 from ..sources import columns, sinks
 from .model_queries import SQL_FITS
 from .adapters import SQL_MEASURE, SQL_SEEN, SQL_STAR, detections, measurements, read, stars
@@ -47,7 +47,8 @@ def a29(spark, sf):
 
 @query("A34_prior_factor", f"WITH {SQL_MEASURE} SELECT survey, round(median(disc * 100 / err), 6) AS factor FROM m WHERE err > 0 AND disc > 0 GROUP BY survey")
 def a34(spark, sf):
-    return measurements(spark, sf).filter("err > 0 AND disc > 0").groupBy("survey").agg(F.round(F.median(F.col("disc") * 100 / F.col("err")), 6).alias("factor"))
+    ratios = measurements(spark, sf).filter("err > 0 AND disc > 0").withColumn("ratio", F.col("disc") * 100 / F.col("err"))
+    return quantiles.medians(ratios, ["survey"], "ratio", "factor").select("survey", F.round("factor", 6).alias("factor"))
 
 
 @query("F3_probability_prefilter", f"WITH {SQL_MEASURE} SELECT row_id FROM m WHERE snr / 50 > 0.8")
@@ -205,7 +206,7 @@ def m23(spark, sf):
 @query("M26_normalised_errors", f"WITH {SQL_MEASURE}, f AS (SELECT survey, median(disc * 100 / err) AS factor FROM m WHERE err > 0 AND disc > 0 GROUP BY survey) SELECT row_id, round(err * coalesce(factor, 1), 6) AS err_norm FROM m LEFT JOIN f USING (survey)")
 def m26(spark, sf):
     m = measurements(spark, sf)
-    f = m.filter("err > 0 AND disc > 0").groupBy("survey").agg(F.median(F.col("disc") * 100 / F.col("err")).alias("factor"))
+    f = quantiles.medians(m.filter("err > 0 AND disc > 0").withColumn("ratio", F.col("disc") * 100 / F.col("err")), ["survey"], "ratio", "factor")
     return velocity.normalised_errors(m, f).select("row_id", F.round("err_norm", 6).alias("err_norm"))
 
 

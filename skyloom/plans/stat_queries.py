@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import stats, text
-from ..operators import binning, keyed_join, robust
+from ..operators import binning, keyed_join, quantiles, robust
 from ..sources import columns, sinks
 from ..streaming import histogram as growing
 from .adapters import SQL_MEASURE, SQL_SEEN, SQL_STAR, detections, measurements, read, stars
@@ -83,7 +83,8 @@ def a12(spark, sf):
 
 @query("A13_percentiles", f"WITH {SQL_MEASURE} SELECT survey, round(quantile_cont(rv, 0.01), 5) AS p1, round(quantile_cont(rv, 0.9), 5) AS p90 FROM m WHERE rv IS NOT NULL GROUP BY survey")
 def a13(spark, sf):
-    return measurements(spark, sf).groupBy("survey").agg(F.round(F.percentile("rv", F.lit(0.01)), 5).alias("p1"), F.round(F.percentile("rv", F.lit(0.9)), 5).alias("p90"))
+    out = quantiles.quantiles(measurements(spark, sf), ["survey"], "rv", {"p1": 0.01, "p90": 0.9})
+    return out.select("survey", F.round("p1", 5).alias("p1"), F.round("p90", 5).alias("p90"))
 
 
 @query("A14_radial_profile", f"WITH {SQL_MEASURE}, b AS (SELECT CAST(floor(rv / 50) AS BIGINT) AS bin, snr / 50 AS p FROM m WHERE rv >= 0 AND rv < 1000) SELECT bin, count(*) AS n, round(avg(p), 6) AS mean, round(avg(CASE WHEN p > 0.8 THEN 1e0 ELSE 0e0 END), 6) AS share_high, round(median(p), 6) AS median FROM b GROUP BY bin HAVING count(*) >= 10")
