@@ -36,7 +36,10 @@ def build_directory(keys: DataFrame, bucket_capacity: int) -> tuple[DataFrame, i
     distinct = keys.select("h").distinct()
     counted = lambda bits: stored(distinct.groupBy(_first_bits("h", 64, bits).alias("cell")).agg(F.count(F.lit(1)).alias("n")), "cells")
     bits, cells = 16, counted(16)
-    directory, depth = keys.sparkSession.createDataFrame([(0, 0, 0)], "entry long, bucket long, local_depth int"), 0
+    entries = lambda rows: keys.sparkSession.createDataFrame(rows, "entry long, bucket long, local_depth int")
+    if (cells.agg(F.sum("n")).first()[0] or 0) <= bucket_capacity:
+        return entries([(0, 0, 0)]), 0
+    directory, depth = entries([(0, 0, 1), (1, 1, 1)]), 1  # the one bucket there was has parted
     while depth < 64:
         if depth > bits:
             bits = min(64, bits + 8)
