@@ -17,7 +17,9 @@ def bounded_sample(rows: DataFrame, strata: str, per_stratum: int, max_chars: in
     share = F.least(F.lit(1.0), per_stratum / F.count(F.lit(1)))
     # stored, so that Spark sees how small it is and never shuffles the texts for it
     takes = stored(fit.groupBy(strata).agg((share * (1 << 30)).cast("long").alias("_take")), "strata")
-    return fit.join(takes, strata).filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.col("_take")).select(*rows.columns)
+    # the largest share is a number, which Spark can hold against texts before it joins them with their labels
+    draw, most = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)), takes.agg(F.max("_take")).first()[0] or 0
+    return fit.filter(draw < most).join(takes, strata).filter(draw < F.col("_take")).select(*rows.columns)
 
 
 def adam(params: list[np.ndarray], gradient, steps: int, rate: float) -> list[np.ndarray]:
