@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from skyloom.operators.components import connected_components as components
 from skyloom.llm.decontam import Items, decontaminate, search_shard, suffix_array
 from skyloom.llm.exact_dedup import build_directory, exact_dedup, in_bucket, insert, probe
-from skyloom.llm.repeats import anchors, remove_repeats
+from skyloom.llm.repeats import anchors, remove_repeats, repeat_groups
 from skyloom.llm.simhash import fingerprint, hamming_links, simhash_dedup
 
 
@@ -179,6 +179,63 @@ def test_repeats_with_a_common_passage(spark, capacity):
     same(rows_of(remove_repeats(df, length=40, gram=8, shard_capacity=capacity), *COLUMNS), brute_repeats(list(enumerate(texts)), 40))
 
 
+def brute_groups(texts, length):
+    """Each repeated string of distinct texts made as long as all its places agree: string -> its places."""
+    places, out = defaultdict(set), {}
+    for i, b in enumerate(texts):
+        for s in range(len(b) - length + 1):
+            places[b[s : s + length]].add((i, s))
+    for at in places.values():
+        if len(at) > 1:
+            a = b = 0
+            while all(s > a for _, s in at) and len({texts[i][s - a - 1] for i, s in at}) == 1:
+                a += 1
+            while all(s + length + b < len(texts[i]) for i, s in at) and len({texts[i][s + length + b] for i, s in at}) == 1:
+                b += 1
+            i, s = min(at)
+            out[texts[i][s - a : s + length + b]] = {(i, s - a) for i, s in at}
+    return out
+
+
+@pytest.mark.parametrize("capacity", [2, 6, 512])
+def test_repeat_groups(spark, capacity):
+    rng = np.random.default_rng(8)
+    noise = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    long, short, tail = noise(300), noise(50), noise(33)
+    texts = [noise(9) + long + noise(7), long[100:] + noise(20), noise(5) + long[100:200], *(noise(int(k)) + short + noise(11) for k in rng.integers(0, 30, 9)), *(noise(3) + short[10:] + tail for _ in range(4)), tail, "xy" * 40, noise(39)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(90, texts[1]), (91, texts[1]), (92, noise(6)), (93, noise(6)), (None, None), (94, "")]
+    got = repeat_groups(spark.createDataFrame(rows, "doc_id long, text string"), length=40, gram=8, shard_capacity=capacity).collect()
+    raws = [t.encode() for t in texts]
+    want = brute_groups(raws, 40)
+    groups = defaultdict(set)
+    for r in got:
+        if r.group.startswith("text-"):
+            assert (r.doc_id, r.copies, r.n, r.start, r.size) == (1, 3, 1, 0, len(raws[1]))
+        else:
+            assert r.copies == (3 if r.doc_id == 1 else 1)
+            groups[r.group].add((raws[r.doc_id][r.start : r.start + r.size], r.n, r.doc_id, r.start))
+    found = {}
+    for rows in groups.values():
+        (w,) = {x[0] for x in rows}
+        assert {x[1] for x in rows} == {len(rows)} and w not in found
+        found[w] = {x[2:] for x in rows}
+    assert found == want
+    assert sum(r.group.startswith("text-") for r in got) == 1
+
+
+def test_repeat_groups_of_odd_rows(spark, docs, odd, empty):
+    assert repeat_groups(empty).count() == 0
+    for df in (docs, odd.filter("doc_id <> 10 OR doc_id IS NULL")):
+        texts = dict(df.filter("doc_id IS NOT NULL").select("doc_id", "text").collect())
+        marks, groups = defaultdict(set), defaultdict(set)
+        for r in repeat_groups(df).collect():
+            groups[r.group].add((texts[r.doc_id] or "").encode()[r.start : r.start + r.size])
+            marks[r.doc_id] |= set(range(r.start, r.start + r.size))
+        assert all(len(x) == 1 and len(next(iter(x))) >= 200 for x in groups.values())
+        removed = {r.doc_id: r.n_removed for r in remove_repeats(df).collect()}
+        assert all(len(at) == removed[i] for i, at in marks.items())
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.binary(max_size=300), st.sampled_from([(20, 4), (33, 8), (8, 8)]))
 def test_anchors_cover_every_string(raw, sizes):
