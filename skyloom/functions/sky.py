@@ -89,6 +89,28 @@ def healpix_ring(ra: Column, dec: Column, nside: int) -> Column:
     return F.when(F.abs(z) <= 2.0 / 3.0, belt).otherwise(cap).cast("long")
 
 
+def healpix_nested(ra: Column, dec: Column, nside: int) -> Column:
+    """Nested HEALPix pixel (Gorski et al. 2005) of a power of two nside: the face, then the bits of its two axes in turn."""
+    assert nside & (nside - 1) == 0
+    z, tt = F.sin(F.radians(dec)), F.pmod(ra, F.lit(360.0)) / 90.0
+    flat = lambda x: F.floor(x).cast("long")
+    down, up = flat(nside * (0.5 + tt) - nside * z * 0.75), flat(nside * (0.5 + tt) + nside * z * 0.75)
+    f_down, f_up = flat(down / nside), flat(up / nside)
+    belt_face = F.when(f_down == f_up, F.when(f_down < 4, f_down + 4).otherwise(f_down)).when(f_down < f_up, f_down).otherwise(f_up + 8)
+    quarter = F.least(flat(tt), F.lit(3))
+    reach = nside * F.sqrt(3 * (1 - F.abs(z)))
+    p = F.least(flat((tt - quarter) * reach), F.lit(nside - 1))
+    m = F.least(flat((1 - tt + quarter) * reach), F.lit(nside - 1))
+    belt, north = F.abs(z) <= 2.0 / 3.0, z > 0
+    face = F.when(belt, belt_face).when(north, quarter).otherwise(quarter + 8)
+    x = F.when(belt, F.pmod(up, F.lit(nside))).when(north, nside - 1 - m).otherwise(p)
+    y = F.when(belt, nside - 1 - F.pmod(down, F.lit(nside))).when(north, nside - 1 - p).otherwise(m)
+    pixel = face * nside * nside
+    for bit in range(nside.bit_length() - 1):
+        pixel = pixel + flat(x / 2**bit) % 2 * 4**bit + flat(y / 2**bit) % 2 * (2 * 4**bit)
+    return pixel.cast("long")
+
+
 def healpix_area_deg2(nside: int) -> float:
     return 4 * math.pi * (180 / math.pi) ** 2 / (12 * nside * nside)
 
@@ -100,6 +122,17 @@ def propagate(ra: Column, dec: Column, pmra: Column, pmdec: Column, years: Colum
     return F.coalesce(ra + pmra * years / (c * 3.6e6), ra), F.coalesce(dec + pmdec * years / 3.6e6, dec)
 
 
+def space_motion(ra: Column, dec: Column, pmra: Column, pmdec: Column, years: Column, rv: Column | None = None, kpc: Column | None = None) -> tuple[Column, Column]:
+    """Straight motion in space: pmra (with cos dec) and pmdec in mas/yr, and where both are known rv in km/s at a distance
+    in kpc, without which the distance does not change. Rows without proper motion stay."""
+    sa, ca, sd, cd = F.sin(F.radians(ra)), F.cos(F.radians(ra)), F.sin(F.radians(dec)), F.cos(F.radians(dec))
+    along = lambda pm: F.radians(pm / 3.6e6) * years
+    grown = F.lit(1.0) if rv is None or kpc is None else 1 + F.coalesce(F.when(kpc > 0, rv / kpc), F.lit(0.0)) * 1.0227121650537077e-9 * years
+    a, d = along(pmra), along(pmdec)
+    x, y, z = grown * cd * ca - a * sa - d * sd * ca, grown * cd * sa + a * ca - d * sd * sa, grown * sd + d * cd
+    return F.coalesce(F.pmod(F.degrees(F.atan2(y, x)), F.lit(360.0)), ra), F.coalesce(F.degrees(F.atan2(z, F.sqrt(x * x + y * y))), dec)
+
+
 def parallax_distance(parallax: Column) -> Column:
     """kpc from mas; none for a parallax that is not positive."""
     return F.when(parallax > 0, 1 / parallax)

@@ -2,19 +2,28 @@
 
 spark.dataSource.register(FitsSource); spark.read.format("fits").option("ext", 1).load(path). The path
 must be a file system that every executor mounts (FITS needs seeking, which Spark's own readers of other
-stores do not offer to Python); a task decodes only its rows and the columns asked for.
+stores do not offer to Python); a task decodes only its rows and the columns asked for. Option "columns" names them with
+commas; those that the table lacks are left out with a warning.
+
+df.write.format("fits").mode("append").save(folder) writes a file for each partition into a folder that executors mount: under
+a name of its own until the job commits, so that a task that is run again leaves nothing twice.
 """
 
 from __future__ import annotations
 
+import os
+import uuid
+import warnings
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 BLOCK = 2880
 # FITS column codes, their NumPy and Spark types.
-CODES = {"L": ("?", "boolean"), "B": ("u1", "short"), "I": (">i2", "short"), "J": (">i4", "int"), "K": (">i8", "bigint"), "E": (">f4", "float"), "D": (">f8", "double"), "A": ("S", "string")}
+CODES = {"L": ("u1", "boolean"), "B": ("u1", "short"), "I": (">i2", "short"), "J": (">i4", "int"), "K": (">i8", "bigint"), "E": (">f4", "float"), "D": (">f8", "double"), "A": ("S", "string")}
 
 
 def header(f) -> dict:
@@ -76,11 +85,23 @@ class FitsSource(DataSource):
 
     def schema(self):
         kind = lambda code, n: CODES[code][1] if code == "A" or n == 1 else f"array<{CODES[code][1]}>"
-        return ", ".join(f"`{n}` {kind(c, r)}" for n, c, r, _ in self._table()[1][3])
+        columns = self._table()[1][3]
+        if "columns" in self.options:
+            wanted = [c.strip() for c in self.options["columns"].split(",")]
+            if missing := set(wanted) - {c[0] for c in columns}:
+                warnings.warn(f"no such columns, left out: {sorted(missing)}", stacklevel=2)
+            columns = sorted((c for c in columns if c[0] in wanted), key=lambda c: wanted.index(c[0]))
+        return ", ".join(f"`{n}` {kind(c, r)}" for n, c, r, _ in columns)
 
     def reader(self, schema: StructType):
         path, (at, rows, width, columns) = self._table()
-        return FitsReader(path, at, rows, width, [c for c in columns if c[0] in schema.names], int(self.options.get("rows_per_partition", 1 << 20)))
+        by_name = {c[0]: c for c in columns}
+        return FitsReader(path, at, rows, width, [by_name[n] for n in schema.names], int(self.options.get("rows_per_partition", 1 << 20)))
+
+    def writer(self, schema: StructType, overwrite: bool):
+        if overwrite:
+            raise ValueError("append to a new folder: FITS files are not overwritten")
+        return FitsWriter(self.options["path"].removeprefix("file://"), schema, int(self.options.get("string_width", 64)))
 
 
 class FitsReader(DataSourceReader):
@@ -106,25 +127,91 @@ class FitsReader(DataSourceReader):
                     if code == "A":
                         out.append(pa.array([x.decode("ascii", "replace").rstrip() for x in v]))
                     else:
-                        v = v.astype("i2") if code == "B" else v.astype(v.dtype.newbyteorder("="))
+                        v = v == ord("T") if code == "L" else v.astype("i2") if code == "B" else v.astype(v.dtype.newbyteorder("="))
                         out.append(pa.array(v) if repeat == 1 else pa.array(list(v)))
                 yield pa.RecordBatch.from_arrays(out, names=[c[0] for c in self.columns])
 
 
-def write(path: str, columns: dict[str, np.ndarray]) -> None:
-    """A small table as one FITS file, for exchange: numbers and byte strings, one value a row."""
-    code = {"f8": "D", "f4": "E", "i8": "K", "i4": "J", "i2": "I", "b1": "L"}
-    form = lambda v: f"{v.dtype.itemsize}A" if v.dtype.kind == "S" else "1" + code[v.dtype.str[1:]]
+def _heads(row_bytes: int, rows: int, forms: dict[str, str]) -> bytes:
+    """The empty first part and the header of a table."""
     card = lambda k, v: f"{k:<8}= {v:>20}".ljust(80) if not isinstance(v, str) else f"{k:<8}= '{v:<8}'".ljust(80)
 
     def block(cards):
         text = "".join(cards) + "END".ljust(80)
         return text.ljust(-(-len(text) // BLOCK) * BLOCK).encode()
 
-    data = np.rec.fromarrays([v if v.dtype.kind == "S" else v.astype(v.dtype.newbyteorder(">")) for v in columns.values()], names=list(columns))
-    fields = [c for k, (n, v) in enumerate(columns.items(), 1) for c in (card(f"TTYPE{k}", n), card(f"TFORM{k}", form(v)))]
+    fields = [c for k, (n, form) in enumerate(forms.items(), 1) for c in (card(f"TTYPE{k}", n), card(f"TFORM{k}", form))]
+    table = [card("XTENSION", "BINTABLE"), card("BITPIX", 8), card("NAXIS", 2), card("NAXIS1", row_bytes), card("NAXIS2", rows), card("PCOUNT", 0), card("GCOUNT", 1), card("TFIELDS", len(forms))]
+    return block([card("SIMPLE", "T"), card("BITPIX", 8), card("NAXIS", 0)]) + block(table + fields)
+
+
+@dataclass
+class _Written(WriterCommitMessage):
+    path: str
+
+
+class FitsWriter(DataSourceArrowWriter):
+    """Numbers, booleans and texts of at most `width` UTF-8 bytes (a longer one is an error); a null is NaN or an empty text,
+    and an error in a column that has neither. A task holds one batch; the header is completed when its rows are counted."""
+
+    # FITS codes and NumPy types of Spark's types.
+    FORMS = {"double": ("1D", ">f8"), "float": ("1E", ">f4"), "bigint": ("1K", ">i8"), "int": ("1J", ">i4"), "smallint": ("1I", ">i2"), "tinyint": ("1I", ">i2"), "boolean": ("1L", "S1")}
+
+    def __init__(self, folder, schema, width):
+        self.folder, self.width, self.job = folder, width, uuid.uuid4().hex[:8]
+        kinds = {f.name: f.dataType.simpleString() for f in schema}
+        if bad := {n: k for n, k in kinds.items() if k not in self.FORMS and k != "string"}:
+            raise ValueError(f"no FITS type for {bad}")
+        self.forms = {n: (f"{width}A", f"S{width}") if k == "string" else self.FORMS[k] for n, k in kinds.items()}
+
+    def _column(self, name, form, v):
+        if form[0].endswith("A"):
+            texts = [(x or "").encode() for x in v.to_pylist()]
+            if max(map(len, texts), default=0) > self.width:
+                raise ValueError(f"{name}: a text of over {self.width} bytes; raise string_width")
+            return np.array(texts, form[1])
+        if v.null_count and form[0] not in ("1D", "1E"):
+            raise ValueError(f"{name}: a null in a column of whole numbers or booleans")
+        out = v.to_numpy(zero_copy_only=False)
+        return np.where(out.astype(bool), b"T", b"F") if form[0] == "1L" else out.astype(form[1])
+
+    def write(self, iterator):
+        os.makedirs(self.folder, exist_ok=True)
+        path, rows = f"{self.folder}/_{self.job}-{uuid.uuid4().hex}", 0
+        row = np.dtype([(n, form[1]) for n, form in self.forms.items()])
+        head = lambda n: _heads(row.itemsize, n, {k: form[0] for k, form in self.forms.items()})
+        with open(path, "xb") as f:
+            f.write(head(0))
+            for batch in iterator:
+                data = np.empty(batch.num_rows, row)
+                for name, v in zip(self.forms, batch.columns):
+                    data[name] = self._column(name, self.forms[name], v)
+                f.write(data.tobytes())
+                rows += batch.num_rows
+            f.write(b"\0" * (-rows * row.itemsize % BLOCK))
+            f.seek(0)
+            f.write(head(rows))
+        return _Written(path)
+
+    def commit(self, messages):
+        for k, m in enumerate(messages):
+            os.rename(m.path, f"{self.folder}/chunk-{self.job}-{k:05d}.fits")
+        for name in os.listdir(self.folder):  # attempts that were lost
+            if name.startswith(f"_{self.job}-"):
+                os.remove(f"{self.folder}/{name}")
+
+    def abort(self, messages):
+        for m in messages:
+            if m is not None:
+                os.remove(m.path)
+
+
+def write(path: str, columns: dict[str, np.ndarray]) -> None:
+    """A small table as one FITS file, for exchange: numbers and byte strings, one value a row."""
+    code = {"f8": "D", "f4": "E", "i8": "K", "i4": "J", "i2": "I", "b1": "L"}
+    form = lambda v: f"{v.dtype.itemsize}A" if v.dtype.kind == "S" else "1" + code[v.dtype.str[1:]]
+    data = np.rec.fromarrays([v if v.dtype.kind == "S" else np.where(v, ord("T"), ord("F")).astype("u1") if v.dtype.kind == "b" else v.astype(v.dtype.newbyteorder(">")) for v in columns.values()], names=list(columns))
     raw = data.tobytes()
     with open(path, "xb") as f:
-        f.write(block([card("SIMPLE", "T"), card("BITPIX", 8), card("NAXIS", 0)]))
-        f.write(block([card("XTENSION", "BINTABLE"), card("BITPIX", 8), card("NAXIS", 2), card("NAXIS1", data.dtype.itemsize), card("NAXIS2", len(data)), card("PCOUNT", 0), card("GCOUNT", 1), card("TFIELDS", len(columns)), *fields]))
+        f.write(_heads(data.dtype.itemsize, len(data), {n: form(v) for n, v in columns.items()}))
         f.write(raw.ljust(-(-len(raw) // BLOCK) * BLOCK, b"\0"))

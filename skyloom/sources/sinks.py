@@ -12,26 +12,46 @@ def csv(df: DataFrame, path: str, mode: str = "append") -> None:
     df.write.csv(path, header=True, mode=mode)
 
 
-def chunks(df: DataFrame, path: str, n: int, key: str) -> None:
-    """n files by hash of the key; a folder that is there already is left as it is."""
-    df.repartition(n, key).write.mode("ignore").parquet(path)
+def _there(df: DataFrame, path: str) -> bool:
+    folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).exists(folder)
 
 
-def with_new_columns(df: DataFrame, path: str, **new: Column) -> None:
-    """All columns in their order and new ones behind; refuses to overwrite."""
-    df.select("*", *(c.alias(n) for n, c in new.items())).write.mode("errorifexists").parquet(path)
+def chunks(df: DataFrame, path: str, n: int, key: str, fits: bool = False) -> None:
+    """n files by hash of the key, Parquet or FITS; a folder that is there already is left as it is."""
+    if not fits:
+        df.repartition(n, key).write.mode("ignore").parquet(path)
+    elif not _there(df, path):
+        df.repartition(n, key).write.format("fits").mode("append").save(path)
 
 
-def per_object(df: DataFrame, path: str, kind: str, name: str, keep: tuple[str, ...] = (), drop_suffix: str = "_master") -> None:
-    """A folder for each object, its name made safe; columns that end in drop_suffix go unless kept."""
+def with_new_columns(df: DataFrame, path: str, fits: bool = False, **new: Column) -> None:
+    """All columns in their order and new ones behind, Parquet or FITS; refuses to overwrite."""
+    out = df.select("*", *(c.alias(n) for n, c in new.items()))
+    if not fits:
+        out.write.mode("errorifexists").parquet(path)
+    elif _there(df, path):
+        raise FileExistsError(f"{path} already exists")
+    else:
+        out.write.format("fits").mode("append").save(path)
+
+
+def per_object(df: DataFrame, path: str, kind: str, name: str, keep: tuple[str, ...] = (), drop_suffix: str = "_master", json: bool = False) -> None:
+    """A folder of CSV or JSON for each object, its name made safe; columns that end in drop_suffix go unless kept. JSON
+    has null for NaN and infinities."""
     columns = [c for c in df.columns if not c.endswith(drop_suffix) or c in keep]
-    df.select(*columns).withColumn(name, safe_file_name(F.col(name))).write.partitionBy(kind, name).mode("overwrite").option("header", True).csv(path)
+    out = df.select(*columns).withColumn(name, safe_file_name(F.col(name)))
+    out = (out.select(*_finite(out)) if json else out).write.partitionBy(kind, name).mode("overwrite")
+    out.option("ignoreNullFields", False).json(path) if json else out.option("header", True).csv(path)
+
+
+def _finite(df: DataFrame) -> list[Column]:
+    return [F.when(F.isnan(c) | (F.abs(c) == float("inf")), None).otherwise(F.col(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes]
 
 
 def json_rows(df: DataFrame) -> DataFrame:
     """One JSON text a row; NaN and infinities become null."""
-    safe = [F.when(F.isnan(c) | (F.abs(c) == float("inf")), None).otherwise(F.col(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes]
-    return df.select(F.to_json(F.struct(*safe), {"ignoreNullFields": "false"}).alias("json"))
+    return df.select(F.to_json(F.struct(*_finite(df)), {"ignoreNullFields": "false"}).alias("json"))
 
 
 def summary(parts: dict[str, DataFrame], label: str, order: str) -> DataFrame:

@@ -9,7 +9,20 @@ from ..functions.text import sexagesimal
 from .columns import clean_header, sentinels_out
 
 # Byte slices [from, to) of survey velocity files.
-SURVEY_SLICES = {"APOGEE": {"sid": (27, 46), "ra": (47, 71), "dec": (72, 94), "rv": (95, 104), "erv": (105, 113), "srv": (114, 121)}}
+SURVEY_SLICES = {
+    "APOGEE": {"sid": (27, 46), "ra": (47, 71), "dec": (72, 94), "rv": (95, 104), "erv": (105, 113), "srv": (114, 121)},
+    "GALAH": {"sid": (25, 44), "ra": (45, 68), "dec": (69, 92), "rv": (93, 101), "erv": (102, 107), "srv": (107, 108)},
+    "GES": {"sid": (25, 44), "ra": (45, 67), "dec": (68, 91), "rv": (92, 100), "erv": (101, 108), "srv": (109, 114)},
+    "RAVE": {"sid": (25, 44), "ra": (45, 68), "dec": (69, 91), "rv": (92, 100), "erv": (101, 107), "srv": (108, 115)},
+    "LAMOST": {"sid": (28, 47), "ra": (48, 70), "dec": (71, 94), "rv": (95, 103), "erv": (104, 110), "srv": (111, 118)},
+}
+# Byte slices of velocity tables of the literature, with sign and parts of a coordinate in one slice.
+LITERATURE = {
+    "Draco": {"slices": {"ra": (18, 29), "dec": (30, 41), "rv": (42, 49), "erv": (50, 54)}, "sexagesimal": True, "least": 49},
+    "Walker": {"slices": {"target": (0, 8), "ra": (23, 34), "dec": (35, 46), "rv": (59, 65), "erv": (66, 70), "membership": (93, 98), "mean_rv": (99, 104), "mean_erv": (105, 108)}, "sexagesimal": True, "least": 70},
+    "LeoI": {"slices": {"rv": (18, 24), "erv": (25, 28), "ra": (29, 40), "dec": (41, 52)}, "sexagesimal": True, "least": 52},
+    "BooI": {"slices": {"ra": (24, 32), "dec": (33, 40), "rv": (51, 58), "erv": (59, 63), "flag": (83, 84)}, "sexagesimal": False, "least": 63},
+}
 
 
 def csv(spark: SparkSession, path: str, **options) -> DataFrame:
@@ -41,10 +54,35 @@ def fixed_width(spark: SparkSession, path: str, slices: dict[str, tuple[int, int
     return spark.read.text(path).filter(F.length("value") >= least_length).select(*(field(n, a, b) for n, (a, b) in slices.items()))
 
 
+def files_of(spark: SparkSession, folder: str, patterns: list[str], most: int | None = None) -> list[str]:
+    """Files of the first pattern that has any, in order of name, at most `most` of them; on any file system that Spark reads."""
+    for pattern in patterns:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{pattern}")
+        found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+        if found:
+            return sorted(f.getPath().toString() for f in found)[:most]
+    raise FileNotFoundError(f"{folder}: none of {patterns}")
+
+
 def survey_velocities(spark: SparkSession, path: str, survey: str, slices: dict[str, tuple[int, int]] | None = None) -> DataFrame:
-    """A survey's fixed-width velocities: rows with a finite velocity and a positive error."""
+    """A survey's fixed-width velocities: rows with a finite velocity and a finite positive error. A survey's name takes its
+    own layout; its compressed file comes before the plain one if path is their folder."""
+    if not path.endswith((".dat", ".gz", ".txt")):
+        path = files_of(spark, path, [f"{survey.lower()}.dat.gz", f"{survey.lower()}.dat"])[0]
     df = fixed_width(spark, path, slices or SURVEY_SLICES[survey], {"sid": "string"})
-    return df.filter("rv IS NOT NULL AND NOT isnan(rv) AND erv > 0").withColumn("survey", F.lit(survey))
+    finite = "rv IS NOT NULL AND NOT isnan(rv) AND abs(rv) < double('inf') AND erv > 0 AND NOT isnan(erv) AND erv < double('inf')"
+    return df.filter(finite).withColumn("survey", F.lit(survey))
+
+
+def literature_table(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """One of the known tables: ra and dec in degrees, rv, erv (null for a dash), and what else the layout has; short lines and
+    those without place or velocity go."""
+    known = LITERATURE[name]
+    own = {c: s for c, s in known["slices"].items() if c not in ("target", "flag")}
+    texts = {c: "string" for c in known["slices"] if c not in own}
+    df = fixed_width(spark, path, known["slices"], {"ra": "string", "dec": "string", **texts}, known["least"])
+    place = {"ra": sexagesimal(F.col("ra"), True), "dec": sexagesimal(F.replace("dec", F.lit("- "), F.lit("-")))} if known["sexagesimal"] else {c: F.col(c).try_cast("double") for c in ("ra", "dec")}
+    return df.withColumns(place).dropna(subset=["ra", "dec", "rv"]).withColumn("source", F.lit(name))
 
 
 def literature(spark: SparkSession, path: str, slices: dict[str, tuple[int, int]], ra: str, dec: str, sexagesimal_place: bool, least_length: int = 1) -> DataFrame:
