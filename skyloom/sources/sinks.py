@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import safe_file_name
+from .fits import FitsSource
 
 
 def csv(df: DataFrame, path: str, mode: str = "append") -> None:
@@ -17,12 +18,17 @@ def _there(df: DataFrame, path: str) -> bool:
     return folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).exists(folder)
 
 
+def _fits(df: DataFrame, path: str) -> None:
+    df.sparkSession.dataSource.register(FitsSource)
+    df.write.format("fits").mode("append").save(path)
+
+
 def chunks(df: DataFrame, path: str, n: int, key: str, fits: bool = False) -> None:
     """n files by hash of the key, Parquet or FITS; a folder that is there already is left as it is."""
     if not fits:
         df.repartition(n, key).write.mode("ignore").parquet(path)
     elif not _there(df, path):
-        df.repartition(n, key).write.format("fits").mode("append").save(path)
+        _fits(df.repartition(n, key), path)
 
 
 def with_new_columns(df: DataFrame, path: str, fits: bool = False, **new: Column) -> None:
@@ -33,7 +39,7 @@ def with_new_columns(df: DataFrame, path: str, fits: bool = False, **new: Column
     elif _there(df, path):
         raise FileExistsError(f"{path} already exists")
     else:
-        out.write.format("fits").mode("append").save(path)
+        _fits(out, path)
 
 
 def per_object(df: DataFrame, path: str, kind: str, name: str, keep: tuple[str, ...] = (), drop_suffix: str = "_master", json: bool = False) -> None:

@@ -59,7 +59,6 @@ def test_files_by_pattern(spark, tmp_path):
 
 
 def test_fits_chunks(spark, tmp_path):
-    spark.dataSource.register(fits.FitsSource)
     df = spark.range(5000).select("id", (F.col("id") / 7).alias("x"), F.when(F.col("id") % 2 == 0, F.col("id").cast("float")).alias("f"), F.concat(F.lit("é"), "id").alias("name"), (F.col("id") % 3 == 0).alias("ok"), F.col("id").cast("int").alias("k"))
     out = tmp_path / "chunks"
     sinks.chunks(df, str(out), 3, "id", fits=True)
