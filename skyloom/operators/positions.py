@@ -33,7 +33,7 @@ def numbered(rows: DataFrame, order: list, by: list[str] | None = None, name: st
     starts = sizes.select(*(F.col(c).alias(f"_s_{c}") for c in by), F.col("_range").alias("_s_range"), "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     on: list[Column] = [kept[c].eqNullSafe(F.col(f"_s_{c}")) for c in by] + [F.col("_range") == F.col("_s_range")]
     out = kept.join(starts, functools.reduce(lambda a, b: a & b, on))
-    return out.select(*rows.columns, (F.col("_before") + F.col("_at") - F.col("_first")).alias(name))
+    return out.select(*(f"`{c}`" for c in rows.columns), (F.col("_before") + F.col("_at") - F.col("_first")).alias(name))
 
 
 def zipped(left: DataFrame, right: DataFrame, left_order: list, right_order: list, name: str = "position") -> DataFrame:
