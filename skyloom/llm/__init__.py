@@ -1,6 +1,6 @@
 """Operations of a training-data pipeline over a table of documents."""
 
-from . import decontam, exact_dedup, langid, licenses, packing, ppm, quality, repeats, sharding, simhash, toxicity
+from . import conversations, decontam, exact_dedup, langid, licenses, packing, ppm, quality, repeats, sharding, simhash, toxicity
 
 
 def queries():
@@ -16,6 +16,7 @@ def queries():
         "op9_langid": langid.query,
         "op10_lm_score": ppm.query,
         "op12_shuffled_shards": sharding.query,
+        "op13_conversation_repair": conversations.query,
     }
 
 
