@@ -1,6 +1,6 @@
 """Operations of a training-data pipeline over a table of documents."""
 
-from . import conversations, decontam, exact_dedup, langid, licenses, packing, ppm, quality, repeats, sharding, simhash, toxicity
+from . import alignment, conversations, decontam, exact_dedup, langid, licenses, packing, ppm, quality, repeats, sharding, simhash, toxicity
 
 
 def queries():
@@ -15,6 +15,7 @@ def queries():
         "op8_packing": packing.query,
         "op9_langid": langid.query,
         "op10_lm_score": ppm.query,
+        "op11_token_alignment": alignment.query,
         "op12_shuffled_shards": sharding.query,
         "op13_conversation_repair": conversations.query,
     }
