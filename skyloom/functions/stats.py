@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -13,6 +13,12 @@ def finite(x: Column) -> Column:
     return F.when(F.isnan(x) | (F.abs(x) == float("inf")), None).otherwise(x)
 
 
+def without_nan(df: DataFrame) -> DataFrame:
+    """df as read: NaN and infinities of all floating columns, and of those in arrays, are null."""
+    rule = {"double": finite, "float": finite, "array<double>": lambda c: F.transform(c, finite), "array<float>": lambda c: F.transform(c, finite)}
+    return df.select(*(rule[t](F.col(f"`{c}`")).alias(c) if t in rule else F.col(f"`{c}`") for c, t in df.dtypes))
+
+
 def normal_logpdf(x: Column, mu, sigma) -> Column:
     mu, sigma = (v if isinstance(v, Column) else F.lit(float(v)) for v in (mu, sigma))
     return -0.5 * F.pow((x - mu) / sigma, 2) - F.log(sigma) - 0.5 * math.log(2 * math.pi)

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import gamma_logpdf, lognormal_logpdf, normal_logpdf, posterior
+from ..functions.stats import finite, gamma_logpdf, lognormal_logpdf, normal_logpdf, posterior
 from ..storage import discard, stored
 
 
@@ -180,7 +180,7 @@ def fit_deconvolved(df: DataFrame, value: str, error: str, low: float, high: flo
     one aggregation of the responsibilities' sums over all rows."""
     v = F.col(value)
     # stored: what df comes of is worked out once, not once an iteration
-    rows = stored(df.filter((v > low) & (v < high)).select(v.alias("x"), F.coalesce(F.when(F.col(error) > 0, F.col(error)), 0.1 * F.abs(v)).alias("e")), "values")
+    rows = stored(df.filter((v > low) & (v < high)).select(v.alias("x"), F.coalesce(F.when(finite(F.col(error)) > 0, F.col(error)), 0.1 * F.abs(v)).alias("e")), "values")
     base = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).first()
     if base.n < 100 or not base.s:
         discard(rows)

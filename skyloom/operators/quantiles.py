@@ -12,7 +12,8 @@ import functools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import stored
+from ..functions.stats import finite
+from ..storage import discard, stored
 
 SUB = 4096
 
@@ -39,22 +40,27 @@ def _found(cells: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
     return hit.filter((F.col("_k") >= F.col("_before")) & (F.col("_k") < F.col("_before") + F.col("_n"))).drop("_ahead")
 
 
-def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], whole_rows: int = 1 << 20, few: int = 1 << 16) -> DataFrame:
-    """keys, n and a column for each named share: exact quantiles, linear between ranks, of the values that are not
-    null; groups without values give no row, no keys mean one group. Values are doubles, finite. At most whole_rows
-    rows are left to Spark's percentile, which changes nothing but speed; `few` bounds what one task sorts at the end."""
+def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], whole_rows: int = 1 << 20, few: int = 1 << 16, n_rows: int | None = None) -> DataFrame:
+    """keys, n and a column for each named share: exact quantiles, linear between ranks, of the values that are neither
+    null nor NaN nor infinite; groups without values give no row, no keys mean one group. At most whole_rows
+    rows are left to Spark's percentile, which changes nothing but speed; n_rows, their number or more, saves the counting. `few`
+    bounds what one task sorts at the end."""
     keys = list(keys)
     by = [*keys, "_g"]
-    rows = stored(df.filter(F.col(value).isNotNull()).select(*keys, F.lit(0).alias("_g"), F.col(value).cast("double").alias("_v")), "values")
-    if rows.count() <= whole_rows:
+    v = finite(F.col(value).cast("double"))
+    rows = df.select(*keys, F.lit(0).alias("_g"), v.alias("_v")).filter("_v IS NOT NULL")
+    if (rows.count() if n_rows is None else n_rows) <= whole_rows:
         return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *(F.percentile("_v", F.lit(float(p))).alias(name) for name, p in probs.items())).drop("_g")
+    made = [rows := stored(rows, "values")]
     counts = [F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]  # of a cell
     rows = rows.withColumns({"_parent": F.lit(0).cast("long"), "_cell": _log_cell(F.col("_v"))})
     cells = stored(rows.groupBy(*by, "_parent", "_cell").agg(*counts), "cells")
+    made.append(cells)
     sizes = cells.groupBy(*by).agg(F.sum("_n").alias("n"))
     ranks = [F.struct(F.lit(name).alias("_name"), F.lit(up).alias("_up"), (F.ceil if up else F.floor)((F.col("n") - 1) * float(p)).cast("long").alias("_k"), ((F.col("n") - 1) * float(p) % 1).alias("_part")) for name, p in probs.items() for up in (0, 1)]
     wanted = sizes.select(*by, "n", F.inline(F.array(*ranks))).withColumns({"_parent": F.lit(0).cast("long"), "_before": F.lit(0).cast("long")})
     hit, answers = stored(_found(cells, wanted, by), "ranks"), None
+    made.append(hit)
     names = [*by, "n", "_name", "_up", "_part"]
     while True:
         one = hit.filter("_lo = _hi").select(*names, F.col("_lo").alias("_answer"))
@@ -75,12 +81,15 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float
         # numbers of the cells of a level: those of the one before are few, so they are dealt anew
         rows = stored(inside.select(*by, F.col("_cell").alias("_parent"), (F.pmod(F.xxhash64("_cell"), F.lit(1 << 48)) * SUB + sub).alias("_cell"), "_v"), "inside")
         hit = stored(_found(rows.groupBy(*by, "_parent", "_cell").agg(*counts), wanted, by), "ranks")
+        made += [rows, hit]
     value_of = lambda name, up: F.max(F.when((F.col("_name") == name) & (F.col("_up") == up), F.col("_answer")))
     part_of = lambda name: F.max(F.when(F.col("_name") == name, F.col("_part")))
     out = answers.groupBy(*by).agg(F.max("n").alias("n"), *((value_of(name, 0) * (1 - part_of(name)) + value_of(name, 1) * part_of(name)).alias(name) for name in probs))
-    return out.drop("_g")
+    out = stored(out.drop("_g"), "quantiles")
+    discard(*made)
+    return out
 
 
-def medians(df: DataFrame, keys: list[str], value: str, name: str = "median", **bounds: int) -> DataFrame:
+def medians(df: DataFrame, keys: list[str], value: str, name: str = "median", **bounds: int | None) -> DataFrame:
     """keys, n and the median of each group."""
     return quantiles(df, keys, value, {name: 0.5}, **bounds)

@@ -2,7 +2,8 @@
 
 Each is two aggregations joined by key: both combine before the shuffle, and a join on a hot key is split
 by adaptive execution, so no group is ever gathered in one task as a window would. Medians are those of
-`quantiles`, which never gathers a large group either; lists of outliers and of texts are the result itself.
+`quantiles`, which never gathers a large group either; lists of outliers and of texts are the result itself. NaN and
+infinities count as unknown, as null does.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import stored
+from ..functions.stats import finite
 from .quantiles import medians
 
 SCALE = 1.4826
@@ -18,6 +19,7 @@ SCALE = 1.4826
 
 def inverse_variance(value: Column, error: Column) -> tuple[Column, Column]:
     """Weighted mean and its error over rows whose value and positive error are known."""
+    value, error = finite(value), finite(error)
     w = F.when(value.isNotNull() & (error > 0), 1 / (error * error))
     return F.sum(w * value) / F.sum(w), 1 / F.sqrt(F.sum(w))
 
@@ -27,7 +29,7 @@ def clipped_weighted_mean(df: DataFrame, keys: list[str], value: str, error: str
     One measurement: itself. All rejected: plain mean and population deviation, none listed.
     Returns keys, n, mean, err, n_outliers, outliers (sorted)."""
     v, e = F.col(value), F.col(error)
-    known = df.filter(v.isNotNull())
+    known = df.withColumns({value: finite(v), error: finite(e)}).filter(v.isNotNull())
     ok = e.isNotNull() & (e > 0)
     w = F.when(ok, 1 / (e * e))
     first = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.avg(v).alias("_avg"), F.stddev_pop(v).alias("_std"), F.count(F.when(ok, 1)).alias("_ne"), (F.sum(w * v) / F.sum(w)).alias("_wm"))
@@ -50,10 +52,11 @@ def clipped_weighted_mean(df: DataFrame, keys: list[str], value: str, error: str
 
 def median_mad(df: DataFrame, keys: list[str], value: str, scale: float = 1.0) -> DataFrame:
     """keys, n, median, mad (times scale), exact for groups of any size."""
-    known = stored(df.filter(F.col(value).isNotNull()).select(*keys, value), "known")
-    med = medians(known, keys, value)
+    known = df.select(*keys, finite(F.col(value)).alias(value)).filter(F.col(value).isNotNull())
+    n = known.count()
+    med = medians(known, keys, value, n_rows=n)
     away = known.join(med.select(*keys, "median"), keys).withColumn("_away", F.abs(F.col(value) - F.col("median")))
-    return med.join(medians(away, keys, "_away", "mad").select(*keys, (scale * F.col("mad")).alias("mad")), keys)
+    return med.join(medians(away, keys, "_away", "mad", n_rows=n).select(*keys, (scale * F.col("mad")).alias("mad")), keys)
 
 
 def mad_clipped_mean(df: DataFrame, keys: list[str], value: str, sigma: float = 3.0) -> DataFrame:
@@ -61,7 +64,7 @@ def mad_clipped_mean(df: DataFrame, keys: list[str], value: str, sigma: float =
     Returns keys, n, mean, n_outliers."""
     spread = median_mad(df, keys, value, SCALE)
     inside = F.abs(F.col(value) - F.col("median")) <= sigma * F.col("mad")
-    out = df.filter(F.col(value).isNotNull()).join(spread.select(*keys, "median", "mad"), keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("_all"), F.avg(F.when(inside, F.col(value))).alias("_in"), F.count(F.when(~inside, 1)).alias("_out"), F.max("mad").alias("_mad"))
+    out = df.withColumn(value, finite(F.col(value))).filter(F.col(value).isNotNull()).join(spread.select(*keys, "median", "mad"), keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("_all"), F.avg(F.when(inside, F.col(value))).alias("_in"), F.count(F.when(~inside, 1)).alias("_out"), F.max("mad").alias("_mad"))
     clip = (F.col("_mad") > 0) & F.col("_in").isNotNull()
     return out.select(*keys, "n", F.when(clip, F.col("_in")).otherwise(F.col("_all")).alias("mean"), F.when(clip, F.col("_out")).otherwise(0).alias("n_outliers"))
 
@@ -100,7 +103,7 @@ def mean_error_and_scatter(df: DataFrame, keys: list[str], value: str, error: st
     """keys, n, mean, d = 1/sqrt(sum w), s2 = sum w (v - mean)^2 / ((n - 1) sum w) for groups of two and more.
     The sums of w, wv and wvv give both in one aggregation; values are taken from the group's first to keep digits."""
     w = 1 / (F.col(error) * F.col(error))
-    known = df.filter(F.col(value).isNotNull() & (F.col(error) > 0))
+    known = df.withColumns({c: finite(F.col(c)) for c in (value, error)}).filter(F.col(value).isNotNull() & (F.col(error) > 0))
     m = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), (F.sum(w * F.col(value)) / F.sum(w)).alias("mean"), F.sum(w).alias("_w")).filter("n >= 2")
     s = known.join(m.select(*keys, "mean"), keys).groupBy(*keys).agg(F.sum(w * F.pow(F.col(value) - F.col("mean"), 2)).alias("_s"))
     return m.join(s, keys).select(*keys, "n", "mean", (1 / F.sqrt("_w")).alias("d"), (F.col("_s") / ((F.col("n") - 1) * F.col("_w"))).alias("s2"))
@@ -108,7 +111,7 @@ def mean_error_and_scatter(df: DataFrame, keys: list[str], value: str, error: st
 
 def weighted_covariance(df: DataFrame, keys: list[str], x: str, y: str, w: str) -> DataFrame:
     """Weighted means and 2 x 2 covariance per group; rows with any unknown value are left out."""
-    known = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(w).isNotNull())
+    known = df.withColumns({c: finite(F.col(c)) for c in (x, y, w)}).filter(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(w).isNotNull())
     s = F.sum(w)
     m = known.groupBy(*keys).agg((F.sum(F.col(w) * F.col(x)) / s).alias("mx"), (F.sum(F.col(w) * F.col(y)) / s).alias("my"))
     dx, dy = F.col(x) - F.col("mx"), F.col(y) - F.col("my")

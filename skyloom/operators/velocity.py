@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stats import finite
 from ..storage import stored
 from .binning import binned_median
 from .keyed_join import top_per_group
@@ -122,7 +123,8 @@ def normal_equations(df: DataFrame, features: list[str], target: str, error: str
     xs = [F.lit(1.0), *(F.coalesce(F.col(f), F.lit(fill)) for f in features)]
     w, y = 1 / (F.col(error) * F.col(error)), F.col(target)
     sums = [F.sum(w * a * b) for i, a in enumerate(xs) for b in xs[i:]] + [F.sum(w * a * y) for a in xs]
-    got = np.array(df.filter(y.isNotNull() & (F.col(error) > 0)).agg(*(s.alias(f"c{i}") for i, s in enumerate(sums))).first(), float)
+    known = df.withColumns({c: finite(F.col(c)) for c in [*features, target, error]}).filter(y.isNotNull() & (F.col(error) > 0))
+    got = np.array(known.agg(*(s.alias(f"c{i}") for i, s in enumerate(sums))).first(), float)
     k = len(xs)
     m = np.zeros((k, k))
     m[np.triu_indices(k)] = got[: k * (k + 1) // 2]
@@ -140,8 +142,8 @@ def survey_calibration(df: DataFrame, target: str = "drv", error: str = "err", l
     each of its halves: cool and hot (by Teff) or dwarfs and giants (by logg) where a half has more than `least` rows, all rows where
     none has. A feature counts where more than `filled` of the half's rows know it, unknown values as 0.
     One aggregation by (survey, half) gives the sums of all features; the driver solves one small system for each."""
-    one = lambda c: F.when(F.isnan(c) | (F.abs(c) == float("inf")), None).otherwise(F.col(c))
-    known = df.filter(F.col(target).isNotNull() & F.col("survey").isNotNull())
+    one = lambda c: finite(F.col(c))
+    known = df.withColumn(target, one(target)).filter(F.col(target).isNotNull() & F.col("survey").isNotNull())
     by_teff = F.col("survey").isin(*SPLIT_BY_TEFF)
     half = F.when(by_teff, F.when(one("Teff") < TEFF_SPLIT, "cool").when(one("Teff") >= TEFF_SPLIT, "hot")).otherwise(F.when(one("logg") > LOGG_SPLIT, "dwarfs").when(one("logg") <= LOGG_SPLIT, "giants"))
     sure = F.greatest(F.coalesce(one(error), F.lit(1.0)), F.lit(0.01))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stats import finite
+
 
 def clean_header(df: DataFrame) -> DataFrame:
     """Names without byte-order mark and blanks around."""
@@ -12,10 +14,11 @@ def clean_header(df: DataFrame) -> DataFrame:
 
 
 def with_aliases(df: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
-    """A double column for each key, from the first of its names that the table has, any case; null without."""
+    """A double column for each key, from the first of its names that the table has, any case; null without, and for NaN
+    and infinities."""
     have = {c.lower(): c for c in df.columns}
     pick = {k: next((have[n.lower()] for n in [k, *names] if n.lower() in have), None) for k, names in aliases.items()}
-    value = lambda c: F.lit(None).cast("double") if c is None else F.col(f"`{c}`").cast("string").try_cast("double")
+    value = lambda c: F.lit(None).cast("double") if c is None else finite(F.col(f"`{c}`").cast("string").try_cast("double"))
     return df.withColumns({k: value(c) for k, c in pick.items()})
 
 
@@ -37,4 +40,4 @@ def preflight(df: DataFrame, required: list[str]) -> dict:
 
 
 def sentinels_out(df: DataFrame, columns: list[str], sentinel: float = -999.0) -> DataFrame:
-    return df.withColumns({c: F.nullif(F.col(c).cast("string").try_cast("double"), F.lit(float(sentinel))) for c in columns})
+    return df.withColumns({c: F.nullif(finite(F.col(c).cast("string").try_cast("double")), F.lit(float(sentinel))) for c in columns})

@@ -7,11 +7,16 @@ commas; those that the table lacks are left out with a warning.
 
 df.write.format("fits").mode("append").save(folder) writes a file for each partition into a folder that executors mount: under
 a name of its own until the job commits, so that a task that is run again leaves nothing twice.
+
+What FITS writes for unknown is null: NaN (infinities too), TNULL in columns of whole numbers, a zero byte among booleans.
+TSCAL and TZERO are applied: whole numbers stay whole where both are, else they become doubles. Bits are booleans, complex
+numbers structs of re and im, columns of several values or of varying length arrays (of letters: text).
 """
 
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import warnings
 from dataclasses import dataclass
@@ -22,8 +27,84 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from pyspark.sql.types import StructType
 
 BLOCK = 2880
-# FITS column codes, their NumPy and Spark types.
-CODES = {"L": ("u1", "boolean"), "B": ("u1", "short"), "I": (">i2", "short"), "J": (">i4", "int"), "K": (">i8", "bigint"), "E": (">f4", "float"), "D": (">f8", "double"), "A": ("S", "string")}
+# FITS column codes, their NumPy and Spark types; of whole numbers also the type that holds them once an offset is added.
+CODES = {
+    "L": ("u1", "boolean"), "X": ("u1", "boolean"), "B": ("u1", "short"), "I": (">i2", "short"), "J": (">i4", "int"), "K": (">i8", "bigint"),
+    "E": (">f4", "float"), "D": (">f8", "double"), "C": (">c8", "struct<re:float,im:float>"), "M": (">c16", "struct<re:double,im:double>"), "A": ("S", "string"),
+}
+WIDER = {"B": "short", "I": "int", "J": "bigint", "K": "decimal(20,0)"}
+_FORM = re.compile(r"(\d*)([LXBIJKAEDCMPQ])([LXBIJKAEDCM]?)")
+
+
+@dataclass
+class Column:
+    """A column of a table: `repeat` values of type code at byte `at` of a row, or, if `heap` is P or Q, a descriptor there and the values
+    in the heap."""
+
+    name: str
+    code: str
+    repeat: int
+    at: int
+    heap: str = ""
+    null: int | None = None
+    scale: float | int = 1
+    zero: float | int = 0
+
+    def bytes_of(self, n: int) -> int:
+        """Of n values one after the other."""
+        return -(-n // 8) if self.code == "X" else n if self.code == "A" else n * np.dtype(CODES[self.code][0]).itemsize
+
+    @property
+    def width(self) -> int:
+        return {"P": 8, "Q": 16, "": 0}[self.heap] * self.repeat if self.heap else self.bytes_of(self.repeat)
+
+    @property
+    def scaled(self) -> bool:
+        return (self.scale, self.zero) != (1, 0) and self.code in "BIJKED"
+
+    @property
+    def whole(self) -> bool:
+        """Whether scaled whole numbers stay whole."""
+        return self.code in WIDER and float(self.scale) == 1 and float(self.zero).is_integer()
+
+    @property
+    def one(self) -> str:
+        """Spark type of one value."""
+        if not self.scaled or self.code == "D":
+            return CODES[self.code][1]
+        return WIDER[self.code] if self.whole else "double"
+
+    @property
+    def many(self) -> bool:
+        return self.code != "A" and (bool(self.heap) or self.repeat != 1)
+
+    @property
+    def kind(self) -> str:
+        return f"array<{self.one}>" if self.many else self.one
+
+    def values(self, raw: bytes, n: int) -> pa.Array:
+        """n values that stand one after the other in raw, nulls where they are unknown."""
+        if self.code == "X":
+            return pa.array(np.unpackbits(np.frombuffer(raw, "u1"))[:n].astype(bool))
+        v = np.frombuffer(raw, CODES[self.code][0], n)
+        if self.code == "L":
+            return pa.array(v == ord("T"), mask=v == 0)
+        if self.code in "CM":
+            parts = [pa.array(x.astype(x.dtype.newbyteorder("=")), mask=~np.isfinite(x)) for x in (v.real, v.imag)]
+            return pa.StructArray.from_arrays(parts, ["re", "im"])
+        v = v.astype(v.dtype.newbyteorder("="))
+        missing = ~np.isfinite(v) if self.code in "ED" else v == self.null if self.null is not None else np.zeros(n, bool)
+        if not self.scaled:
+            return pa.array(v.astype("i2") if self.code == "B" else v, mask=missing)
+        if self.one.startswith("decimal"):
+            return pa.array([None if m else int(x) + int(self.zero) for x, m in zip(v.tolist(), missing.tolist())], pa.decimal128(20, 0))
+        if self.whole:
+            return pa.array((v.astype("i8") + int(self.zero)).astype({"short": "i2", "int": "i4", "bigint": "i8"}[self.one]), mask=missing)
+        return pa.array(v.astype("f8") * float(self.scale) + float(self.zero), mask=missing)
+
+
+def _text(raw: bytes) -> str:
+    return raw.split(b"\0")[0].decode("ascii", "replace").rstrip()
 
 
 def header(f) -> dict:
@@ -45,7 +126,7 @@ def header(f) -> dict:
                 cards[key] = raw[1 : raw.index("'", 1)].rstrip()
             else:
                 raw = raw.split("/")[0].strip()
-                cards[key] = raw == "T" if raw in ("T", "F") else float(raw) if any(c in raw for c in ".ED") else int(raw)
+                cards[key] = raw == "T" if raw in ("T", "F") else float(raw.replace("D", "E")) if any(c in raw for c in ".ED") else int(raw)
 
 
 def data_size(h: dict) -> int:
@@ -56,19 +137,21 @@ def data_size(h: dict) -> int:
     return -(-n // BLOCK) * BLOCK
 
 
-def table(path: str, ext: int | None) -> tuple[int, int, int, list[tuple[str, str, int, int]]]:
-    """Data offset, rows, row bytes and columns (name, code, repeat, offset) of extension ext, or of the first table."""
+def table(path: str, ext: int | None) -> tuple[int, int, int, int, list[Column]]:
+    """Data offset, rows, row bytes, heap offset and columns of extension ext, or of the first table."""
     with open(path, "rb") as f:
         for number in range(1 << 16):
             h = header(f)
             if h.get("XTENSION") == "BINTABLE" and ext in (None, number):
                 columns, at = [], 0
                 for k in range(1, h["TFIELDS"] + 1):
-                    form = h[f"TFORM{k}"]
-                    repeat, code = int(form.rstrip("LBIJKEDA") or 1), form[-1]
-                    columns.append((h.get(f"TTYPE{k}", f"col{k}"), code, repeat, at))
-                    at += repeat * (1 if code == "A" else np.dtype(CODES[code][0]).itemsize)
-                return f.tell(), h["NAXIS2"], h["NAXIS1"], columns
+                    repeat, code, sub = _FORM.match(h[f"TFORM{k}"]).groups()
+                    heap = code if code in "PQ" else ""
+                    own = Column(h.get(f"TTYPE{k}", f"col{k}"), sub if heap else code, int(repeat or 1), at, heap, h.get(f"TNULL{k}"), h.get(f"TSCAL{k}", 1), h.get(f"TZERO{k}", 0))
+                    if own.width:
+                        columns.append(own)
+                    at += own.width
+                return f.tell(), h["NAXIS2"], h["NAXIS1"], f.tell() + h.get("THEAP", h["NAXIS1"] * h["NAXIS2"]), columns
             f.seek(data_size(h), 1)
     raise ValueError("no such table")
 
@@ -84,19 +167,18 @@ class FitsSource(DataSource):
         return path, table(path, None if ext is None else int(ext))
 
     def schema(self):
-        kind = lambda code, n: CODES[code][1] if code == "A" or n == 1 else f"array<{CODES[code][1]}>"
-        columns = self._table()[1][3]
+        columns = self._table()[1][4]
         if "columns" in self.options:
             wanted = [c.strip() for c in self.options["columns"].split(",")]
-            if missing := set(wanted) - {c[0] for c in columns}:
+            if missing := set(wanted) - {c.name for c in columns}:
                 warnings.warn(f"no such columns, left out: {sorted(missing)}", stacklevel=2)
-            columns = sorted((c for c in columns if c[0] in wanted), key=lambda c: wanted.index(c[0]))
-        return ", ".join(f"`{n}` {kind(c, r)}" for n, c, r, _ in columns)
+            columns = sorted((c for c in columns if c.name in wanted), key=lambda c: wanted.index(c.name))
+        return ", ".join(f"`{c.name}` {c.kind}" for c in columns)
 
     def reader(self, schema: StructType):
-        path, (at, rows, width, columns) = self._table()
-        by_name = {c[0]: c for c in columns}
-        return FitsReader(path, at, rows, width, [by_name[n] for n in schema.names], int(self.options.get("rows_per_partition", 1 << 20)))
+        path, (at, rows, width, heap, columns) = self._table()
+        by_name = {c.name: c for c in columns}
+        return FitsReader(path, at, rows, width, heap, [by_name[n] for n in schema.names], int(self.options.get("rows_per_partition", 1 << 20)))
 
     def writer(self, schema: StructType, overwrite: bool):
         if overwrite:
@@ -105,31 +187,46 @@ class FitsSource(DataSource):
 
 
 class FitsReader(DataSourceReader):
-    def __init__(self, path, at, rows, width, columns, step):
-        self.path, self.at, self.rows, self.width, self.columns, self.step = path, at, rows, width, columns, step
+    def __init__(self, path, at, rows, width, heap, columns, step):
+        self.path, self.at, self.rows, self.width, self.heap, self.columns, self.step = path, at, rows, width, heap, columns, step
 
     def partitions(self):
         return [InputPartition((a, min(a + self.step, self.rows))) for a in range(0, self.rows, self.step)]
 
+    def _from_heap(self, f, column: Column, descriptors: np.ndarray) -> pa.Array:
+        """Values of varying number: descriptors are (number, offset in the heap) of each row."""
+        parts, ends = [], [0]
+        for n, offset in descriptors.tolist():
+            f.seek(self.heap + offset)
+            raw = f.read(column.bytes_of(n))
+            parts.append(_text(raw) if column.code == "A" else column.values(raw, n))
+            ends.append(ends[-1] + n)
+        if column.code == "A":
+            return pa.array(parts, pa.string())
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays(parts))
+
+    def _decoded(self, f, column: Column, raw: np.ndarray) -> pa.Array:
+        """A column of the rows raw (rows x their bytes)."""
+        own, n = np.ascontiguousarray(raw[:, column.at : column.at + column.width]), len(raw)
+        if column.heap:
+            return self._from_heap(f, column, own.view(">i4" if column.heap == "P" else ">i8").reshape(n, 2 * column.repeat)[:, :2])
+        if column.code == "A":
+            return pa.array([_text(x.tobytes()) for x in own])
+        bits = column.width * 8 if column.code == "X" else column.repeat  # a row's bits end in its last byte
+        flat = column.values(own.tobytes(), n * bits)
+        if column.code == "X":
+            flat = flat.take(pa.array((np.arange(n)[:, None] * bits + np.arange(column.repeat)).ravel()))
+        return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * column.repeat, pa.int32()), flat) if column.many else flat
+
     def read(self, partition):
         a, b = partition.value
-        kind = lambda code, n: f"S{n}" if code == "A" else (CODES[code][0] if n == 1 else (CODES[code][0], (n,)))
-        row = np.dtype({"names": [c[0] for c in self.columns], "formats": [kind(c[1], c[2]) for c in self.columns], "offsets": [c[3] for c in self.columns], "itemsize": self.width})
         part = max(1, (16 << 20) // self.width)
         with open(self.path, "rb") as f:
             for i in range(a, b, part):
                 n = min(part, b - i)
                 f.seek(self.at + i * self.width)
-                raw = np.frombuffer(f.read(n * self.width), row)
-                out = []
-                for name, code, repeat, _ in self.columns:
-                    v = raw[name]
-                    if code == "A":
-                        out.append(pa.array([x.decode("ascii", "replace").rstrip() for x in v]))
-                    else:
-                        v = v == ord("T") if code == "L" else v.astype("i2") if code == "B" else v.astype(v.dtype.newbyteorder("="))
-                        out.append(pa.array(v) if repeat == 1 else pa.array(list(v)))
-                yield pa.RecordBatch.from_arrays(out, names=[c[0] for c in self.columns])
+                raw = np.frombuffer(f.read(n * self.width), np.uint8).reshape(n, self.width)
+                yield pa.RecordBatch.from_arrays([self._decoded(f, c, raw) for c in self.columns], names=[c.name for c in self.columns])
 
 
 def _heads(row_bytes: int, rows: int, forms: dict[str, str]) -> bytes:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.stats import finite, without_nan
 from ..functions.text import sexagesimal
 from .columns import clean_header, sentinels_out
 
@@ -26,14 +27,15 @@ LITERATURE = {
 
 
 def csv(spark: SparkSession, path: str, **options) -> DataFrame:
-    return clean_header(spark.read.csv(path, header=True, inferSchema=True, **options))
+    """Numbers that are NaN or infinite are null, here as in all these readers."""
+    return without_nan(clean_header(spark.read.csv(path, header=True, inferSchema=True, **options)))
 
 
 def tsv_folder(spark: SparkSession, paths: list[str], key: str, rename: dict[str, str] | None = None) -> DataFrame:
     """Union of TSV files that have the key column, others skipped; the key becomes text."""
     out = None
     for p in paths:
-        df = clean_header(spark.read.csv(p, header=True, sep="\t", inferSchema=True))
+        df = without_nan(clean_header(spark.read.csv(p, header=True, sep="\t", inferSchema=True)))
         if key not in df.columns:
             continue
         df = df.withColumn(key, F.col(key).cast("string")).withColumn("source_file", F.input_file_name()).withColumnsRenamed(rename or {})
@@ -44,14 +46,14 @@ def tsv_folder(spark: SparkSession, paths: list[str], key: str, rename: dict[str
 def blank_separated(spark: SparkSession, path: str, columns: dict[str, tuple[int, str]]) -> DataFrame:
     """columns: name -> (position, type) of fields between blanks; what can't be read as its type is null."""
     part = F.split(F.trim("value"), r"\s+")
-    return spark.read.text(path).filter("trim(value) <> ''").select(*(F.try_element_at(part, F.lit(i + 1)).try_cast(t).alias(n) for n, (i, t) in columns.items()))
+    return spark.read.text(path).filter("trim(value) <> ''").select(*(F.try_element_at(part, F.lit(i + 1)).try_cast(t).alias(n) for n, (i, t) in columns.items())).transform(without_nan)
 
 
 def fixed_width(spark: SparkSession, path: str, slices: dict[str, tuple[int, int]], types: dict[str, str] | None = None, least_length: int = 0) -> DataFrame:
     """Fields by [from, to); blanks are null, shorter lines skipped."""
     types = types or {}
     field = lambda n, a, b: F.nullif(F.trim(F.substring("value", a + 1, b - a)), F.lit("")).try_cast(types.get(n, "double")).alias(n)
-    return spark.read.text(path).filter(F.length("value") >= least_length).select(*(field(n, a, b) for n, (a, b) in slices.items()))
+    return spark.read.text(path).filter(F.length("value") >= least_length).select(*(field(n, a, b) for n, (a, b) in slices.items())).transform(without_nan)
 
 
 def files_of(spark: SparkSession, folder: str, patterns: list[str], most: int | None = None) -> list[str]:
@@ -70,8 +72,7 @@ def survey_velocities(spark: SparkSession, path: str, survey: str, slices: dict[
     if not path.endswith((".dat", ".gz", ".txt")):
         path = files_of(spark, path, [f"{survey.lower()}.dat.gz", f"{survey.lower()}.dat"])[0]
     df = fixed_width(spark, path, slices or SURVEY_SLICES[survey], {"sid": "string"})
-    finite = "rv IS NOT NULL AND NOT isnan(rv) AND abs(rv) < double('inf') AND erv > 0 AND NOT isnan(erv) AND erv < double('inf')"
-    return df.filter(finite).withColumn("survey", F.lit(survey))
+    return df.filter("rv IS NOT NULL AND erv > 0").withColumn("survey", F.lit(survey))
 
 
 def literature_table(spark: SparkSession, path: str, name: str) -> DataFrame:
@@ -81,14 +82,14 @@ def literature_table(spark: SparkSession, path: str, name: str) -> DataFrame:
     own = {c: s for c, s in known["slices"].items() if c not in ("target", "flag")}
     texts = {c: "string" for c in known["slices"] if c not in own}
     df = fixed_width(spark, path, known["slices"], {"ra": "string", "dec": "string", **texts}, known["least"])
-    place = {"ra": sexagesimal(F.col("ra"), True), "dec": sexagesimal(F.replace("dec", F.lit("- "), F.lit("-")))} if known["sexagesimal"] else {c: F.col(c).try_cast("double") for c in ("ra", "dec")}
+    place = {"ra": sexagesimal(F.col("ra"), True), "dec": sexagesimal(F.replace("dec", F.lit("- "), F.lit("-")))} if known["sexagesimal"] else {c: finite(F.col(c).try_cast("double")) for c in ("ra", "dec")}
     return df.withColumns(place).dropna(subset=["ra", "dec", "rv"]).withColumn("source", F.lit(name))
 
 
 def literature(spark: SparkSession, path: str, slices: dict[str, tuple[int, int]], ra: str, dec: str, sexagesimal_place: bool, least_length: int = 1) -> DataFrame:
     """Fixed-width table of the literature; its coordinates are given in degrees whichever form they have."""
     df = fixed_width(spark, path, slices, {ra: "string", dec: "string"}, least_length)
-    place = {ra: sexagesimal(F.col(ra), True), dec: sexagesimal(F.col(dec))} if sexagesimal_place else {c: F.col(c).try_cast("double") for c in (ra, dec)}
+    place = {ra: sexagesimal(F.col(ra), True), dec: sexagesimal(F.col(dec))} if sexagesimal_place else {c: finite(F.col(c).try_cast("double")) for c in (ra, dec)}
     return df.withColumns(place).dropna(subset=[ra, dec])
 
 
@@ -102,13 +103,12 @@ def dwarf_catalogue(spark: SparkSession, path: str) -> DataFrame:
 
 
 def limited_files(spark: SparkSession, paths: list[str], rows_per_file: int | None = None, max_files: int | None = None) -> DataFrame:
-    """Parquet files in order of name, at most max_files, each cut to rows_per_file (a limit asked for)."""
-    out = None
-    for p in sorted(paths)[:max_files]:
-        df = spark.read.parquet(p)
-        df = df if rows_per_file is None else df.limit(rows_per_file)
-        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
-    return out
+    """Parquet files in order of name, at most max_files, each cut to its first rows_per_file rows (a limit asked for). One scan of
+    all files, whatever their number; a column that only some have is null in the others."""
+    df = spark.read.option("mergeSchema", True).parquet(*sorted(paths)[:max_files])
+    if rows_per_file is not None:
+        df = df.filter(F.col("_metadata.row_index") < rows_per_file)
+    return without_nan(df)
 
 
 def truth_list(spark: SparkSession, path: str) -> DataFrame:
