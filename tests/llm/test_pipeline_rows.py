@@ -18,7 +18,7 @@ def rows_of(df):
 
 def test_language_and_exact_on_odd_rows(spark, sf, odd):
     rows = rows_of(odd)
-    letters = [r for r in rows if r[1] and re.search(r"[^\W\d_]", r[1])]
+    letters = [r for r in rows if r[1] and any(c.isalpha() for c in r[1])]
     assert kept(cp.language, odd, spark, sf) == Counter(letters)
     groups = defaultdict(list)
     for r in rows:

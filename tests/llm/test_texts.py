@@ -243,3 +243,29 @@ def test_pipeline(spark, sf, docs, odd, empty):
     assert odd_pieces.length.sum() == sum(len(tokens_of(r.text)) for r in odd.collect())
     hits = brute_hits([(i, r.text) for i, r in enumerate(odd.collect())], tests)
     assert corpus_pipeline.decontaminated(spark, odd, sf).count() == sum(not h[5] for h in hits)
+
+
+@pytest.mark.parametrize(
+    "text,labels",
+    [
+        ("SPDX-License-Identifier: WTFPL", "wtfpl"), ("SPDX-License-Identifier: OpenSSL", "openssl"), ("// SPDX-License-Identifier: Some-Thing", "some-thing"), ("SPDX-License-Identifier: MIT+", "mit"),
+        ("License: MIT/Apache-2.0", "apache,mit"), ("BSD 3-Clause License", "bsd"), ("SPDX-License-Identifier: GPL-2.0+ OR Odd AND Other", "gpl,odd,other"), ("license: see the file", ""),
+        ("SPDX-License-Identifier: BUSL-1.1", "busl"), ("SPDX-License-Identifier: Strange-1.1-or-later", "strange"), ("license: Strange-1.1", "strange"), ("İSPDX-License-Identifier: LGPL-2.1 OR MIT and this is prose", "lgpl,mit"),
+    ],
+)
+def test_license_tags(text, labels):
+    assert licenses.scan(text, *licenses._automata())[5] == labels
+
+
+def test_license_of_empty_table(empty):
+    assert licenses.license_scan(empty).count() == 0
+
+
+def test_numerals_are_no_letters(spark):
+    taught = [(i, f"der die das und {i} nicht" if i % 2 else f"the and that {i} with not", "de" if i % 2 else "en") for i in range(300)]
+    odd = ["½ ²³", "① ② ③", "Ⅷ", "²", "12 _", "", None, "ª", "中", "ǅ", "½ x"]
+    df = spark.createDataFrame(taught + [(1000 + i, t, None) for i, t in enumerate(odd)], "doc_id long, text string, lang string")
+    got = {r.doc_id - 1000: (r.lang_pred, r.score) for r in langid.language_id(df).filter("doc_id >= 1000").collect()}
+    assert all(got[i] == ("und", 0.0) for i in range(7)) and all(got[i][0] in ("de", "en") for i in range(7, 11))
+    with pytest.raises(ValueError, match="max_filter_mb"):
+        langid.fit(df.filter("lang IS NOT NULL"), max_filter_mb=0)
