@@ -102,3 +102,37 @@ def binormal_logpdf(dx: Column, dy: Column, xx: Column, xy: Column, yy: Column,
     xx, yy = xx + floor, yy + floor
     det = xx * yy - xy * xy
     return -0.5 * (yy * dx * dx - 2 * xy * dx * dy + xx * dy * dy) / det - 0.5 * F.log(det) - math.log(2 * math.pi)
+
+
+def in_polygon(x: Column, y: Column, vertices: list[tuple[float, float]]) -> Column:
+    """Whether (x, y) is in a polygon, by the number of edges that a ray to the right crosses; a box about it is looked at first. An edge
+    holds its lower end and not its upper one, so of points on the border those on left and lower edges are inside, those on right and
+    upper edges are not. Null where x or y is."""
+    odd = F.lit(False)
+    for (ax, ay), (bx, by) in zip(vertices, [*vertices[1:], vertices[0]]):
+        if ay != by:
+            crossed = ((F.lit(float(ay)) > y) != (F.lit(float(by)) > y)) & (x < (y - ay) * (bx - ax) / (by - ay) + ax)
+            odd = odd != crossed
+    xs, ys = zip(*vertices)
+    return (x >= min(xs)) & (x <= max(xs)) & (y >= min(ys)) & (y <= max(ys)) & odd
+
+
+# Outlines of stellar populations in colour and absolute magnitude.
+POPULATIONS = {
+    "Main Sequence": [(-0.2, 15.5), (0.0, 13.0), (0.3, 10.0), (0.6, 8.0), (1.0, 6.5), (1.5, 5.0), (2.0, 4.0), (2.5, 3.5), (3.0, 3.3), (3.5, 3.2), (4.0, 3.2), (4.0, 16.0), (-0.2, 16.0)],
+    "RGB": [(0.8, 2.5), (1.0, 1.5), (1.2, 0.5), (1.4, -0.5), (1.6, -1.5), (1.9, -2.5), (2.2, -3.0), (2.5, -2.5), (2.7, -1.5), (2.5, -0.5), (2.2, 0.5), (1.8, 1.5), (1.4, 2.5)],
+    "AGB": [(2.0, -1.0), (2.5, -1.5), (3.0, -1.3), (3.5, -0.8), (4.0, 0.0), (4.3, 0.8), (4.0, 1.5), (3.5, 1.2), (3.0, 0.5), (2.5, 0.0)],
+    "White Dwarfs": [(-0.6, 9.0), (0.8, 9.0), (0.8, 16.0), (-0.6, 16.0)],
+    "MS Turnoff": [(0.2, 2.0), (0.9, 2.0), (1.1, 4.5), (0.6, 4.5)],
+    "Subgiants": [(0.8, 2.5), (1.8, 2.5), (2.0, 5.0), (1.2, 5.0)],
+    "RGB Bump": [(0.9, 0.2), (1.5, 0.2), (1.5, 1.8), (0.9, 1.8)],
+    "Red Clump": [(0.5, -0.5), (1.3, -0.5), (1.3, 1.5), (0.5, 1.5)],
+    "TRGB": [(1.0, -5.5), (3.0, -5.5), (3.0, -3.5), (1.0, -3.5)],
+    "Blue HB": [(-0.5, -1.5), (0.4, -1.5), (0.4, 2.0), (-0.5, 2.0)],
+    "EHB/sdO": [(-0.6, 2.0), (0.0, 2.0), (0.0, 7.0), (-0.6, 7.0)],
+}
+
+
+def populations(x: Column, y: Column, outlines: dict[str, list[tuple[float, float]]] = POPULATIONS) -> Column:
+    """Names of the outlines that hold (x, y), in their order."""
+    return F.filter(F.array(*(F.when(in_polygon(x, y, v), F.lit(n)) for n, v in outlines.items())), lambda n: n.isNotNull())

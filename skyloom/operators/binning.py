@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -147,3 +149,28 @@ def recovery_map(df: DataFrame, x: str, y: str, recovered: str, x_bins: tuple, y
     """Injected and recovered rows and their ratio per cell: completeness where the truth is known."""
     cells = histogram_2d(df, x, y, x_bins, y_bins, {"n_recovered": F.count(F.when(F.col(recovered), 1))})
     return cells.select("bx", "by", F.col("count").alias("n_injected"), "n_recovered", (F.col("n_recovered") / F.col("count")).alias("completeness"))
+
+
+def smoothed_map(cells: DataFrame, value: str, nx: int, ny: int, sigma: float = 3.0, truncate: float = 4.0) -> DataFrame:
+    """cells(bx, by, value) of a map of nx x ny cells, smoothed by a Gaussian of sigma cells: bx, by, value for every cell. Cells not
+    given are 0, the map is mirrored at its borders, the kernel ends at truncate sigmas. One axis after the other."""
+    reach = int(truncate * sigma + 0.5)
+    weights = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-reach, reach + 1)]
+    kernel = [(k, w / sum(weights)) for k, w in zip(range(-reach, reach + 1), weights)]
+    spark = cells.sparkSession
+    now = cells.groupBy("bx", "by").agg(F.sum(value).alias("v"))
+    grid = spark.range(nx * ny).select(F.expr(f"id div {ny}").alias("bx"), (F.col("id") % ny).alias("by"))
+    for axis, n in (("bx", nx), ("by", ny)):
+        mirrored = lambda i, n=n: F.when((i % (2 * n) + 2 * n) % (2 * n) < n, (i % (2 * n) + 2 * n) % (2 * n)).otherwise(2 * n - 1 - (i % (2 * n) + 2 * n) % (2 * n))
+        taken = grid.select("bx", "by", F.inline(F.array(*(F.struct(mirrored(F.col(axis) + k).alias("s"), F.lit(w).alias("w")) for k, w in kernel))))
+        other = "by" if axis == "bx" else "bx"
+        source = now.select(F.col(axis).alias("s"), F.col(other).alias("o"), "v")
+        joined = taken.join(source, (taken["s"] == source["s"]) & (taken[other] == source["o"]), "left")
+        now = joined.groupBy("bx", "by").agg(F.sum(F.col("w") * F.coalesce("v", F.lit(0.0))).alias("v"))
+    return now.withColumnRenamed("v", value)
+
+
+def contour_levels(cells: DataFrame, value: str, n: int = 5, low: float = 0.2, high: float = 0.95) -> DataFrame:
+    """One row, level_0 .. level_{n-1}: the values of a map's cells above 0 at n shares from low to high."""
+    shares = {f"level_{i}": low + (high - low) * i / (n - 1) for i in range(n)}
+    return quantiles(cells.filter(F.col(value) > 0), [], value, shares).drop("n")

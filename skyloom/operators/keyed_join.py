@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import name_variants
+from ..storage import stored
 
 
 def keep_first(df: DataFrame, keys: list, order: list) -> DataFrame:
@@ -42,14 +43,22 @@ def by_name(left: DataFrame, right: DataFrame, left_name: str, right_name: str)
 
 def by_containment(left: DataFrame, right: DataFrame, left_name: str, right_name: str, gram: int = 4) -> DataFrame:
     """Pairs in which one name (of at least `gram` characters) holds the other; found by shared pieces of
-    `gram` characters, not by comparing every two."""
+    `gram` characters, not by comparing every two. A name is looked up by the one of its pieces that fewest names of the
+    other side hold, so names that begin alike do not all meet."""
     pieces = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - gram + 1), lambda i: F.substring(c, i, F.lit(gram))))
-    a = left.filter(F.length(left_name) >= gram).select(F.col(left_name).alias("l")).distinct()
-    b = right.filter(F.length(right_name) >= gram).select(F.col(right_name).alias("r")).distinct()
-    # the shorter name's first piece must be among the longer one's pieces
-    one = a.withColumn("g", F.substring("l", 1, gram)).join(b.withColumn("g", F.explode(pieces(F.col("r")))), "g").filter(F.col("r").contains(F.col("l")))
-    two = b.withColumn("g", F.substring("r", 1, gram)).join(a.withColumn("g", F.explode(pieces(F.col("l")))), "g").filter(F.col("l").contains(F.col("r")))
-    return one.select("l", "r").union(two.select("l", "r")).distinct()
+    a = stored(left.filter(F.length(left_name) >= gram).select(F.col(left_name).alias("l")).distinct(), "left-names")
+    b = stored(right.filter(F.length(right_name) >= gram).select(F.col(right_name).alias("r")).distinct(), "right-names")
+
+    def held(short, long):
+        """Pairs of names of `short` that stand in one of `long`."""
+        of_long = stored(long.select(*long.columns, F.explode(pieces(F.col(long.columns[0]))).alias("g")), "pieces")
+        frequency = of_long.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+        # a piece that no name of the other side holds rules a name out
+        own = short.select(*short.columns, F.explode(pieces(F.col(short.columns[0]))).alias("g")).join(frequency, "g", "left")
+        rarest = own.groupBy(*short.columns).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("m")).filter("m.n > 0")
+        return rarest.select(*short.columns, F.col("m.g").alias("g")).join(of_long, "g").filter(F.col(long.columns[0]).contains(F.col(short.columns[0])))
+
+    return held(a, b).select("l", "r").union(held(b, a).select("l", "r")).distinct()
 
 
 def top_per_group(df: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:

@@ -47,6 +47,22 @@ def binned(df: DataFrame, value: str, low: float, high: float, log: bool, n_bins
     return np.array([r.y for r in got]), np.array([r.n for r in got], float)
 
 
+def binned_with_errors(df: DataFrame, value: str, error: str, low: float, high: float, log: bool, n_bins: int = 4096, n_errors: int = 32, error_range: tuple[float, float] | None = (0.01, 2.0)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mean value, count and mean squared error of each cell of low < value < high: n_bins bins of the value (of its logarithm, with the
+    error as a share of the value) by n_errors of the error's logarithm. Without a positive error a row counts as one of a tenth of its value."""
+    v = F.col(value)
+    e = F.when(finite(F.col(error)) > 0, finite(F.col(error)))
+    d = F.coalesce(e / F.abs(v), F.lit(0.1)) if log else F.coalesce(e, 0.1 * F.abs(v))
+    d = d if error_range is None else F.least(F.greatest(d, F.lit(error_range[0])), F.lit(error_range[1]))
+    rows = df.filter((v > low) & (v < high)).select((F.log(v) if log else v).alias("y"), F.greatest(d, F.lit(1e-12)).alias("d"))
+    span = rows.agg(F.min("y"), F.max("y"), F.min(F.log("d")), F.max(F.log("d"))).first()
+    if span[0] is None:
+        return (np.zeros(0),) * 3
+    width, step = max((span[1] - span[0]) / n_bins, 1e-12), max((span[3] - span[2]) / n_errors, 1e-12)
+    got = rows.groupBy(F.floor((F.col("y") - span[0]) / width), F.floor((F.log("d") - span[2]) / step)).agg(F.avg("y").alias("y"), F.count(F.lit(1)).alias("n"), F.avg(F.col("d") * F.col("d")).alias("d2")).orderBy("y", "d2").collect()
+    return tuple(np.array([r[c] for r in got], float) for c in ("y", "n", "d2"))
+
+
 def _em(y, n, start, m_step, logpdf, share_range, iterations, tolerance, prior=None):
     share, core, tail = start
     total, before = n.sum(), -math.inf
@@ -67,20 +83,22 @@ def _em(y, n, start, m_step, logpdf, share_range, iterations, tolerance, prior=N
     return share, core, tail, loglik, it
 
 
-def _weighted(y, w, floor):
+def _weighted(y, w, floor, d2=0.0):
+    """Mean and deviation, of which d2, the mean squared error of each bin, is taken off."""
     s = max(w.sum(), 1e-12)
     mu = float((w * y).sum() / s)
-    return mu, math.sqrt(max(float((w * (y - mu) ** 2).sum() / s), floor * floor))
+    return mu, math.sqrt(max(float((w * ((y - mu) ** 2 - d2)).sum() / s), floor * floor))
 
 
-def fit_lognormal(df: DataFrame, value: str, low: float = 0.0, high: float = 10.0, share_range=(0.5, 0.95), separation: float | None = None, iterations: int = 500, tolerance: float = 1e-8) -> Mixture | None:
+def fit_lognormal(df: DataFrame, value: str, low: float = 0.0, high: float = 10.0, share_range=(0.5, 0.95), separation: float | None = None, iterations: int = 500, tolerance: float = 1e-8, error: str | None = None) -> Mixture | None:
     """Core and tail of a positive quantity; a Beta(5, 2) prior holds the share. Without `separation` the tail's mean
     stays half a core deviation above the core's; with it the means stay `separation` robust
-    deviations apart and the tail is at least twice as wide. None for fewer than 100 values."""
-    y, n = binned(df, value, low, high, True)
+    deviations apart and the tail is at least twice as wide. error: a column of the rows' own errors, by which each bin of value and error is
+    widened; the deviations are then those without them. None for fewer than 100 values."""
+    y, n, d2 = binned_with_errors(df, value, error, low, high, True) if error else (*binned(df, value, low, high, True), 0.0)
     if n.sum() < 100:
         return None
-    logpdf = lambda y, m, s: -0.5 * ((y - m) / s) ** 2 - math.log(s) - 0.5 * math.log(2 * math.pi) - y
+    logpdf = lambda y, m, s: -0.5 * ((y - m) ** 2 / (s * s + d2) + np.log(s * s + d2)) - 0.5 * math.log(2 * math.pi) - y
     at = lambda p: float(np.interp(p * n.sum(), np.cumsum(n), y))
     med = at(0.5)
     order = np.argsort(np.abs(y - med))
@@ -88,7 +106,7 @@ def fit_lognormal(df: DataFrame, value: str, low: float = 0.0, high: float = 10.
     floor = 0.1 if separation is None else max(0.15, 0.1 * robust)
 
     def m_step(y, wc, wt):
-        core, tail = _weighted(y, wc, floor), _weighted(y, wt, max(floor, 0.05**0.5))
+        core, tail = _weighted(y, wc, floor, d2), _weighted(y, wt, max(floor, 0.05**0.5), d2)
         swapped = tail[0] < core[0]
         if swapped:
             core, tail = tail, core
@@ -175,22 +193,46 @@ def fit_normal(df: DataFrame, value: str, low: float = 0.0, high: float = 100.0,
     return Mixture("normal", *_em(y, n, (0.7, (mu, 0.5 * s), (mu, 2 * s)), m_step, logpdf, share_range, iterations, tolerance))
 
 
-def fit_deconvolved(df: DataFrame, value: str, error: str, low: float, high: float, iterations: int = 60, tolerance: float = 1e-7) -> Mixture | None:
-    """Normal mixture whose rows have their own errors (a tenth of the value where unknown): each iteration is
-    one aggregation of the responsibilities' sums over all rows."""
+def _deconvolved_starts(y, n, n_starts):
+    """Shares, means and deviations to begin with, from the median and its spread."""
+    order = np.argsort(y)
+    at = lambda v, k, p: float(np.interp(p * k.sum(), np.cumsum(k), v))
+    med = at(y[order], n[order], 0.5)
+    off = np.abs(y - med)
+    by_off = np.argsort(off)
+    s = max(1.4826 * at(off[by_off], n[by_off], 0.5), 1e-6)
+    rng = np.random.default_rng(42)  # the same on every run
+    starts = [(0.75, (med, 0.5 * s), (med + 2 * s, 2 * s))]
+    for _ in range(n_starts - 1):
+        starts.append((rng.uniform(0.6, 0.85), (med + 0.2 * s * rng.normal(), s * math.sqrt(rng.uniform(0.1, 0.5))), (med + s * rng.uniform(1, 3), s * math.sqrt(rng.uniform(1, 5)))))
+    return starts, s
+
+
+def fit_deconvolved(df: DataFrame, value: str, error: str, low: float, high: float, iterations: int = 60, tolerance: float = 1e-7, n_starts: int = 10, share_range=(0.05, 0.95)) -> Mixture | None:
+    """Normal mixture whose rows have their own errors (a tenth of the value where unknown), the core the narrower part. n_starts beginnings are
+    followed over a table of value and error cells; from where the likeliest one ends, each iteration is one aggregation of
+    the responsibilities' sums over all rows."""
+    y, n, d2 = binned_with_errors(df, value, error, low, high, False, error_range=None)
+    if n.sum() < 100 or not np.ptp(y):
+        return None
+    starts, spread = _deconvolved_starts(y, n, n_starts)
+    floor = 0.1 * spread
+    logpdf = lambda y, m, s: -0.5 * ((y - m) ** 2 / (s * s + d2) + np.log(s * s + d2)) - 0.5 * math.log(2 * math.pi)
+
+    def m_step(y, wc, wt):
+        core, tail = _weighted(y, wc, floor, d2), _weighted(y, wt, floor, d2)
+        return (tail, core, True) if tail[1] < core[1] else (core, tail, False)
+
+    share, core, tail, *_ = max((_em(y, n, s, m_step, logpdf, share_range, 500, tolerance) for s in starts), key=lambda f: f[3])
     v = F.col(value)
     # stored: what df comes of is worked out once, not once an iteration
     rows = stored(df.filter((v > low) & (v < high)).select(v.alias("x"), F.coalesce(F.when(finite(F.col(error)) > 0, F.col(error)), 0.1 * F.abs(v)).alias("e")), "values")
-    base = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).first()
-    if base.n < 100 or not base.s:
-        discard(rows)
-        return None
-    share, core, tail, before = 0.7, (base.m, 0.5 * base.s), (base.m, 2 * base.s), -math.inf
+    total, before = float(n.sum()), -math.inf
     for it in range(1, iterations + 1):
         wide = lambda s: F.sqrt(F.lit(s * s) + F.col("e") * F.col("e"))
         a = math.log(share) + normal_logpdf(F.col("x"), core[0], wide(core[1]))
         b = math.log(1 - share) + normal_logpdf(F.col("x"), tail[0], wide(tail[1]))
-        g = 1 / (1 + F.exp(b - a))
+        g = 1 / (1 + F.exp(F.least(b - a, F.lit(700.0))))
         both = F.greatest(a, b) + F.log1p(F.exp(-F.abs(a - b)))
         r = rows.select("x", "e", g.alias("g"), both.alias("l")).agg(
             F.sum("l").alias("l"), *(F.sum(w * t).alias(f"{n}{k}") for n, w in (("c", F.col("g")), ("t", 1 - F.col("g"))) for k, t in enumerate((F.lit(1.0), F.col("x"), F.col("x") * F.col("x"), F.col("e") * F.col("e"))))
@@ -198,13 +240,13 @@ def fit_deconvolved(df: DataFrame, value: str, error: str, low: float, high: flo
         if abs(r.l - before) <= tolerance * abs(r.l):
             break
         before = r.l
-        share = min(max(r.c0 / base.n, 0.4), 0.95)
-        one = lambda s0, s1, s2, s3: (s1 / s0, math.sqrt(max(s2 / s0 - (s1 / s0) ** 2 - s3 / s0, (0.01 * base.s) ** 2)))
+        share = min(max(r.c0 / total, share_range[0]), share_range[1])
+        one = lambda s0, s1, s2, s3: (s1 / max(s0, 1e-12), math.sqrt(max((s2 - s3) / max(s0, 1e-12) - (s1 / max(s0, 1e-12)) ** 2, floor * floor)))
         core, tail = one(r.c0, r.c1, r.c2, r.c3), one(r.t0, r.t1, r.t2, r.t3)
         if tail[1] < core[1]:
             core, tail, share = tail, core, 1 - share
     discard(rows)
-    return Mixture("normal", share, core, tail, before, it)
+    return Mixture("normal", share, core, tail, r.l, it)
 
 
 FITS = {"lognormal": fit_lognormal, "gamma": fit_gamma, "normal": fit_normal}

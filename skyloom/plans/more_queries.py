@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import sky, stats, text
-from ..operators import binning, keyed_join, membership, mixture, quantiles, robust, velocity
+from ..operators import binning, keyed_join, membership, mixture, positions, quantiles, robust, velocity
 from ..sources import columns, sinks
 from .model_queries import SQL_FITS
 from .adapters import SQL_MEASURE, SQL_SEEN, SQL_STAR, detections, measurements, read, stars
@@ -117,7 +117,10 @@ def j12(spark, sf):
 
 @query("J14_columns_side_by_side", f"WITH {SQL_SEEN} SELECT d.id, d.rv, s.name FROM seen d JOIN star s ON s.id = d.star")
 def j14(spark, sf):
-    return detections(spark, sf).select("id", "rv", "star").join(stars(spark, sf).select(F.col("id").alias("star"), "name"), "star").select("id", "rv", "name")
+    """Detections matched to their stars, and the stars in the same order, put side by side by position alone."""
+    d = detections(spark, sf).select("id", "rv", "star")
+    matched = d.join(stars(spark, sf).select(F.col("id").alias("star"), "name"), "star").select(F.col("id").alias("of"), "name")
+    return positions.zipped(d.select("id", "rv"), matched, ["id"], ["of"]).select("id", "rv", "name")
 
 
 @query("W3_drop_later_copies", f"WITH {SQL_SEEN} SELECT min(id) AS id, star FROM seen GROUP BY star")
@@ -270,6 +273,13 @@ def z11(spark, sf):
     return sinks.summary({"early": n(d.filter("year(seen_at) < 1995")), "late": n(d.filter("year(seen_at) >= 1995"))}, "epoch", "n")
 
 
+@query("M2_lognormal_with_errors")
+def m2(spark, sf):
+    x = measurements(spark, sf).withColumns({"x": F.col("err") / 20, "e": F.col("snr") / 200})
+    m = mixture.fit_lognormal(x, "x", error="e")
+    return spark.createDataFrame([(m.share, *m.core, *m.tail)], "share double, core_mu double, core_sigma double, tail_mu double, tail_sigma double")
+
+
 @query("M3_separated_lognormal")
 def m3(spark, sf):
     m = mixture.fit_lognormal(measurements(spark, sf).withColumn("x", F.col("err") / 20), "x", share_range=(0.4, 0.9), separation=0.8)
@@ -297,3 +307,29 @@ def m11(spark, sf):
 def m12(spark, sf):
     return membership.membership(_field(spark, sf), "SGR")
 
+
+
+def _sql_outlines() -> str:
+    edges = [f"('{n}', {ax}e0, {ay}e0, {bx}e0, {by}e0)" for n, v in stats.POPULATIONS.items() for (ax, ay), (bx, by) in zip(v, [*v[1:], v[0]])]
+    return ", ".join(edges)
+
+
+@query("X28_population_outlines", f"WITH p AS (SELECT l_orderkey, row_number() OVER () AS k, l_quantity / 10e0 - 0.7e0 AS x, l_extendedprice % 22e0 - 6e0 AS y FROM lineitem), e AS (SELECT * FROM (VALUES {_sql_outlines()}) t(name, ax, ay, ux, uy)) SELECT name, count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS ids FROM (SELECT name, l_orderkey, k FROM p JOIN e ON (ay > y) <> (uy > y) AND x < (y - ay) * (ux - ax) / (uy - ay) + ax GROUP BY ALL HAVING count(*) % 2 = 1) GROUP BY name")
+def x28(spark, sf):
+    p = read(spark, sf, "lineitem").select("l_orderkey", (F.col("l_quantity") / 10 - 0.7).alias("x"), (F.col("l_extendedprice") % 22 - 6).alias("y"))
+    named = p.select("l_orderkey", F.explode(stats.populations(F.col("x"), F.col("y"))).alias("name"))
+    return named.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.sum("l_orderkey").alias("ids"))
+
+
+_MIRROR = "CASE WHEN ((({i} % {m}) + {m}) % {m}) < {n} THEN ((({i} % {m}) + {m}) % {m}) ELSE {m} - 1 - ((({i} % {m}) + {m}) % {m}) END"
+
+
+@query("M29_contour_levels", f"""WITH {SQL_SEEN}, h AS (SELECT CAST(floor(ra / 10) AS BIGINT) AS bx, CAST(floor((dec + 90) / 10) AS BIGINT) AS by, count(*) AS v FROM seen WHERE ra >= 0 AND ra < 360 GROUP BY ALL),
+  k AS (SELECT d, exp(-0.5 * pow(d / 2e0, 2)) / sum(exp(-0.5 * pow(d / 2e0, 2))) OVER () AS w FROM (SELECT unnest(range(-8, 9)) AS d)), g AS (SELECT x.bx, y.by FROM (SELECT unnest(range(36)) AS bx) x, (SELECT unnest(range(18)) AS by) y),
+  a AS (SELECT g.bx, g.by, sum(w * coalesce(v, 0)) AS v FROM g CROSS JOIN k LEFT JOIN h ON h.by = g.by AND h.bx = {_MIRROR.format(i='(g.bx + d)', n=36, m=72)} GROUP BY ALL),
+  b AS (SELECT g.bx, g.by, sum(w * coalesce(v, 0)) AS v FROM g CROSS JOIN k LEFT JOIN a ON a.bx = g.bx AND a.by = {_MIRROR.format(i='(g.by + d)', n=18, m=36)} GROUP BY ALL)
+  SELECT round(quantile_cont(v, 0.2), 6) AS level_0, round(quantile_cont(v, 0.3875), 6) AS level_1, round(quantile_cont(v, 0.575), 6) AS level_2, round(quantile_cont(v, 0.7625), 6) AS level_3, round(quantile_cont(v, 0.95), 6) AS level_4 FROM b WHERE v > 0""")
+def m29(spark, sf):
+    d = detections(spark, sf).filter("ra >= 0 AND ra < 360").select(F.floor(F.col("ra") / 10).alias("bx"), F.floor((F.col("dec") + 90) / 10).alias("by"), F.lit(1.0).alias("v"))
+    levels = binning.contour_levels(binning.smoothed_map(d, "v", 36, 18, 2.0), "v")
+    return levels.select(*(F.round(c, 6).alias(c) for c in levels.columns))

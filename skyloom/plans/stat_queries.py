@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import stats, text
-from ..operators import binning, keyed_join, quantiles, robust
+from ..operators import binning, keyed_join, positions, quantiles, robust
 from ..sources import columns, sinks
 from ..streaming import histogram as growing
 from .adapters import SQL_MEASURE, SQL_SEEN, SQL_STAR, detections, measurements, read, stars
@@ -290,8 +290,8 @@ def w5(spark, sf):
 
 @query("W6_pages", f"WITH {SQL_STAR} SELECT id, CAST((row_number() OVER (PARTITION BY kind ORDER BY mag DESC, id) - 1) // 9 AS BIGINT) AS page FROM star")
 def w6(spark, sf):
-    w = Window.partitionBy("kind").orderBy(F.desc("mag"), "id")
-    return stars(spark, sf).select("id", F.floor((F.row_number().over(w) - 1) / 9).alias("page"))
+    ranked = positions.numbered(stars(spark, sf).select("id", "kind", "mag"), [F.desc("mag"), "id"], by=["kind"])
+    return ranked.select("id", F.expr("position div 9").alias("page"))
 
 
 @query("O2_topped_up_selection", f"WITH {SQL_STAR}, r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY mag < 9000, mag DESC, id) AS k, count(*) FILTER (mag >= 9000) OVER (PARTITION BY kind) AS n FROM star WHERE mag >= 5000) SELECT id, kind FROM r WHERE k <= greatest(n, 5)")
@@ -300,8 +300,8 @@ def o2(spark, sf):
     s = stars(spark, sf)
     strict = s.filter("mag >= 9000")
     n = strict.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
-    relaxed = keyed_join.top_per_group(s.filter("mag >= 5000 AND mag < 9000"), ["kind"], [F.desc("mag"), "id"], 5)
-    more = relaxed.join(n, "kind", "left").filter("rank <= 5 - coalesce(n, 0)")
+    relaxed = positions.numbered(s.filter("mag >= 5000 AND mag < 9000").select("id", "kind", "mag"), [F.desc("mag"), "id"], by=["kind"])
+    more = relaxed.join(n, "kind", "left").filter("position < 5 - coalesce(n, 0)")
     return strict.select("id", "kind").union(more.select("id", "kind"))
 
 
