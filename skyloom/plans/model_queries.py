@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..operators import membership, mixture, quantiles, robust, velocity
+from ..storage import stored
 from .adapters import SQL_MEASURE, SQL_STAR, detections, measurements, prefixed, stars  # noqa: F401
 
 QUERIES: dict = {}
@@ -170,7 +171,7 @@ def m9(spark, sf):
 
 @query("M17_quality_flags")
 def m17(spark, sf):
-    found = _candidates(spark, sf)
+    found = stored(_candidates(spark, sf), "found")
     p = membership.membership(found, "OC").select("object", "id", "p_member")
     more = {"ref_err": F.lit(None).cast("double"), "ref_rv": F.lit(0.0), "ref_sigma": F.lit(100.0)}
     return membership.quality_flags(found.join(p, ["object", "id"]).withColumns(more), "dist", "ref_dist", "ref_err", "rv", "ref_rv", "ref_sigma")
