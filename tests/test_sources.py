@@ -1,11 +1,14 @@
 """Layouts of text files, files by pattern, FITS chunks, pixels and motion in space."""
 
+import csv
 import gzip
+import io
 import json
 import math
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,3 +116,49 @@ def test_motion_in_space(spark):
         east, north = np.array([-math.sin(t[0]), math.cos(t[0]), 0]), np.array([-math.sin(t[1]) * math.cos(t[0]), -math.sin(t[1]) * math.sin(t[0]), math.cos(t[1])])
         v = r * (1 + (rv / kpc if rv else 0) * 3.15576e7 / 3.0856775814913673e16 * 15.5) + math.radians(pa * s) * east + math.radians(pd * s) * north
         assert a == pytest.approx(math.degrees(math.atan2(v[1], v[0])) % 360, abs=1e-9) and d == pytest.approx(math.degrees(math.asin(v[2] / np.linalg.norm(v))), abs=1e-9)
+
+
+def _one_text(folder):
+    return "".join(p.read_text() for p in sorted(folder.rglob("part-*")))
+
+
+def test_csv_in_chunks_has_one_header(spark, tmp_path):
+    """Appended chunks are one file with one header, a broken one is written over, and quotes, commas and blanks come back."""
+    rows = [(1, 'a "q", b', 1.5), (2, " x ", float("nan")), (3, None, 2.0), (4, "two\nlines", 4.0)]
+    kinds = "id long, `na,me` string, x double"
+    out = tmp_path / "o"
+    assert sinks.csv_chunk(spark.createDataFrame(rows, kinds).repartition(3), str(out)) == 0
+    (out / "chunk-00000001").mkdir()
+    (out / "chunk-00000001" / "part-00000-broken.txt").write_text("9,half")
+    assert sinks.csv_chunk(spark.createDataFrame([(5, "e", 0.5)], kinds), str(out)) == 1
+    assert sinks.csv_chunk(spark.createDataFrame([], kinds), str(out)) == 2
+    got = pd.read_csv(io.StringIO(_one_text(out)))
+    assert list(got.columns) == ["id", "na,me", "x"] and _one_text(out).startswith('id,"na,me",x\n')
+    got = {r[0]: r[1:] for r in got.astype(object).where(got.notna(), None).itertuples(index=False, name=None)}
+    assert got == {1: ('a "q", b', 1.5), 2: (" x ", None), 3: (None, 2.0), 4: ("two\nlines", 4.0), 5: ("e", 0.5)}
+    sinks.csv_chunk(spark.createDataFrame([(None,), ("v",)], "only string").coalesce(1), str(tmp_path / "one"))
+    assert _one_text(tmp_path / "one") == 'only\n""\nv\n'
+
+
+def test_results_of_a_run_over_objects(spark, tmp_path):
+    """All rows, the summary with the most matched first, and the algorithms as one JSON document, against plain Python."""
+    rows = spark.createDataFrame([("a", "OC", k, 0.1 * k) for k in range(11)] + [("b", "GC", k, None) for k in range(3)] + [('c "x"', "OC", 1, float("nan"))], "object string, kind string, id long, p_member double")
+    info = spark.createDataFrame([("b", "GC", 6, "em", "ok", 1.5, [1]), ("a", "OC", 40, "density", "ok", None, [2, 3]), ('c "x"', "OC", 0, "density", "no_cluster", float("inf"), []), ("d", "DW", 7, "em", "insufficient_data", 0.0, None)], "object string, kind string, n_members long, algorithm string, status string, scale double, steps array<int>")
+    sinks.object_results(rows, info.repartition(3), str(tmp_path))
+    full = pd.read_csv(io.StringIO(_one_text(tmp_path / "full")))
+    assert list(full.columns) == ["kind", "object", "id", "p_member"] and len(full) == 15
+    assert [tuple(r.values()) for r in csv.DictReader(io.StringIO(_one_text(tmp_path / "summary")))] == [
+        ("a", "OC", "40", "11", "27.5", "2", "density", "ok"),
+        ("b", "GC", "6", "3", "50.0", "0", "em", "ok"),
+        ('c "x"', "OC", "0", "1", "", "0", "density", "no_cluster"),
+        ("d", "DW", "7", "0", "0.0", "0", "em", "insufficient_data"),
+    ]
+    about = json.loads(_one_text(tmp_path / "algorithms"))
+    assert about == {
+        "DW_d": {"algorithm": "em", "status": "insufficient_data", "scale": 0.0, "steps": None},
+        "GC_b": {"algorithm": "em", "status": "ok", "scale": 1.5, "steps": [1]},
+        "OC_a": {"algorithm": "density", "status": "ok", "scale": None, "steps": [2, 3]},
+        'OC_c "x"': {"algorithm": "density", "status": "no_cluster", "scale": None, "steps": []},
+    } and list(about) == sorted(about)
+    sinks.json_document(info.limit(0), str(tmp_path / "none"), "status")
+    assert json.loads(_one_text(tmp_path / "none")) == {}
