@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from skyloom.functions import sky, stats, text
 from skyloom.operators import binning, components, keyed_join, membership, mixture, robust, sky_join, velocity
+from skyloom.operators.density import density_labels
 from skyloom.sources import columns, fits, sinks
 from skyloom.sources import text as readers
 from skyloom.streaming import histogram as growing
@@ -112,12 +113,16 @@ def test_members_are_found(spark, method):
     assert len(small) == 3
 
 
-def test_ks_and_dbscan():
+def test_ks_and_dbscan(spark):
     rng = np.random.default_rng(1)
-    assert membership.ks_normal(rng.normal(0, 1, 500), 0, 1)[1] > 0.01 and membership.ks_normal(rng.normal(1, 1, 500), 0, 1)[1] < 1e-6
+    # a reference has to be positive, so both samples and their normal stand ten further on
+    samples = pd.concat([pd.DataFrame({"object": name, "p_member": 0.9, "v": 10 + rng.normal(mean, 1, 500), "ref": 10.0, "ref_err": 1.0}) for name, mean in (("same", 0), ("shifted", 1))])
+    p = {r.object: r.ks_p for r in membership.quality_flags(spark.createDataFrame(samples), "v", "ref", "ref_err").collect()}
+    assert p["same"] > 0.01 and p["shifted"] < 1e-6
     pts = np.r_[rng.normal(0, 0.1, (50, 2)), rng.normal(5, 0.1, (50, 2)), [[20, 20]]]
-    label = membership.dbscan(pts, 0.3, 5)
-    assert set(label[:50]) == {0} and set(label[50:100]) == {1} and label[100] == -1
+    rows = spark.createDataFrame(pd.DataFrame({"g": "a", "id": np.arange(101), "x": pts[:, 0], "y": pts[:, 1]}))
+    label = {r.id: r.label for r in density_labels(rows, "g", 0.3, 5).collect()}
+    assert {label[k] for k in range(50)} == {0} and {label[k] for k in range(50, 100)} == {50} and label[100] is None
 
 
 def test_three_cornered_hat_recovers_errors(spark):
