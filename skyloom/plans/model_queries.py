@@ -164,6 +164,11 @@ def m10(spark, sf):
     return membership.membership(_candidates(spark, sf), "OC")
 
 
+@query("M10_hierarchical_membership")
+def m10_hierarchical(spark, sf):
+    return membership.membership(_candidates(spark, sf), "HDBSCAN")
+
+
 @query("M9_mixture_membership")
 def m9(spark, sf):
     return membership.membership(_candidates(spark, sf), "GMM")

@@ -13,7 +13,7 @@ def _sep(o, d):
     return np.degrees(2 * np.arcsin(np.sqrt(np.clip(h, 0, 1))))
 
 
-@pytest.mark.parametrize("name", ["M9_mixture_membership", "M10_density_membership", "M11_hybrid_membership", "M12_stream_membership", "M14_bayesian_membership"])
+@pytest.mark.parametrize("name", ["M9_mixture_membership", "M10_density_membership", "M10_hierarchical_membership", "M11_hybrid_membership", "M12_stream_membership", "M14_bayesian_membership"])
 def test_every_star_is_an_object(spark, sf, name):
     o, d = stars(spark, sf).toPandas(), detections(spark, sf).toPandas()
     i, j = np.nonzero(_sep(o, d) <= 3.0)

@@ -7,7 +7,7 @@ from skyloom import catalog
 from .oracle import connect, differences
 
 # run in test_all_objects.py
-ELSEWHERE = {"M9_mixture_membership", "M10_density_membership", "M11_hybrid_membership", "M12_stream_membership", "M14_bayesian_membership", "M17_quality_flags"}
+ELSEWHERE = {"M9_mixture_membership", "M10_density_membership", "M10_hierarchical_membership", "M11_hybrid_membership", "M12_stream_membership", "M14_bayesian_membership", "M17_quality_flags"}
 QUERIES, ORACLES = catalog.queries(), catalog.oracle_sql()
 
 
