@@ -106,7 +106,7 @@ def brute_components(nodes, links):
     return {x: find(x) for x in nodes}
 
 
-@pytest.mark.parametrize("options", [{}, {"node_capacity": 2, "step": 5}])
+@pytest.mark.parametrize("options", [{}, {"node_capacity": 2, "step": 5}, {"blocks": 3, "node_capacity": 7}])
 def test_simhash(docs, odd, options):
     for df in (docs, odd):
         rows = rows_of(df, "doc_id", "text")
@@ -121,8 +121,8 @@ def test_simhash(docs, odd, options):
         same(rows_of(simhash_dedup(df, **options), "doc_id", "fingerprint", "component_id"), [(i, f"{p:016x}", least.get(of[p])) for (i, _), p in zip(rows, prints)])
 
 
-@pytest.mark.parametrize("capacity", [2, 40, 4096])
-def test_links_of_close_fingerprints(spark, capacity):
+@pytest.mark.parametrize("capacity,blocks", [(2, None), (40, 3), (40, 4), (4096, None), (4096, 3)])
+def test_links_of_close_fingerprints(spark, capacity, blocks):
     rng = np.random.default_rng(5)
     near = {int(rng.integers(1 << 62))}
     while len(near) < 300:  # a ball of close ones, and others
@@ -131,7 +131,7 @@ def test_links_of_close_fingerprints(spark, capacity):
     far = {int(x) for x in rng.integers(1 << 63, size=300)}
     values = sorted(near | far)
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
-    labels = {r.node: r.label for r in components(hamming_links(spark.createDataFrame([(v,) for v in signed], "fp long"), 2, capacity)).collect()}
+    labels = {r.node: r.label for r in components(hamming_links(spark.createDataFrame([(v,) for v in signed], "fp long"), 2, capacity, blocks=blocks)).collect()}
     links = [(a, b) for i, a in enumerate(signed) for b in signed[:i] if ((a ^ b) & (2**64 - 1)).bit_count() <= 2]
     want = brute_components(signed, links)
     assert {v: labels.get(v, v) for v in signed} == want
