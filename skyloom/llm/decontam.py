@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chosen, documents, stored
+from .common import chosen, documents, mapped, stored
 from .licenses import words
 from .repeats import _common
 
@@ -170,7 +170,7 @@ def decontaminate(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", tex
     for b in range(n_blocks):
         part = items if n_blocks == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == b)
         block = Items([(r.item, r.text) for r in part.toLocalIterator()], window)
-        found = rows.mapInPandas(_search(block), f"doc_id {kind}, d1 long, {_RAW}")
+        found = mapped(rows, _search(block), f"doc_id {kind}, d1 long, {_RAW}")
         found = found if n_blocks == 1 else stored(found, "hits")
         raw = found if raw is None else raw.unionByName(found)
     first = F.struct(-F.col("best.m"), F.col("best.at"), F.col("best.item"))

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chosen, documents, stored
+from .common import chosen, documents, mapped, stored
 
 # Texts of these characters only are cut into words here; the tokenizer itself takes all others.
 _PLAIN = re.compile(r"[\t-\r\x20-\x7e\xa1-\xff]*")
@@ -236,7 +236,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     """
     spark, kind = docs.sparkSession, dict(docs.dtypes)[id_col]
     rows = chosen(docs, id_col, text_col, source=source_col).select("doc_id", "text", F.concat(F.lit("="), F.col("source").cast("string")).alias("source")).na.fill("null", ["source"])
-    tokens = stored(rows.mapInPandas(_tokenized(tokenizer, end_id, group_chars), f"part int, row long, source string, doc_id {kind}, n long, before long, ids binary"), "tokens")
+    tokens = stored(mapped(rows, _tokenized(tokenizer, end_id, group_chars), f"part int, row long, source string, doc_id {kind}, n long, before long, ids binary"), "tokens")
     sums = stored(tokens.groupBy("part", "source").agg(F.sum("n").alias("n")), "queue-sums")
     sources = stored(sums.groupBy("source").agg(F.sum("n").alias("all_of")), "sources")
     total = sources.agg(F.coalesce(F.sum("all_of"), F.lit(0))).first()[0]
@@ -263,7 +263,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         spread = small.join(even, ["part", "row"]).withColumn("place", F.col("even"))
         columns = ["doc_id", "queue", "place", "n", "ids"]
         placed = placed.filter(F.col("queue") != SHARED).select(*columns).union(spread.select(*columns))
-    return placed.select("doc_id", "queue", "place", "n", "ids").mapInPandas(_packed(of_queue, window), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return mapped(placed.select("doc_id", "queue", "place", "n", "ids"), _packed(of_queue, window), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def query(spark, sf_dir):

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chosen, documents, id_bucket
+from .common import chosen, documents, id_bucket, mapped
 from .linear import adam, bounded_sample, grouped_sum
 
 _RUN = re.compile(r"[^\W\d_]+|\d+")
@@ -97,7 +97,7 @@ def quality(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_co
             p = 1 / (1 + np.exp(-np.clip(eta[:, None] - cuts, -30, 30)))
             yield pd.DataFrame({"doc_id": pdf.doc_id, "held_out": pdf.fold == held_fold, "expected_grade": p.sum(axis=1), "tail_prob": p[:, tail - 1], "selected": p[:, tail - 1] >= select_at})
 
-    return rows.mapInPandas(run, f"doc_id {dict(docs.dtypes)[id_col]}, held_out boolean, expected_grade double, tail_prob double, selected boolean")
+    return mapped(rows, run, f"doc_id {dict(docs.dtypes)[id_col]}, held_out boolean, expected_grade double, tail_prob double, selected boolean")
 
 
 def query(spark, sf_dir):

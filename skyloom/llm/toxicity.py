@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chosen, documents, id_bucket
+from .common import chosen, documents, id_bucket, mapped
 from .linear import adam, bounded_sample, grouped_sum
 
 _SENTENCE = re.compile(r"[.!?]+\s+|\n+")
@@ -123,7 +123,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             out.insert(0, "doc_id", pdf.doc_id.to_numpy())
             yield out
 
-    return rows.mapInPandas(run, f"doc_id {dict(docs.dtypes)[id_col]}, held_out boolean, score double, predicted int, worst_sentence int, n_flagged int")
+    return mapped(rows, run, f"doc_id {dict(docs.dtypes)[id_col]}, held_out boolean, score double, predicted int, worst_sentence int, n_flagged int")
 
 
 def query(spark, sf_dir):
