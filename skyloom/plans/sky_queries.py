@@ -72,8 +72,11 @@ def j5(spark, sf):
 @query("J6_cone_search", f"WITH {SQL_SEEN} SELECT c.id AS centre, count(*) AS n, round(min({SEP.format(a='c', b='d')}), 6) AS nearest_deg FROM star c JOIN seen d ON abs(c.dec - d.dec) <= 1.51 WHERE {SEP.format(a='c', b='d')} <= 0.5 + (c.id % 3) / 2e0 GROUP BY c.id")
 def j6(spark, sf):
     centres = stars(spark, sf).select("id", "ra", "dec", (0.5 + F.col("id") % 3 / 2).alias("reach"))
-    pairs = sky_join.within(centres, prefixed(detections(spark, sf).select("id", "ra", "dec")), 1.5, per_row="reach")
-    return pairs.groupBy(F.col("id").alias("centre")).agg(F.count(F.lit(1)).alias("n"), F.round(F.min("sep"), 6).alias("nearest_deg"))
+    seen = stored(prefixed(detections(spark, sf).select("id", "ra", "dec")), "seen")
+    n = sky_blocks.counts(centres, seen, [F.col("reach")])
+    # whatever is within a centre's reach has the nearest of all within the largest
+    near = sky_blocks.nearest(centres, seen, 1.5).select("id", "sep")
+    return n.join(near, "id").select(F.col("id").alias("centre"), F.col("n0").alias("n"), F.round("sep", 6).alias("nearest_deg"))
 
 
 @query(
@@ -229,16 +232,17 @@ def x12(spark, sf):
 @query("A33_annulus_density", f"WITH {SQL_SEEN} SELECT c.id AS centre, round(count(*) / (pi() * (2.25 - 0.25)), 8) AS density FROM star c JOIN seen d ON abs(c.dec - d.dec) <= 1.51 WHERE {SEP.format(a='c', b='d')} <= 1.5 AND {SEP.format(a='c', b='d')} > 0.5 GROUP BY c.id")
 def a33(spark, sf):
     centres = stars(spark, sf).select("id", "ra", "dec")
-    ring = sky_join.within(centres, prefixed(detections(spark, sf).select("id", "ra", "dec")), 1.5).filter("sep > 0.5")
-    return ring.groupBy(F.col("id").alias("centre")).agg(F.round(F.count(F.lit(1)) / (F.pi() * 2.0), 8).alias("density"))
+    n = sky_blocks.counts(centres, prefixed(detections(spark, sf).select("id", "ra", "dec")), [F.lit(0.5), F.lit(1.5)])
+    ring = n.select("id", (F.col("n1") - F.col("n0")).alias("n")).filter("n > 0")
+    return ring.select(F.col("id").alias("centre"), F.round(F.col("n") / (F.pi() * 2.0), 8).alias("density"))
 
 
 @query("A33_annulus_density_all", f"WITH {SQL_SEEN}, k AS (SELECT * FROM (VALUES (0, 0e0, 0.5e0), (1, 0.5e0, 1e0), (2, 1e0, 1.5e0)) t(ring, lo, hi)), p AS (SELECT c.id, {SEP.format(a='c', b='d')} AS sep FROM star c JOIN seen d ON abs(c.dec - d.dec) <= 1.51) SELECT c.id AS centre, k.ring, count(p.id) AS n, round(count(p.id) / (pi() * (hi * hi - lo * lo)), 8) AS density FROM star c CROSS JOIN k LEFT JOIN p ON p.id = c.id AND p.sep > lo AND p.sep <= hi GROUP BY c.id, k.ring, lo, hi")
 def a33_all(spark, sf):
     """Three rings about every star, empty ones too."""
     centres = stars(spark, sf).select("id", "ra", "dec")
-    near = sky_join.within(centres, prefixed(detections(spark, sf).select("id", "ra", "dec")), 1.5).filter("sep > 0")
-    n = near.groupBy("id", F.greatest(F.ceil(F.col("sep") / 0.5) - 1, F.lit(0)).cast("int").alias("ring")).agg(F.count(F.lit(1)).alias("n"))
+    within = sky_blocks.counts(centres, prefixed(detections(spark, sf).select("id", "ra", "dec")), [F.lit(0.0), F.lit(0.5), F.lit(1.0), F.lit(1.5)])
+    n = within.select("id", F.inline(F.array(*(F.struct(F.lit(k).alias("ring"), (F.col(f"n{k + 1}") - F.col(f"n{k}")).alias("n")) for k in range(3)))))
     rings = centres.select("id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("ring"))
     area = F.pi() * (F.pow((F.col("ring") + 1) * 0.5, 2) - F.pow(F.col("ring") * 0.5, 2))
     out = rings.join(n, ["id", "ring"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
