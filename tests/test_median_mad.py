@@ -46,3 +46,11 @@ def test_medians_of_cut_groups(spark, bounds):
 @pytest.mark.parametrize("bounds", [{"whole_rows": 0, "small": 0}, {"whole_rows": 0, "small": 0, "few": 3}, {"whole_rows": 0, "small": 1000, "few": 3}])
 def test_odd_groups_cut(spark, bounds):
     odd.test_quantiles(spark, bounds)
+
+
+def test_groups_are_told_in_one_pass(spark):
+    from skyloom.operators.quantiles import large_groups
+
+    rows = spark.range(1000).selectExpr("id % 3 AS k", "CAST(id AS double) AS _v")
+    told = lambda df, small, whole: (lambda large, every: (large and large.count(), every))(*large_groups(df, ["k"], small, whole))
+    assert told(rows, 100, 10) == (3, True) and told(rows, 333, 10) == (1, False) and told(rows, 500, 10) == (None, False) == told(rows, 100, 1000) == told(rows.limit(0), 1, 0)
