@@ -81,3 +81,11 @@ def test_no_table_of_pairs_is_written(spark, tmp_path):
         assert n == 397_415 and max(spark.read.parquet(f"file://{tmp_path}/{d}").count() for d in os.listdir(tmp_path)) < n / 2
     finally:
         spark.conf.unset("spark.checkpoint.dir")
+
+
+def test_columns_of_stars_come_along(spark):
+    stars, objects = sky(spark)
+    want = {r.id: (r.dist, r.rv) for r in stars.collect()}
+    for most in (1 << 16, 100):
+        got = members(stars, objects.filter("object IN ('plain', 'near')"), 3.0, "GMM", most=most, keep=("dist", "rv")).collect()
+        assert len(got) > 150 and all((r.dist, r.rv) == want[r.id] for r in got)
