@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from skyloom import catalog
+from skyloom import catalog, storage
 from skyloom.operators import membership as m
 from skyloom.operators.near_points import components, density_labels, nearest
 from skyloom.operators.whole_objects import members
@@ -73,14 +73,11 @@ def test_crowded_cells_go_by_joins_and_parts_change_nothing(spark):
         assert got.keys() == want.keys() and [got[k] for k in want] == pytest.approx(list(want.values()), abs=1e-9)
 
 
-def test_no_table_of_pairs_is_written(spark, tmp_path):
+def test_no_table_of_pairs_is_written(spark, tmp_path, monkeypatch):
     """The stream's query wrote a row for each object and star near it, several times."""
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-    try:
-        n = catalog.queries()["M12_stream_membership"](spark, "/root/testdata/sf0.01").count()
-        assert n == 397_415 and max(spark.read.parquet(f"file://{tmp_path}/{d}").count() for d in os.listdir(tmp_path)) < n / 2
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+    monkeypatch.setattr(storage, "shared_dir", lambda spark: f"file://{tmp_path}")
+    n = catalog.queries()["M12_stream_membership"](spark, "/root/testdata/sf0.01").count()
+    assert n == 397_415 and max(spark.read.parquet(f"file://{tmp_path}/{d}").count() for d in os.listdir(tmp_path)) < n / 2
 
 
 def test_columns_of_stars_come_along(spark):
